@@ -7,18 +7,71 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cladeworks.llm import simhash
+from cladeworks.llm import decontaminate, langid, linededup, pieces, simhash
 from cladeworks.llm.common import table
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.simhash_groups(table(spark, sf_dir, "documents"))
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode_and_decode(table(spark, sf_dir, "documents"))
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.dedup_report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_simhash": op4_simhash}
+    return {
+        "op3_decontaminate": op3_decontaminate,
+        "op4_simhash": op4_simhash,
+        "op7_language": op7_language,
+        "op8_pieces": op8_pieces,
+        "op9_line_dedup": op9_line_dedup,
+    }
+
+
+#: Alignments by three equal words in a row (every accepted window holds such a run), then every window in full.
+OP3_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE doc_id IS NOT NULL),
+b AS (SELECT item_id, w FROM (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM benchmark) WHERE len(w) >= 8 AND item_id IS NOT NULL),
+dt AS (SELECT doc_id, p, concat_ws(' ', w[p], w[p+1], w[p+2]) AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS p FROM d)),
+bt AS (SELECT item_id, p, concat_ws(' ', w[p], w[p+1], w[p+2]) AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 1)) AS p FROM b)),
+a AS (SELECT DISTINCT doc_id, item_id, dt.p - bt.p AS o FROM dt JOIN bt USING (g)),
+m AS (SELECT doc_id, item_id, least(len(b.w), 13) AS n_window,
+  list_transform(range(1, len(b.w) + 1), lambda j: CASE WHEN o + j >= 1 AND d.w[o + j] = b.w[j] THEN 1 ELSE 0 END) AS e
+  FROM a JOIN d USING (doc_id) JOIN b USING (item_id)),
+s AS (SELECT doc_id, item_id, n_window, list_max(list_transform(range(1, len(e) - n_window + 2), lambda s: list_sum(e[s : s + n_window - 1]))) AS n_equal FROM m)
+SELECT doc_id, item_id, CAST(max(n_window) AS BIGINT) AS n_window, CAST(max(n_equal) AS BIGINT) AS n_equal
+FROM s WHERE 5 * n_equal >= 4 * n_window GROUP BY doc_id, item_id
+"""
+
+OP9_SQL = r"""
+WITH l AS (SELECT doc_id, unnest(range(len(a))) AS line_no, unnest(a) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents)),
+t AS (SELECT doc_id, line_no, list_sort(list_distinct(list_filter(string_split_regex(line, '[ \t\x0B\f\r]+'), lambda x: x <> ''))) AS s FROM l),
+f AS (SELECT s, len(s) AS n, min((doc_id, line_no)) AS o, row_number() OVER (ORDER BY min((doc_id, line_no))) AS id FROM t WHERE len(s) > 0 GROUP BY s),
+w AS (SELECT id, n, unnest(s) AS w FROM f),
+c AS (SELECT w, count(*) AS df FROM w GROUP BY w),
+p AS (SELECT id, n, w FROM (SELECT id, n, w.w, row_number() OVER (PARTITION BY id ORDER BY df, w.w) AS k FROM w JOIN c USING (w)) WHERE k <= n - (4 * n + 4) // 5 + 1),
+pairs AS (SELECT DISTINCT a.id AS a, b.id AS b FROM p a JOIN p b ON a.w = b.w AND a.id < b.id AND 5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n)),
+near AS (SELECT DISTINCT b FROM pairs JOIN f x ON x.id = a JOIN f y ON y.id = b WHERE 9 * len(list_intersect(x.s, y.s)) >= 4 * (x.n + y.n)),
+gone AS (SELECT t.doc_id, t.line_no FROM t JOIN f USING (s) WHERE (t.doc_id, t.line_no) <> f.o OR f.id IN (SELECT b FROM near))
+SELECT d.doc_id, CAST(coalesce(len(string_split(text, chr(10))), 0) AS BIGINT) AS n_lines, count(g.line_no) AS n_removed,
+ coalesce(string_agg(CAST(g.line_no AS VARCHAR), ',' ORDER BY g.line_no), '') AS removed
+FROM documents d LEFT JOIN gone g ON g.doc_id = d.doc_id WHERE d.doc_id IS NOT NULL GROUP BY d.doc_id, text
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_decontaminate": OP3_SQL, "op9_line_dedup": OP9_SQL}
