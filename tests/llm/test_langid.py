@@ -29,8 +29,10 @@ def test_held_out_accuracy_and_folds(spark):
 
 
 def test_edges(spark):
+    rng = random.Random(9)
+    long_text = " ".join("".join(rng.choice(SYLLABLES["aa"]) for _ in range(rng.randint(1, 3))) for _ in range(30_000))
     rows = corpus() + [(1000, None, "aa", 1, "x"), (1001, "", "bb", 1, "x"), (1002, "123 !?", "cc", 1, "x"), (None, "karomi", None, 1, "x"),
-                       (1003, "karomi " * 20_000, None, 1, "x"), (1004, "ЖЩЮЯ ЫЭ ЖЩ " * 50, None, 1, "x"), (0, corpus()[0][1], "aa", 1, "x")]
+                       (1003, long_text, None, 1, "x"), (1004, "ЖЩЮЯ ЫЭ ЖЩ " * 50, None, 1, "x"), (0, corpus()[0][1], "aa", 1, "x")]
     frame = spark.createDataFrame(rows, SCHEMA)
     got = langid.identify(frame).collect()
     assert len(got) == len(rows)
