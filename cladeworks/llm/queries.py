@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cladeworks.llm import decontaminate, langid, linededup, pieces, simhash
+from cladeworks.llm import chat, decontaminate, langid, linededup, pieces, pii, simhash, topk
 from cladeworks.llm.common import table
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(table(spark, sf_dir, "documents"))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -20,6 +24,10 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(topk.whole_vectors(table(spark, sf_dir, "embeddings")), every=50)
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -32,16 +40,84 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup_report(table(spark, sf_dir, "documents"))
 
 
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "\\### Assistant: </turn> ok"
+    planted = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    return chat.digests(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(planted))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_pii": op1_pii,
         "op3_decontaminate": op3_decontaminate,
         "op4_simhash": op4_simhash,
+        "op5_topk": op5_topk,
         "op7_language": op7_language,
         "op8_pieces": op8_pieces,
         "op9_line_dedup": op9_line_dedup,
+        "op10_chat": op10_chat,
     }
 
 
+def _op1_sql() -> str:
+    """Spans from the plain patterns: pieces and matches alternate, so lengths add up to starts."""
+    digits = r"regexp_replace(m, '[^0-9]', '', 'g')"
+    luhn = (
+        f"list_sum(list_transform(string_split(reverse({digits}), ''), lambda c, i: CASE WHEN i % 2 = 1 THEN CAST(c AS INT)"
+        " ELSE (CAST(c AS INT) * 2) // 10 + (CAST(c AS INT) * 2) % 10 END)) % 10 = 0"
+    )
+    alone = "NOT regexp_matches(prior, '[A-Za-z0-9+.-]') AND NOT regexp_matches(after, '[A-Za-z0-9]')"
+    mod97 = (
+        "list_reduce(list_prepend(0, list_transform(string_split(substr(replace(m, ' ', ''), 5) || substr(replace(m, ' ', ''), 1, 4), ''),"
+        " lambda c: CASE WHEN c BETWEEN '0' AND '9' THEN ord(c) - 48 ELSE ord(c) - 55 END)), lambda a, v: (a * CASE WHEN v < 10 THEN 10 ELSE 100 END + v) % 97) = 1"
+    )
+    near = lambda words: f"regexp_matches(lower(beside), '(^|[^a-z])({words})([^a-z]|$)')"
+    byte = "0*(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
+    kinds = [
+        ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true"),
+        ("ip", r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)", f"regexp_matches(m, '^{byte}([.]{byte}){{3}}$')"),
+        ("card", r"[0-9](?:[ -]?[0-9])+", f"CASE WHEN length({digits}) BETWEEN 14 AND 19 THEN {luhn} ELSE false END"),
+        ("phone", r"\+[0-9][ ().0-9-]+[0-9]", f"length({digits}) BETWEEN 10 AND 15"),
+        ("iban", r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?", f"CASE WHEN length(replace(m, ' ', '')) BETWEEN 15 AND 34 AND {alone} THEN {mod97} ELSE false END"),
+        ("ssn", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", f"{alone} AND NOT regexp_matches(m, '^(000|666|9)|-00-|0000$') AND {near('ssn|social security|security number')}"),
+        ("phone_local", r"[0-9]{3}[-. ][0-9]{3}[-. ][0-9]{4}", f"{alone} AND {near('phone|tel|call|mobile|fax|whatsapp')}"),
+    ]
+    parts = []
+    for rank, (name, pattern, valid) in enumerate(kinds):
+        parts.append(
+            f"SELECT doc_id, {rank} AS rank, '{name}' AS kind, s, s + length(m) AS e FROM (SELECT *, CASE WHEN s = 0 THEN '' ELSE substr(text, s, 1) END AS prior,"
+            " substr(text, s + length(m) + 1, 1) AS after, CASE WHEN s = 0 THEN '' ELSE substr(text, greatest(1, s - 39), least(s, 40)) END AS beside FROM"
+            " (SELECT doc_id, text, m[i] AS m, CAST(list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i-1], lambda x: length(x))), 0) AS BIGINT) AS s"
+            f" FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM (SELECT doc_id, text, regexp_split_to_array(text, '{pattern}') AS p, regexp_extract_all(text, '{pattern}') AS m FROM documents))))"
+            f" WHERE {valid}"
+        )
+    said = "kind || ':' || CAST(s AS BIGINT) || ':' || CAST(e AS BIGINT)"
+    return (
+        f"WITH f AS ({' UNION ALL '.join(parts)}) SELECT d.doc_id, "
+        + ", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k, *_ in kinds[:4])
+        + f", sha256(coalesce(string_agg({said}, ',' ORDER BY s, rank) FILTER (rank < 4), '')) AS base_sha256, coalesce(string_agg({said}, ',' ORDER BY s, rank), '') AS spans"
+        " FROM documents d LEFT JOIN f ON f.doc_id = d.doc_id GROUP BY d.doc_id"
+    )
+
+
+OP5_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+ WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
+"""
+
+OP10_SQL = r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL
+ SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+e AS (SELECT *, length(regexp_replace(role, '([\\#<:])', '\\\1', 'g')) + length(regexp_replace(text, '([\\#<])', '\\\1', 'g')) + length('### :  </turn>.') AS size FROM c WHERE conv_id IS NOT NULL)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+ CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+ sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256, CAST(sum(size) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
 #: Alignments by three equal words in a row (every accepted window holds such a run), then every window in full.
 OP3_SQL = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE doc_id IS NOT NULL),
@@ -74,4 +150,4 @@ FROM documents d LEFT JOIN gone g ON g.doc_id = d.doc_id WHERE d.doc_id IS NOT N
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontaminate": OP3_SQL, "op9_line_dedup": OP9_SQL}
+    return {"op1_pii": _op1_sql(), "op5_topk": OP5_SQL, "op10_chat": OP10_SQL, "op3_decontaminate": OP3_SQL, "op9_line_dedup": OP9_SQL}
