@@ -26,6 +26,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,7 +35,7 @@ from cladeworks.llm.common import slices
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Words and pairs that a worker remembers before it starts afresh.
-CACHE = 400_000
+CACHE = 250_000
 
 
 @dataclass(frozen=True)
@@ -86,6 +87,7 @@ def load(path: str = MODEL) -> Vocabulary:
 class Encoder:
     vocabulary: Vocabulary
     words: dict[str, tuple[int, ...]] = field(default_factory=dict)
+    older: dict[str, tuple[int, ...]] = field(default_factory=dict)
     pairs: dict[tuple[str, str], bool] = field(default_factory=dict)
     halves: dict[str, tuple[str, str] | None] = field(default_factory=dict)
 
@@ -164,7 +166,7 @@ class Encoder:
 
     def learn(self, words: set[str]) -> None:
         """Add the encodings of distinct marked words to ``self.words``."""
-        known, ends = self.vocabulary.ids, self.vocabulary.ends
+        known, ends, pairs = self.vocabulary.ids, self.vocabulary.ends, self.pairs
         last: list[str] = []  # last[i]: the last piece of the encoding of word[: i + 1]
         prior = ""
         for word in sorted(words):
@@ -176,11 +178,17 @@ class Encoder:
                 shared += 1
             del last[shared:]
             for end in range(shared + 1, len(word) + 1):
-                for size in ends.get(word[max(0, end - 3) : end], (2,)):
-                    if size > end or (piece := word[end - size : end]) not in known:
-                        continue
-                    if self._made(piece) if size == end else self._apart(last[end - size - 1], piece):
-                        last.append(piece)
+                for size in ends.get(word[end - 3 : end] if end > 3 else word[:end], (2,)):
+                    if size < end:
+                        piece = word[end - size : end]
+                        if piece in known:
+                            left = last[end - size - 1]
+                            kept = pairs.get((left, piece))
+                            if kept or kept is None and self._apart(left, piece):
+                                last.append(piece)
+                                break
+                    elif size == end and word[:end] in known and self._made(word[:end]):
+                        last.append(word[:end])
                         break
                 else:
                     last.append(word[end - 1])
@@ -193,9 +201,12 @@ class Encoder:
     def encode(self, texts: list[str | None]) -> list[list[int]]:
         find = re.compile(self.vocabulary.cut, re.DOTALL).findall
         cut = [find((MARK + t).replace(" ", MARK)) if t else [] for t in texts]
-        if len(self.words) > CACHE:
-            self.words.clear()
-        self.learn(set().union(*cut) - self.words.keys())
+        if len(self.words) > CACHE:  # the older half goes, what is used again comes back into the younger one
+            self.older, self.words = self.words, {}
+        asked = set().union(*cut) - self.words.keys()
+        known = asked & self.older.keys()
+        self.words.update((w, self.older[w]) for w in known)
+        self.learn(asked - known)
         look = self.words.__getitem__
         return [list(chain.from_iterable(map(look, words))) for words in cut]
 
@@ -237,7 +248,8 @@ def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
         for batch in batches:
             for part in slices(batch):
                 column = part.column(1)
-                ends, flat = column.offsets.to_pylist(), column.values.to_pylist()
+                ends = np.concatenate([[0], np.cumsum(pc.list_value_length(column).to_numpy(zero_copy_only=False))]).tolist()
+                flat = column.flatten().to_pylist()  # of this slice only
                 texts = [b"".join([raw[i] for i in flat[a:b]]).removeprefix(b" ").decode("utf-8", "replace") for a, b in zip(ends, ends[1:], strict=False)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string())], names=["doc_id", "ids", "text"])
 
