@@ -46,7 +46,7 @@ class Vocabulary:
     scores: dict[str, float]
     byte_ids: tuple[int, ...]
     raw: tuple[bytes, ...]
-    #: Lengths over 1 of the pieces that end in these (up to) three characters, longest first.
+    #: Lengths over 1 of the pieces that end in these (up to) three characters, shortest (most often right) first.
     ends: dict[str, tuple[int, ...]]
     cut: str
 
@@ -80,7 +80,7 @@ def load(path: str = MODEL) -> Vocabulary:
     for tail, sizes in ends.items():  # a piece of two characters also ends longer tails
         if len(tail) == 3 and tail[1:] in ids:
             sizes.add(2)
-    return Vocabulary(ids, scores, tuple(byte_ids), tuple(raw), {t: tuple(sorted(s, reverse=True)) for t, s in ends.items()}, cut)
+    return Vocabulary(ids, scores, tuple(byte_ids), tuple(raw), {t: tuple(sorted(s)) for t, s in ends.items()}, cut)
 
 
 @dataclass
@@ -198,7 +198,7 @@ class Encoder:
                 at -= len(pieces[-1])
             self.words[word] = self._ids(pieces[::-1])
 
-    def encode(self, texts: list[str | None]) -> list[list[int]]:
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         find = re.compile(self.vocabulary.cut, re.DOTALL).findall
         cut = [find((MARK + t).replace(" ", MARK)) if t else [] for t in texts]
         if len(self.words) > CACHE:  # the older half goes, what is used again comes back into the younger one
@@ -208,7 +208,7 @@ class Encoder:
         self.words.update((w, self.older[w]) for w in known)
         self.learn(asked - known)
         look = self.words.__getitem__
-        return [list(chain.from_iterable(map(look, words))) for words in cut]
+        return [np.fromiter(chain.from_iterable(map(look, words)), np.int32) for words in cut]
 
 
 def decode_ids(ids: list[int], vocabulary: Vocabulary) -> str:
@@ -232,7 +232,7 @@ def encode(docs: DataFrame, model: str = MODEL, id_col: str = "doc_id", text_col
             for part in slices(batch):
                 got = encoder.encode(part.column(1).to_pylist())
                 ends = np.cumsum([0, *map(len, got)], dtype=np.int32)
-                flat = np.fromiter(chain.from_iterable(got), np.int32, int(ends[-1]))
+                flat = np.concatenate(got) if got else np.empty(0, np.int32)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["doc_id", "ids"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -244,13 +244,13 @@ def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
     shared = encoded.sparkSession.sparkContext.broadcast(load(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw = shared.value.raw
+        raw = np.array(shared.value.raw, dtype=object)
         for batch in batches:
             for part in slices(batch):
                 column = part.column(1)
                 ends = np.concatenate([[0], np.cumsum(pc.list_value_length(column).to_numpy(zero_copy_only=False))]).tolist()
-                flat = column.flatten().to_pylist()  # of this slice only
-                texts = [b"".join([raw[i] for i in flat[a:b]]).removeprefix(b" ").decode("utf-8", "replace") for a, b in zip(ends, ends[1:], strict=False)]
+                flat = column.flatten().to_numpy()  # of this slice only
+                texts = [b"".join(raw[flat[a:b]].tolist()).removeprefix(b" ").decode("utf-8", "replace") for a, b in zip(ends, ends[1:], strict=False)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string())], names=["doc_id", "ids", "text"])
 
     return encoded.select("doc_id", F.coalesce("ids", F.array().cast("array<int>")).alias("ids")).mapInArrow(run, "doc_id long, ids array<int>, text string")
