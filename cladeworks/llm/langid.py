@@ -5,12 +5,15 @@ everything but letters folded to single spaces), weighted by
 (1 + ln count) * idf and scaled to length 1. Each language has up to
 ``centroids`` unit centroids from spherical k-means; the nearest centroid by
 cosine names the language. A text is rejected when its cosine falls well below
-anything that training texts of its length reached.
+a low quantile of the training texts of its length class. The class is the
+logarithm of the number of different n-grams: a text that repeats a few words
+is judged like the short text that it is.
 
 Scale: document frequencies are counted over all training texts, one partial
 row for each partition and ``DIM`` counters in all. Centroids are fitted on
 the driver from at most about ``per_language`` texts of each language, chosen
-by a hash of the id: that bound is a parameter. Scoring is one pass without a
+by a hash of the id: that bound is a parameter. The quantiles come from all
+training texts, counted into a histogram of fixed size. Scoring is one pass without a
 shuffle; the model is a fixed ``languages x centroids x DIM`` matrix.
 """
 
@@ -38,8 +41,17 @@ class LangIdParams:
     per_language: int = 400
     centroids: int = 4
     rounds: int = 12
-    #: A text is rejected below this part of the least cosine of training texts of its length.
-    slack: float = 0.6
+    #: Centroids with a smaller share of a language's texts are left out: junk with a label would have its own.
+    least_share: float = 0.05
+    #: A text is rejected below ``slack`` times this quantile of the cosines of training texts of its class;
+    #: junk among the training texts does not move it unless it is a larger share of a class.
+    quantile: float = 0.1
+    slack: float = 0.65
+    #: A class with fewer training texts also takes those of the classes beside it.
+    least_texts: int = 50
+    #: Texts with more n-grams than this share of the training texts are judged like the last class below them,
+    #: which few but junk may exceed; longer texts only come closer to their centroid.
+    longest: float = 0.95
 
 
 @dataclass(frozen=True)
@@ -49,7 +61,7 @@ class LangModel:
     #: Row i is a centroid of languages[owner[i]].
     centres: np.ndarray
     owner: np.ndarray
-    #: Least cosine that is accepted, by the bit length of the number of n-grams.
+    #: Least cosine that is accepted, by length class.
     floor: np.ndarray
 
 
@@ -89,12 +101,16 @@ def _vectors(grams: list[tuple[np.ndarray, np.ndarray]], idf: np.ndarray) -> np.
     return out / np.where(norm > 0, norm, 1)
 
 
-def _bin(counts: np.ndarray) -> int:
-    return int(counts.sum()).bit_length()
+#: Four length classes for each doubling of the number of different n-grams, and steps of the cosine.
+CLASSES, STEPS = 4 * (DIM.bit_length() - 1) + 1, 1000
 
 
-def _spherical_kmeans(vectors: np.ndarray, k: int, rounds: int) -> np.ndarray:
-    """Unit centroids; starts from the vectors farthest from those chosen so far."""
+def _class(ids: np.ndarray) -> int:
+    return int(4 * np.log2(max(1, len(ids))))
+
+
+def _spherical_kmeans(vectors: np.ndarray, k: int, rounds: int, least_share: float) -> np.ndarray:
+    """Unit centroids of at least ``least_share`` of the vectors; starts from the vectors farthest from those chosen so far."""
     chosen = [0]
     best = vectors @ vectors[0]
     while len(chosen) < min(k, len(vectors)):
@@ -111,7 +127,8 @@ def _spherical_kmeans(vectors: np.ndarray, k: int, rounds: int) -> np.ndarray:
             if len(own):
                 mean = own.sum(axis=0)
                 centres[c] = mean / max(np.linalg.norm(mean), 1e-12)
-    return centres
+    owned = np.bincount((vectors @ centres.T).argmax(axis=1), minlength=len(centres))
+    return centres[owned >= min(least_share * len(vectors), owned.max())]
 
 
 def _document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
@@ -135,6 +152,43 @@ def _document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
     return out[:DIM], int(out[DIM])
 
 
+def _histogram(rows: DataFrame, idf: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Over all texts of ``rows`` with a letter: how many have which length class and cosine, ``CLASSES x STEPS`` counters."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(CLASSES * STEPS, np.int64)
+        for batch in batches:
+            for part in slices(batch):
+                grams = [gram_counts(t) for t in part.column(0).to_pylist() if _LETTER.search(t)]
+                if grams:
+                    cosine = (_vectors(grams, idf) @ centres.T).max(axis=1)
+                    step = np.clip((cosine * STEPS).astype(np.int64), 0, STEPS - 1)
+                    np.add.at(seen, np.array([_class(ids) for ids, _ in grams]) * STEPS + step, 1)
+        at = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(seen[at], pa.int64())], names=["cell", "n"])
+
+    counted = rows.select("text").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    out = np.zeros(CLASSES * STEPS, np.int64)
+    for row in counted.collect():  # CLASSES * STEPS rows at most
+        out[row["cell"]] = row["n"]
+    return out.reshape(CLASSES, STEPS)
+
+
+def _floors(histogram: np.ndarray, params: LangIdParams) -> np.ndarray:
+    """The least cosine that each length class accepts."""
+    floor = np.zeros(CLASSES, np.float32)
+    for c in range(CLASSES):
+        for width in range(CLASSES):
+            own = histogram[max(0, c - width) : c + width + 1].sum(axis=0)
+            if own.sum() >= params.least_texts:
+                break
+        reached = np.cumsum(own) > params.quantile * own.sum()
+        floor[c] = params.slack * reached.argmax() / STEPS
+    last = int((np.cumsum(histogram.sum(axis=1)) >= params.longest * histogram.sum()).argmax())
+    floor[last:] = floor[last]
+    return floor
+
+
 def fit(training: DataFrame, params: LangIdParams = LangIdParams()) -> LangModel | None:
     """A model from ``training (doc_id, text, lang)``; None if no row has an id, a text with a letter and a lang."""
     rows = training.where("lang is not null and text is not null and doc_id is not null")
@@ -168,21 +222,15 @@ def fit(training: DataFrame, params: LangIdParams = LangIdParams()) -> LangModel
     if not by:
         return None
     languages = tuple(sorted(by))
-    centres, owner, cosines = [], [], []
+    centres, owner = [], []
     for i, lang in enumerate(languages):
         vectors = _vectors(by[lang], idf)
-        own = _spherical_kmeans(vectors, params.centroids, params.rounds)
+        own = _spherical_kmeans(vectors, params.centroids, params.rounds, params.least_share)
         centres.append(own)
         owner += [i] * len(own)
-        cosines += zip([_bin(c) for _, c in by[lang]], (vectors @ own.T).max(axis=1).tolist(), strict=True)
-    # Longer texts come closer to their centroid: the floor rises with length and never falls.
-    floor = np.full(64, np.inf)
-    for b, cosine in cosines:
-        floor[b] = min(floor[b], cosine)
-    floor = np.minimum.accumulate(floor[::-1])[::-1]
-    least = min(c for _, c in cosines)
-    floor = params.slack * np.where(np.isfinite(floor), floor, max(floor[np.isfinite(floor)].max(initial=least), least))
-    return LangModel(languages, idf, np.concatenate(centres).astype(np.float32), np.array(owner), floor.astype(np.float32))
+    found = np.concatenate(centres).astype(np.float32)
+    floor = _floors(_histogram(rows, idf, found), params)
+    return LangModel(languages, idf, found, np.array(owner), floor)
 
 
 def predict(docs: DataFrame, model: LangModel | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -208,7 +256,7 @@ def predict(docs: DataFrame, model: LangModel | None, id_col: str = "doc_id", te
                     best = cosine.argmax(axis=1)
                     for i, g, row, b in zip(known, grams, cosine, best, strict=True):
                         lang[i], score[i] = model.languages[model.owner[b]], min(1.0, max(0.0, float(row[b])))
-                        rejected[i] = row[b] < model.floor[_bin(g[1])]
+                        rejected[i] = row[b] < model.floor[_class(g[0])]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(lang), pa.array(score, pa.float64()), pa.array(rejected)], names=["doc_id", "lang_pred", "score", "rejected"]
                 )
@@ -246,7 +294,7 @@ def keep_identified(docs: DataFrame, modulus: int = 5, params: LangIdParams = La
                 keep = []
                 for t in part.column(at).to_pylist():
                     g = gram_counts(t) if model is not None and t and _LETTER.search(t) else None
-                    keep.append(g is not None and bool((_vectors([g], model.idf) @ model.centres.T).max() >= model.floor[_bin(g[1])]))
+                    keep.append(g is not None and bool((_vectors([g], model.idf) @ model.centres.T).max() >= model.floor[_class(g[0])]))
                 yield part.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -1,3 +1,4 @@
+import base64
 import random
 import zlib
 
@@ -49,3 +50,18 @@ def test_edges(spark):
     assert langid.identify(frame.where(F.lit(False))).count() == 0
     unlabelled = langid.identify(frame.withColumn("lang", F.lit(None).cast("string"))).collect()
     assert {r["lang_pred"] for r in unlabelled} == {"und"}
+
+
+def test_junk_is_rejected_though_some_is_in_the_training_rows(spark):
+    rng = random.Random(4)
+    letters = lambda n: " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(n))
+    base = lambda n: base64.b64encode(rng.randbytes(5 * n)).decode()
+    finnish = "talo kissa koira olen ollut kaupunki metsä yö päivä kuinka huomenta tämä suomen kieli helppo ihminen juoksee nopeasti kotiin koska sataa vettä".split()
+    polish = "dom pies jestem byłem miasto jezioro las dzień jak dobry rano język polski łatwy człowiek biegnie szybko ponieważ pada deszcz wszystko gdzie źródło".split()
+    listed = lambda words: lambda n: " ".join(rng.choice(words) for _ in range(n))
+    rows = corpus(1000)
+    rows += [(2000 + i, make(rng.choice([40, 200])), rng.choice(sorted(SYLLABLES)), 1, "x") for i, make in enumerate([letters, base] * 10)]
+    rows += [(3000 + 10 * k + i, make(n), None, 1, "x") for k, make in enumerate([letters, base, listed(finnish), listed(polish)]) for i, n in enumerate([40, 200, 1000])]
+    kept = {r["doc_id"] for r in langid.keep_identified(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert not [i for i in kept if i >= 2000]
+    assert len([i for i in kept if i < 1000]) >= 990
