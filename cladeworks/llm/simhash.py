@@ -25,6 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cladeworks.llm import neardup
 from cladeworks.llm.common import slices
 from cladeworks.plans.components import connected_components
 from cladeworks.plans.lineage import materialise
@@ -43,19 +44,26 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def fingerprint(text: str | None, words_per_shingle: int) -> int:
-    """SimHash of the word shingles of a text; 0 if it has no words."""
+def shingle_hashes(text: str | None, words_per_shingle: int) -> list[int]:
+    """Hashes of the word shingles of a text in their order, repeats included; a shorter text is one shingle."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     n = len(words)
     if not n:
-        return 0
+        return []
     k = min(n, words_per_shingle)
     whole = b" ".join(words)
     size = np.fromiter(map(len, words), np.int64, n)
     ends = np.cumsum(size + 1) - 1
     starts = (ends - size)[: n - k + 1].tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = [digest(whole[a:b], 42) for a, b in zip(starts, ends[k - 1 :].tolist(), strict=True)]
+    return [digest(whole[a:b], 42) for a, b in zip(starts, ends[k - 1 :].tolist(), strict=True)]
+
+
+def fingerprint(text: str | None, words_per_shingle: int) -> int:
+    """SimHash of the word shingles of a text; 0 if it has no words."""
+    hashes = shingle_hashes(text, words_per_shingle)
+    if not hashes:
+        return 0
     ones = np.zeros(BITS, np.int64)
     for at in range(0, len(hashes), 1 << 16):
         part = np.array(hashes[at : at + (1 << 16)], dtype="<u8").view(np.uint8).reshape(-1, 8)
@@ -123,13 +131,16 @@ def simhash_groups(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", te
 
 
 def keep_one_per_group(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, one of each SimHash group (smallest id); columns unchanged.
+    """The rows of ``docs`` that resemble no row with a smaller id; columns unchanged.
 
-    Rows that repeat the smallest id of their group are repeats of it: one of
-    them stays. Rows with a null id cannot be named by a decision and stay.
+    Rows resemble each other if the sets of their shingles have a Jaccard
+    similarity of 0.8 or more (``neardup``, on the shingles that fingerprints
+    are made of; fingerprints reach only far nearer texts). Rows that share an
+    id but not the text are judged apart; of rows with equal id and text one
+    stays. Rows with a null id cannot be named by a decision and stay.
     """
-    known = docs.where(F.col(id_col).isNotNull())
-    groups = simhash_groups(known, shingle, id_col, text_col)
-    keep = groups.where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    kept = known.join(keep, F.col(id_col).cast("long") == keep["_kept"], "left_semi").dropDuplicates([id_col])
+    keyed = docs.where(F.col(id_col).isNotNull()).withColumns({"_id": F.col(id_col).cast("long"), "_key": F.xxhash64(F.col(text_col).cast("string"))})
+    rows = keyed.select(F.col("_id").alias("doc_id"), F.col("_key").alias("line_no"), F.col(text_col).cast("string").alias("text"))
+    gone = neardup.resembling_earlier(rows, lambda text: np.array(shingle_hashes(text, shingle), np.uint64))
+    kept = keyed.join(gone.toDF("_id", "_key"), ["_id", "_key"], "left_anti").dropDuplicates(["_id", "_key"]).select(docs.columns)
     return kept.unionByName(docs.where(F.col(id_col).isNull()))

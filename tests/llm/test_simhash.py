@@ -98,3 +98,35 @@ def test_repeats_nulls_and_empty_table(spark):
 @pytest.mark.parametrize("text", ["A b", "", "x\x0by\x0cz w"])
 def test_fingerprint_of_short_texts(text):
     assert simhash.fingerprint(text, 3) == brute_fingerprint(text)
+
+
+def shingle_set(text, k=5):
+    words = (text or "").split()
+    return {tuple(words[i : i + k]) for i in range(len(words) - k + 1)} or {tuple(words)}
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b)
+
+
+def test_every_near_copy_at_four_fifths_goes(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    texts = []
+    for size, changed in [(30, 1), (60, 1), (60, 2), (200, 4), (200, 9), (400, 2), (1000, 20), (1000, 1), (1000, 60)] * 3:
+        base = [word() for _ in range(size)]
+        copy = list(base)
+        for at in rng.sample(range(size), changed):
+            copy[at] = word()
+        texts += [" ".join(base), " ".join(copy)]
+    group = [word() for _ in range(100)]
+    texts += [" ".join([*group[:i], word(), *group[i + 1 :]]) for i in range(60)]
+    passage = [word() for _ in range(40)]  # shared by unlike texts
+    texts += [" ".join([*passage, *[word() for _ in range(30)]]) for _ in range(30)]
+    rng.shuffle(texts)
+    sets = [shingle_set(t) for t in texts]
+    want = [i for i, s in enumerate(sets) if not any(jaccard(s, e) >= 0.8 for e in sets[:i])]
+    frame = spark.createDataFrame([(i, t, "f", 1) for i, t in enumerate(texts)], SCHEMA)
+    assert sorted(r["doc_id"] for r in simhash.keep_one_per_group(frame).collect()) == want
+    at = [jaccard(sets[i], sets[j]) for i in range(len(sets)) for j in range(i)]
+    assert sum(0.8 <= x < 0.95 for x in at) > 10 and sum(0.3 < x < 0.8 for x in at) > 10
