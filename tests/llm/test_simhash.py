@@ -130,3 +130,9 @@ def test_every_near_copy_at_four_fifths_goes(spark):
     assert sorted(r["doc_id"] for r in simhash.keep_one_per_group(frame).collect()) == want
     at = [jaccard(sets[i], sets[j]) for i in range(len(sets)) for j in range(i)]
     assert sum(0.8 <= x < 0.95 for x in at) > 10 and sum(0.3 < x < 0.8 for x in at) > 10
+
+
+def test_clashing_ids_with_different_texts_are_judged_apart(spark):
+    rows = [(1, "a b c d e f", "f", 1), (1, "q r s t u v", "f", 1), (2, "q r s t u v", "f", 1), (3, "k l m n o p", "f", 1)]
+    kept = simhash.keep_one_per_group(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted((r["doc_id"], r["text"][0]) for r in kept) == [(1, "a"), (1, "q"), (3, "k")]
