@@ -237,6 +237,11 @@ def _(part):
     return part.select("p_partkey", F.round(F.col("p_retailprice") - 950, 6).alias("coef")).where("coef > 0").orderBy(F.desc("coef"), "p_partkey")
 
 
+def _drugs(pheno):
+    """The drugs that have labels: a short list."""
+    return sorted(r["drug"] for r in pheno.select("drug").distinct().collect())
+
+
 def _ml(features, pheno, low, k):
     """Vectors of the frequent features with the labels and a fold."""
     x, _ = ev.vectors(fe.frequency_band(features, low))
@@ -259,10 +264,10 @@ query("svm", "b_words b_labels")(_job(ev.linear_svm))
 
 @query("cv_models", "b_words b_labels")
 def _(words, labels):
-    rows = _ml(words, labels, 60, 5)
+    rows, drugs = _ml(words, labels, 60, 10), _drugs(labels)
     out = None
-    for fold in range(5):
-        one = ev.fit_predict(rows.where(F.col("fold") != fold), rows.where(F.col("fold") == fold), ["toxic"], ev.sparse_logistic).withColumn("fold", F.lit(fold))
+    for fold in range(10):
+        one = ev.fit_predict(rows.where(F.col("fold") != fold), rows.where(F.col("fold") == fold), drugs, ev.sparse_logistic).withColumn("fold", F.lit(fold))
         out = one if out is None else out.union(one)
     return ev.metrics(out, ["drug", "fold"]).groupBy("drug").agg(F.round(F.avg("f1"), 6).alias("f1"), F.round(F.avg("auc"), 6).alias("auc"), F.count(F.lit(1)).alias("n_folds"))
 
@@ -275,10 +280,14 @@ def _(words, labels):
 
 @query("coef_permutation", "b_words b_labels")
 def _(words, labels):
-    return ev.coefficient_p_values(fe.frequency_band(words, 60), labels, "toxic", 5)
+    often, out = materialise(fe.frequency_band(words, 60)), None
+    for drug in _drugs(labels):
+        one = ev.coefficient_p_values(often, labels, drug, 5).select(F.lit(drug).alias("drug"), "*")
+        out = one if out is None else out.union(one)
+    return out
 
 
 @query("gene_models", "b_calls b_feat b_pheno")
 def _(calls, feat, pheno):
     data = _ml(fe.extended(_local(calls, feat)), pheno, 12, 4)
-    return ev.metrics(ev.fit_predict(data.where("fold > 0"), data.where("fold = 0"), ["click", "view"], ev.sparse_logistic), ["drug"])
+    return ev.metrics(ev.fit_predict(data.where("fold > 0"), data.where("fold = 0"), _drugs(pheno), ev.sparse_logistic), ["drug"])
