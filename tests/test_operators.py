@@ -136,3 +136,11 @@ def test_encode_is_dense_and_ordered(spark):
     words = [f"w{i % 37:02d}" for i in range(200)]
     got = {r["feature"]: r["code"] for r in features.encode(spark.createDataFrame([(w,) for w in words], "feature string")).collect()}
     assert got == {w: i for i, w in enumerate(sorted(set(words)))}
+
+
+def test_vectors_keep_more_features_than_the_default_vocabulary(spark):
+    n = (1 << 18) + 500
+    features = spark.range(n).select((F.col("id") % 50).alias("sample_id"), F.concat(F.lit("f"), "id").alias("feature"))
+    rows, vocabulary = evaluate.vectors(features)
+    assert len(vocabulary) == n
+    assert sum(r["x"].numNonzeros() for r in rows.collect()) == n
