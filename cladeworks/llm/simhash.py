@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cladeworks.llm import neardup
-from cladeworks.llm.common import slices
+from cladeworks.llm.common import fresh, slices
 from cladeworks.plans.components import connected_components
 from cladeworks.plans.lineage import materialise
 
@@ -139,8 +139,9 @@ def keep_one_per_group(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id"
     id but not the text are judged apart; of rows with equal id and text one
     stays. Rows with a null id cannot be named by a decision and stay.
     """
-    keyed = docs.where(F.col(id_col).isNotNull()).withColumns({"_id": F.col(id_col).cast("long"), "_key": F.xxhash64(F.col(text_col).cast("string"))})
-    rows = keyed.select(F.col("_id").alias("doc_id"), F.col("_key").alias("line_no"), F.col(text_col).cast("string").alias("text"))
+    key = [fresh(docs, "_doc_id"), fresh(docs, "_tag")]
+    keyed = docs.where(F.col(id_col).isNotNull()).withColumns({key[0]: F.col(id_col).cast("long"), key[1]: F.xxhash64(F.col(text_col).cast("string"))})
+    rows = keyed.select(F.col(key[0]).alias("doc_id"), F.col(key[1]).alias("tag"), F.col(text_col).cast("string").alias("text"))
     gone = neardup.resembling_earlier(rows, lambda text: np.array(shingle_hashes(text, shingle), np.uint64))
-    kept = keyed.join(gone.toDF("_id", "_key"), ["_id", "_key"], "left_anti").dropDuplicates(["_id", "_key"]).select(docs.columns)
+    kept = keyed.join(gone.toDF(*key), key, "left_anti").dropDuplicates(key).select(docs.columns)
     return kept.unionByName(docs.where(F.col(id_col).isNull()))
