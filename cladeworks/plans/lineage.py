@@ -1,8 +1,9 @@
 """Cutting lineage in a way that survives lost executors.
 
 Intermediate results go, as Parquet, to the shared folder that the cluster
-names in ``spark.checkpoint.dir``. Only where that setting is missing (local
-tests) does the session get a temporary folder of its own.
+names in ``spark.checkpoint.dir``. Only where that setting is missing and the
+master is local (tests) does the session get a temporary folder of its own; a
+cluster must name a folder that its executors share.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ def checkpoint_root(spark: SparkSession) -> str:
         return named
     own = spark.sparkContext.getCheckpointDir()
     if own is None:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         own = f"file://{tempfile.mkdtemp(prefix='cladeworks-')}"
         spark.sparkContext.setCheckpointDir(own)
     return own
