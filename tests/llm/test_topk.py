@@ -2,6 +2,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from cladeworks.llm import topk
@@ -48,10 +49,38 @@ def test_bounds_enclose_scores_and_lists_stop_early():
         assert (lower <= q @ x.T).all() and (q @ x.T <= upper).all()
     near = np.vstack([q * 3, x])
     found = topk.block_top_k(np.arange(5) + 1000, q, np.arange(len(near)), near, np.full(5, -np.inf), topk.TopKParams(k=1))
-    assert all(len(c) < len(near) for c, _ in found)
+    assert all(len(c) < len(near) and depth < len(near) for c, _, depth in found)
     assert topk._group_top_k.__name__
 
 
 def test_large_components_stay_exact(spark):
     rows = [(0, [1e6, 3.0], 1, 1), (1, [1e6 + 1, 1.0], 1, 1), (2, [1e6, 2.0], 1, 1)]
     assert {tuple(r) for r in topk.top_k(topk.whole_vectors(spark.createDataFrame(rows, SCHEMA)), 50).collect()} == brute(rows, 50, 5)
+
+
+def test_lists_of_the_table_are_not_read_to_their_ends():
+    table = pq.read_table("/root/testdata/sf0.1/embeddings.parquet")
+    x = np.floor(256 * np.array(table["embedding"].to_pylist(), np.float64))
+    ids = table["vec_id"].to_numpy()
+    asks = ids % 50 == 0
+    bar, early, read = np.full(asks.sum(), -np.inf), 0, []
+    params = topk.TopKParams()
+    for at in range(0, len(x), params.block):
+        part, own = x[at : at + params.block], ids[at : at + params.block]
+        for i, (chosen, scores, depth) in enumerate(topk.block_top_k(ids[asks], x[asks], own, part, bar, params)):
+            early += depth < len(part)
+            read.append(depth / len(part))
+            true = part @ x[asks][i]
+            true[own == ids[asks][i]] = -np.inf
+            best = np.sort(true)[-5:]
+            assert set(best[best >= bar[i]]) <= set(scores)
+            bar[i] = max(bar[i], best[0])
+    print(early / len(read), np.mean(read))
+    assert early > 0.9 * len(read)
+
+
+def test_every_row_that_repeats_a_query_id_asks(spark):
+    rows = [(0, [1.0, 0.0], 1, 1), (0, [0.0, 1.0], 1, 1), (0, [0.0, 1.0], 1, 1), (1, [2.0, 1.0], 1, 1), (2, [1.0, 3.0], 1, 1)]
+    got = sorted(map(tuple, topk.top_k(topk.whole_vectors(spark.createDataFrame(rows, SCHEMA)), 50).collect()))
+    one, two = [(1, 1, 131072), (2, 2, 65536)], [(1, 2, 196608), (2, 1, 65536)]
+    assert got == sorted((0, *x) for x in [*one, *two, *two])
