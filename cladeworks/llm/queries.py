@@ -128,19 +128,21 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM e GROUP BY conv_id
 """
 
-#: Alignments by three equal words in a row (every accepted window holds such a run), then every window in full.
+#: Alignments by three equal words in a row (every accepted window holds such a run), then every window in full; short items word for word.
 OP3_SQL = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE doc_id IS NOT NULL),
-b AS (SELECT item_id, w FROM (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM benchmark) WHERE len(w) >= 8 AND item_id IS NOT NULL),
+b AS (SELECT item_id, w FROM (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM benchmark) WHERE len(w) > 0 AND item_id IS NOT NULL),
 dt AS (SELECT doc_id, p, concat_ws(' ', w[p], w[p+1], w[p+2]) AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS p FROM d)),
 bt AS (SELECT item_id, p, concat_ws(' ', w[p], w[p+1], w[p+2]) AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 1)) AS p FROM b)),
 a AS (SELECT DISTINCT doc_id, item_id, dt.p - bt.p AS o FROM dt JOIN bt USING (g)),
 m AS (SELECT doc_id, item_id, least(len(b.w), 13) AS n_window,
   list_transform(range(1, len(b.w) + 1), lambda j: CASE WHEN o + j >= 1 AND d.w[o + j] = b.w[j] THEN 1 ELSE 0 END) AS e
-  FROM a JOIN d USING (doc_id) JOIN b USING (item_id)),
+  FROM a JOIN d USING (doc_id) JOIN b USING (item_id) WHERE len(b.w) >= 8),
 s AS (SELECT doc_id, item_id, n_window, list_max(list_transform(range(1, len(e) - n_window + 2), lambda s: list_sum(e[s : s + n_window - 1]))) AS n_equal FROM m)
 SELECT doc_id, item_id, CAST(max(n_window) AS BIGINT) AS n_window, CAST(max(n_equal) AS BIGINT) AS n_equal
-FROM s WHERE 5 * n_equal >= 4 * n_window GROUP BY doc_id, item_id
+FROM (SELECT * FROM s WHERE 5 * n_equal >= 4 * n_window UNION ALL
+ SELECT doc_id, item_id, len(b.w), len(b.w) FROM b JOIN d ON len(b.w) < 8 AND contains(' ' || array_to_string(d.w, ' ') || ' ', ' ' || array_to_string(b.w, ' ') || ' '))
+GROUP BY doc_id, item_id
 """
 
 OP9_SQL = r"""
