@@ -15,8 +15,7 @@ also start one component of the vectors.
 Scale: one pass over the texts without a shuffle; windows are scored in
 chunks, so memory does not grow with a text. The network is fitted on the
 driver from at most about ``positives`` + ``negatives`` labelled texts chosen
-by a hash of the id, each of ``sample_words`` words at most, taken in windows
-spread evenly over the text (documented bounds of the training sample).
+by a hash of the id (documented bounds of the training sample), whole texts.
 """
 
 from __future__ import annotations
@@ -42,7 +41,6 @@ _F = np.float32
 class ToxicityParams:
     positives: int = 1200
     negatives: int = 2400
-    sample_words: int = 2048
     vocabulary: int = 20_000
     word_size: int = 8
     gram_size: int = 8
@@ -308,12 +306,7 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 3, held: int = 1, par
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                found = []
-                for t in part.column(1).to_pylist():
-                    w = words(t)
-                    if len(w) > params.sample_words:
-                        w = [x for s in np.linspace(0, len(w) - WINDOW, params.sample_words // WINDOW).astype(int) for x in w[s : s + WINDOW]]
-                    found.append(" ".join(w))
+                found = [" ".join(words(t)) for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(found, pa.string())], names=["doc_id", "y", "words"])
 
     got = rows.select("doc_id", "text", "y").mapInArrow(run, "doc_id long, y int, words string").collect()
