@@ -21,9 +21,9 @@ def write_filter_outputs(kept: DataFrame, low_sites: DataFrame, samples: DataFra
 
 
 def write_params(spark: SparkSession, params: object, path: str) -> None:
-    """A run's parameters as one row per name."""
+    """A run's parameters as one row per name, after those of earlier runs."""
     rows = [(k, str(v)) for k, v in asdict(params).items()]
-    spark.createDataFrame(rows, "name string, value string").write.mode("overwrite").json(path)
+    spark.createDataFrame(rows, "name string, value string").write.mode("append").json(path)
 
 
 def write_fasta(rows: DataFrame, path: str) -> None:

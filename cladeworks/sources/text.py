@@ -28,8 +28,9 @@ def fasta(spark: SparkSession, path: str) -> DataFrame:
 
 
 def reference(spark: SparkSession, path: str) -> DataFrame:
-    """The reference as one row ``(seq)``: the only record of its file."""
-    return fasta(spark, path).select("seq")
+    """The reference as one row ``(seq)``: the last record of its file."""
+    records = fasta(spark, path).select("seq", F.monotonically_increasing_id().alias("read_order"))
+    return records.orderBy(F.desc("read_order")).limit(1).select("seq")
 
 
 def alignment_columns(records: DataFrame) -> DataFrame:

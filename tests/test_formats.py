@@ -97,3 +97,8 @@ def test_sinks(spark, tmp_path):
     assert rows(spark.read.text(f"{tmp_path}/m")) == [("a\t1\t1.00",)]
     sinks.write_selected(spark.createDataFrame([("x", -2.0, 0.0), ("y", 1.0, 0.5)], "feature string, coefficient double, p_value double"), f"{tmp_path}/s")
     assert spark.read.text(f"{tmp_path}/s").where(F.col("value") == "x\t-2.0\t0.0").count() == 1
+
+
+def test_reference_is_the_last_record(spark, tmp_path):
+    (tmp_path / "two.fasta").write_text(">first\nacgt\n>second one\nggc\ncta\n")
+    assert [r["seq"] for r in text.reference(spark, str(tmp_path / "two.fasta")).collect()] == ["GGCCTA"]
