@@ -120,8 +120,19 @@ def alignment(cells: DataFrame, sites: DataFrame, samples: DataFrame) -> DataFra
     return rows.select("sample_id", F.array_join(F.transform("_line", lambda s: F.coalesce(F.element_at("_own", s["pos"]), s["value"])), "").alias("row"))
 
 
-def interleave(positions: DataFrame, n: int) -> DataFrame:
-    """Column ``split`` and place inside it: columns dealt in turn to ``n`` alignments, and their merged order."""
-    order = Window.orderBy("pos")
-    k = F.row_number().over(order) - 1
-    return positions.select("pos", (k % n).alias("split"), F.floor(k / n).cast("int").alias("place"))
+def site_rows(cells: DataFrame, by: list[str], place: str = "pos", width: int = 256) -> DataFrame:
+    """``(*by, block, row)``: a character per site of a stretch of ``width`` places, in order, ``-`` where a row has none.
+
+    ``cells`` has ``by``, ``place`` and ``base``; the first of ``by`` names the row, the others the alignment. Sites are those that any
+    row has; a stretch in which a row has no base is left out. No list is longer than ``width``.
+    """
+    block = F.floor(F.col(place) / width).cast("long").alias("block")
+    sites = cells.select(*by[1:], block, F.col(place).alias("at")).distinct().groupBy(*by[1:], "block").agg(F.array_sort(F.collect_set("at")).alias("sites"))
+    own = cells.groupBy(*by, block).agg(F.map_from_entries(F.collect_list(F.struct(F.col(place), "base"))).alias("own"))
+    row = F.transform("sites", lambda at: F.coalesce(F.element_at("own", at), F.lit("-")))
+    return own.join(sites, [*by[1:], "block"]).select(*by, "block", F.array_join(row, "").alias("row"))
+
+
+def interleave(codes: DataFrame, n: int) -> DataFrame:
+    """``(pos, split, place)`` from ``(pos, code)``, sites numbered in order: columns dealt in turn to ``n`` alignments."""
+    return codes.select("pos", (F.col("code") % n).cast("int").alias("split"), F.floor(F.col("code") / n).cast("long").alias("place"))

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cladeworks.functions import sequence as sq
+from cladeworks.operators.consequence import Chunks, with_bases
 from cladeworks.plans.lineage import discard, materialise
 
 
@@ -31,17 +33,49 @@ def leaves(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("child").alias("node")).join(edges.select(F.col("parent").alias("node")).where("node is not null").distinct(), "node", "left_anti")
 
 
+def edge_bases(edges: DataFrame, bases: DataFrame) -> DataFrame:
+    """``(child, parent, pos, old, new)`` at every site where both ends of an edge have a base."""
+    c = edges.where("parent is not null").select("child", "parent").join(bases.select(F.col("node").alias("child"), "pos", F.col("base").alias("new")), "child")
+    return c.join(bases.select(F.col("node").alias("parent"), "pos", F.col("base").alias("old")), ["parent", "pos"]).select("child", "parent", "pos", "old", "new")
+
+
 def edge_changes(edges: DataFrame, bases: DataFrame) -> DataFrame:
     """``(child, parent, pos, old, new)`` where the base of a child differs from its parent's."""
-    c = edges.where("parent is not null").select("child", "parent").join(bases.select(F.col("node").alias("child"), "pos", F.col("base").alias("new")), "child")
-    return c.join(bases.select(F.col("node").alias("parent"), "pos", F.col("base").alias("old")), ["parent", "pos"]).where("old <> new").select("child", "parent", "pos", "old", "new")
+    return edge_bases(edges, bases).where("old <> new")
+
 
+def edge_mutations(edges: DataFrame, bases: DataFrame, genes: DataFrame, chunks: Chunks) -> DataFrame:
+    """``(child, parent, pos, old, new, syn)``: the changes on each edge, those of one codon as one change of its amino acid.
 
-def change_lists(changes: DataFrame, edges: DataFrame) -> DataFrame:
-    """``(child, parent, dist, muts)``: per edge its changes as base-position-base, in order of position, joined by ``;``."""
-    muts = changes.groupBy("child").agg(F.array_sort(F.collect_list(F.struct("pos", F.concat("old", F.col("pos").cast("string"), "new").alias("m")))).alias("l"))
-    joined = F.coalesce(F.array_join(F.transform("l", lambda x: x["m"]), ";"), F.lit(""))
-    return edges.where("parent is not null").join(muts, "child", "left").select("child", "parent", "dist", joined.alias("muts"))
+    ``genes (pos, gene, start_pos, end_pos, strand)`` has the sites in coding genes. From the first changed site of a codon on, sites
+    take the bases of parent and child, changed or not; the other bases come from the reference. ``pos`` is then the lowest position
+    of the codon, and ``syn`` is true if the amino acid stays. Changes outside genes keep position and bases; codons beyond the
+    reference go.
+    """
+    low = F.when(F.col("strand") == 1, sq.anchor(F.col("pos"), F.col("start_pos"))).otherwise(F.col("pos") - 2 + F.pmod(F.col("end_pos") - F.col("pos"), F.lit(3)))
+    rows = edge_bases(edges, bases).join(genes.select("pos", "gene", "strand", low.alias("at")), "pos", "left").withColumn("at", F.coalesce("at", "pos"))
+    pick = lambda i: F.max(F.when(F.col("pos") - F.col("at") == i, F.struct("old", "new"))).alias(f"s{i}")
+    codons = rows.groupBy("child", "parent", "gene", "strand", "at").agg(*[pick(i) for i in range(3)])
+    begun = F.lit(False)
+    for i in range(3):
+        begun = begun | F.coalesce(F.col(f"s{i}.old") != F.col(f"s{i}.new"), F.lit(False))
+        codons = codons.withColumn(f"s{i}", F.when(begun, F.col(f"s{i}")))
+    changed = codons.where(F.coalesce("s0", "s1", "s2").isNotNull())
+    outside = changed.where("gene is null").select("child", "parent", F.col("at").alias("pos"), "s0.old", "s0.new", F.lit(False).alias("syn"))
+    inside = with_bases(changed.where("gene is not null"), F.col("at"), F.lit(3), chunks, "ref")
+    codon = lambda end: F.concat(*[F.coalesce(f"s{i}.{end}", F.substring("ref", i + 1, 1)) for i in range(3)])
+    acid = lambda end: sq.amino_acid(F.when(F.col("strand") == 1, codon(end)).otherwise(sq.reverse_complement(codon(end)))).alias(end)
+    inside = inside.select("child", "parent", F.col("at").alias("pos"), acid("old"), acid("new"))
+    return inside.withColumn("syn", F.col("old") == F.col("new")).union(outside)
+
+
+def mutation_lists(mutations: DataFrame, edges: DataFrame) -> DataFrame:
+    """``(child, parent, dist, syn, nonsyn)``: per edge the positions of its silent changes and its other changes as old-position-new, joined by ``;``."""
+    name = F.when(F.col("syn"), F.col("pos").cast("string")).otherwise(F.concat("old", F.col("pos").cast("string"), "new"))
+    listed = lambda kind: F.array_sort(F.collect_list(F.when(F.col("syn") == kind, F.struct("pos", name.alias("m")))))
+    lists = mutations.groupBy("child").agg(listed(True).alias("s"), listed(False).alias("n"))
+    joined = lambda c: F.coalesce(F.array_join(F.transform(c, lambda x: x["m"]), ";"), F.lit(""))
+    return edges.where("parent is not null").join(lists, "child", "left").select("child", "parent", "dist", joined("s").alias("syn"), joined("n").alias("nonsyn"))
 
 
 def state_changes(edges: DataFrame, states: DataFrame) -> DataFrame:

@@ -29,9 +29,8 @@ VIEWS = {
  CASE WHEN c_custkey=0 THEN NULL ELSE CAST(floor((c_custkey-1)/2.0) AS BIGINT) END AS parent,
  CAST(floor(abs(c_acctbal)) AS BIGINT) AS dist FROM {customer}""",
     "b_state": """SELECT CAST(c_custkey AS BIGINT) AS node, CASE WHEN c_mktsegment IN ('BUILDING','MACHINERY') THEN 'R' ELSE 'S' END AS state FROM {customer}""",
-    "b_bases": """SELECT CAST(c_custkey AS BIGINT) AS node, CAST(p_partkey*2+1 AS BIGINT) AS pos,
- substring('ACGT',CAST(1+CAST(floor(c_custkey/(p_partkey+2.0)) AS BIGINT)%4 AS INT),1) AS base
-FROM {customer} CROSS JOIN {part} WHERE p_partkey<60""",
+    "b_bases": """SELECT CAST(o_custkey AS BIGINT) AS node, CAST(l_suppkey*2+1 AS BIGINT) AS pos,
+ substring('ACGT',CAST(1+sum(CAST(l_quantity AS BIGINT))%4 AS INT),1) AS base FROM {lineitem} JOIN {orders} ON l_orderkey=o_orderkey GROUP BY o_custkey, l_suppkey""",
     "b_depth": """SELECT CAST(l_suppkey AS BIGINT) AS sample_id, CAST(l_partkey AS BIGINT) AS pos,
  CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS depth FROM {lineitem} GROUP BY l_suppkey, l_partkey""",
     "b_edges": """SELECT DISTINCT CAST(a.l_partkey AS BIGINT) AS src, CAST(b.l_partkey AS BIGINT) AS dst FROM {lineitem} a JOIN {lineitem} b

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from cladeworks.functions import sequence as sq
 from cladeworks.operators import consequence as co
+from cladeworks.operators import features as fe
 from cladeworks.operators import intervals as iv
 from cladeworks.operators import islands
 from cladeworks.plans.registry import query
@@ -203,15 +204,21 @@ def _(calls, feat, ref):
     return grid.select("gene", "sample_id", F.array_join(F.transform("line", pick), "").alias("row"))
 
 
-@query("column_subset", "b_bases b_calls", "SELECT node, string_agg(base, '' ORDER BY pos) AS row FROM b_bases WHERE pos IN (SELECT pos FROM b_calls) GROUP BY node")
+_ROWS = """s AS (SELECT DISTINCT split, p // 256 AS block, p FROM cells), n AS (SELECT DISTINCT node, split, p // 256 AS block FROM cells),
+ r AS (SELECT n.node, n.split, n.block, string_agg(coalesce(c.base, '-'), '' ORDER BY s.p) AS row FROM n JOIN s ON s.split = n.split AND s.block = n.block
+ LEFT JOIN cells c ON c.node = n.node AND c.split = n.split AND c.p = s.p GROUP BY n.node, n.split, n.block)"""
+
+
+@query("column_subset", "b_bases b_calls", f"""
+WITH cells AS (SELECT node, 0 AS split, pos AS p, base FROM b_bases WHERE pos IN (SELECT pos FROM b_calls)), {_ROWS} SELECT node, block, row FROM r""")
 def _(bases, calls):
-    kept = bases.join(calls.select("pos").distinct(), "pos", "left_semi")
-    return kept.groupBy("node").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "base"))), lambda s: s["base"]), "").alias("row"))
+    return co.site_rows(bases.join(calls.select("pos").distinct(), "pos", "left_semi"), ["node"])
 
 
-@query("column_interleave", "b_bases", """
-WITH c AS (SELECT pos, row_number() OVER (ORDER BY pos) - 1 AS k FROM (SELECT DISTINCT pos FROM b_bases))
-SELECT node, CAST(k % 7 AS INT) AS split, string_agg(base, '' ORDER BY k) AS row FROM b_bases JOIN c USING (pos) GROUP BY node, k % 7""")
+@query("column_interleave", "b_bases", f"""
+WITH k AS (SELECT pos, row_number() OVER (ORDER BY pos) - 1 AS k FROM (SELECT DISTINCT pos FROM b_bases)),
+ cells AS (SELECT node, CAST(k % 7 AS INT) AS split, k // 7 AS p, base FROM b_bases JOIN k USING (pos)), {_ROWS} SELECT node, split, block, row FROM r""")
 def _(bases):
-    placed = bases.join(co.interleave(bases.select("pos").distinct(), 7), "pos")
-    return placed.groupBy("node", "split").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "base"))), lambda s: s["base"]), "").alias("row"))
+    codes = fe.encode(bases.select(F.col("pos").alias("feature")).distinct()).select(F.col("feature").alias("pos"), "code")
+    return co.site_rows(bases.join(co.interleave(codes, 7), "pos"), ["node", "split"], "place")
+

@@ -3,15 +3,34 @@
 from pyspark.sql import functions as F
 
 from cladeworks.functions import sequence as sq
+from cladeworks.operators import consequence as co
 from cladeworks.operators import features as fe
 from cladeworks.operators import intervals as iv
 from cladeworks.operators import tree as tr
 from cladeworks.plans.registry import query
+from cladeworks.plans.roster.consequence import _ROWS, _aa, _rc
 
 _ANC = "RECURSIVE a AS (SELECT child AS node, parent AS ancestor, CAST(1 AS BIGINT) AS steps FROM b_tree WHERE parent IS NOT NULL UNION ALL SELECT a.node, t.parent, steps + 1 FROM a JOIN b_tree t ON t.child = a.ancestor WHERE t.parent IS NOT NULL)"
 _TIPS = "tips AS (SELECT child AS node FROM b_tree WHERE child NOT IN (SELECT parent FROM b_tree WHERE parent IS NOT NULL))"
 _CH = "ch AS (SELECT t.child, t.parent, c.pos, p.base AS old, c.base AS new FROM b_tree t JOIN b_bases c ON c.node = t.child JOIN b_bases p ON p.node = t.parent AND p.pos = c.pos WHERE c.base <> p.base)"
-_LIST = "SELECT t.child, t.parent, t.dist, coalesce(string_agg(old || ch.pos || new, ';' ORDER BY ch.pos), '') AS muts FROM b_tree t LEFT JOIN {} ch ON ch.child = t.child WHERE t.parent IS NOT NULL GROUP BY t.child, t.parent, t.dist"
+_MU = """sh AS (SELECT t.child, t.parent, c.pos, p.base AS old, c.base AS new FROM b_tree t JOIN {0} c ON c.node = t.child JOIN {0} p ON p.node = t.parent AND p.pos = c.pos),
+ lo AS (SELECT pos, arg_max(name, start_pos) AS gene FROM (SELECT DISTINCT pos FROM {0}) JOIN b_feat ON pos BETWEEN start_pos AND end_pos GROUP BY pos),
+ ge AS (SELECT pos, gene, strand, CASE WHEN strand = 1 THEN pos - (pos - start_pos) % 3 ELSE pos - 2 + (end_pos - pos) % 3 END AS cs FROM lo JOIN b_feat ON name = gene WHERE ftype = 'Gene'),
+ fi AS (SELECT child, gene, cs, min(pos) AS since FROM sh JOIN ge USING (pos) WHERE old <> new GROUP BY child, gene, cs),
+ sl AS (SELECT child, parent, cs, strand, max(old) FILTER (pos = cs) o0, max(old) FILTER (pos = cs + 1) o1, max(old) FILTER (pos = cs + 2) o2,
+  max(new) FILTER (pos = cs) n0, max(new) FILTER (pos = cs + 1) n1, max(new) FILTER (pos = cs + 2) n2 FROM sh JOIN ge USING (pos) JOIN fi USING (child, gene, cs) WHERE pos >= since GROUP BY child, parent, gene, cs, strand),
+ re AS (SELECT sl.*, substring(seq, cs, 1) r0, substring(seq, cs + 1, 1) r1, substring(seq, cs + 2, 1) r2 FROM sl CROSS JOIN b_ref WHERE cs >= 1 AND cs + 2 <= length(seq)),
+ cd AS (SELECT child, parent, cs, strand, coalesce(o0, r0) || coalesce(o1, r1) || coalesce(o2, r2) AS oc, coalesce(n0, r0) || coalesce(n1, r1) || coalesce(n2, r2) AS nc FROM re),
+ mu AS (SELECT child, parent, cs AS pos, """ + _aa(f"CASE WHEN strand = 1 THEN oc ELSE {_rc('oc')} END") + " AS old, " + _aa(f"CASE WHEN strand = 1 THEN nc ELSE {_rc('nc')} END") + """ AS new, TRUE AS coding FROM cd
+  UNION ALL SELECT child, parent, pos, old, new, FALSE FROM sh WHERE old <> new AND pos NOT IN (SELECT pos FROM ge))"""
+_LIST = """SELECT t.child, t.parent, t.dist, coalesce(string_agg(CAST(u.pos AS VARCHAR), ';' ORDER BY u.pos) FILTER (coding AND old = new), '') AS syn,
+ coalesce(string_agg(old || u.pos || new, ';' ORDER BY u.pos, old || u.pos || new) FILTER (NOT coding OR old <> new), '') AS nonsyn FROM b_tree t LEFT JOIN {} u ON u.child = t.child WHERE t.parent IS NOT NULL GROUP BY t.child, t.parent, t.dist"""
+
+
+def _mutations(edges, bases, feat, ref):
+    own = feat.where("ftype = 'Gene'").select(F.col("name").alias("gene"), "start_pos", "end_pos", "strand")
+    genes = iv.last_feature(bases, feat).select("pos", F.col("name").alias("gene")).join(own, "gene")
+    return tr.edge_mutations(edges, bases, genes, co.reference_chunks(ref))
 
 
 @query("edge_list", "b_tree", "SELECT child, parent, dist, parent IS NULL AS is_root FROM b_tree")
@@ -19,22 +38,23 @@ def _(edges):
     return edges.select("child", "parent", "dist", F.col("parent").isNull().alias("is_root"))
 
 
-@query("edge_mutations", "b_tree b_bases", f"WITH {_CH} " + _LIST.format("ch"))
-def _(edges, bases):
-    return tr.change_lists(tr.edge_changes(edges, bases), edges)
+@query("edge_mutations", "b_tree b_bases b_feat b_ref", f"WITH {_MU.format('b_bases')} " + _LIST.format("mu"))
+def _(edges, bases, feat, ref):
+    return tr.mutation_lists(_mutations(edges, bases, feat, ref), edges)
 
 
-@query("edge_mutations_indel", "b_tree b_bases b_state", f"""
-WITH {_CH}, s AS (SELECT t.child, t.parent, 1000000 AS pos, CAST(CAST(p.state = 'R' AS INT) AS VARCHAR) AS old, CAST(CAST(c.state = 'R' AS INT) AS VARCHAR) AS new FROM b_tree t JOIN b_state c ON c.node = t.child JOIN b_state p ON p.node = t.parent WHERE c.state <> p.state),
-u AS (SELECT * FROM ch UNION ALL SELECT * FROM s) """ + _LIST.format("u"))
-def _(edges, bases, states):
+@query("edge_mutations_indel", "b_tree b_bases b_feat b_ref b_state", f"""
+WITH {_MU.format('b_bases')}, s AS (SELECT t.child, t.parent, 1000000 AS pos, CAST(CAST(p.state = 'R' AS INT) AS VARCHAR) AS old, CAST(CAST(c.state = 'R' AS INT) AS VARCHAR) AS new, FALSE FROM b_tree t JOIN b_state c ON c.node = t.child JOIN b_state p ON p.node = t.parent WHERE c.state <> p.state),
+u0 AS (SELECT * FROM mu UNION ALL SELECT * FROM s) """ + _LIST.format("u0"))
+def _(edges, bases, feat, ref, states):
     characters = states.select("node", F.lit(1_000_000).cast("long").alias("pos"), (F.col("state") == "R").cast("int").cast("string").alias("base"))
-    return tr.change_lists(tr.edge_changes(edges, bases.select("node", "pos", "base").union(characters)), edges)
+    indels = tr.edge_changes(edges, characters).withColumn("syn", F.lit(False))
+    return tr.mutation_lists(_mutations(edges, bases, feat, ref).union(indels), edges)
 
 
-@query("edge_mutations_target", "b_tree b_bases b_calls", f"WITH {_CH}, u AS (SELECT * FROM ch WHERE pos IN (SELECT pos FROM b_calls)) " + _LIST.format("u"))
-def _(edges, bases, calls):
-    return tr.change_lists(tr.edge_changes(edges, bases.join(calls.select("pos").distinct(), "pos", "left_semi")), edges)
+@query("edge_mutations_target", "b_tree b_bases b_feat b_ref b_calls", f"WITH tg AS (SELECT * FROM b_bases WHERE pos IN (SELECT pos FROM b_calls)), {_MU.format('tg')} " + _LIST.format("mu"))
+def _(edges, bases, feat, ref, calls):
+    return tr.mutation_lists(_mutations(edges, bases.join(calls.select("pos").distinct(), "pos", "left_semi").select("node", "pos", "base"), feat, ref), edges)
 
 
 @query("edge_genes", "b_tree b_bases b_feat", f"""
@@ -54,12 +74,10 @@ def _(edges, states):
     return tr.state_changes(edges, states)
 
 
-@query("edge_syn", "b_tree b_bases b_feat", f"""
-WITH {_CH} SELECT child, count(*) AS n_syn FROM ch JOIN b_feat ON pos BETWEEN start_pos AND end_pos WHERE ftype = 'Gene' AND (pos - start_pos) % 3 = 2 GROUP BY child""")
-def _(edges, bases, feat):
-    changes = tr.edge_changes(edges, bases)
-    at = iv.points_in_intervals(changes.select("pos").distinct(), feat.where("ftype = 'Gene'")).where((F.col("pos") - sq.anchor(F.col("pos"), F.col("start_pos"))) == 2).select("pos")
-    return changes.join(at, "pos").groupBy("child").agg(F.count(F.lit(1)).alias("n_syn"))
+@query("edge_syn", "b_tree b_bases b_feat b_ref", f"WITH {_MU.format('b_bases')} SELECT child, count(*) AS n_syn, string_agg(CAST(pos AS VARCHAR), ';' ORDER BY pos) AS syn FROM mu WHERE coding AND old = new GROUP BY child")
+def _(edges, bases, feat, ref):
+    silent = _mutations(edges, bases, feat, ref).where("syn").groupBy("child").agg(F.count(F.lit(1)).alias("n_syn"), F.array_sort(F.collect_list("pos")).alias("p"))
+    return silent.select("child", "n_syn", F.array_join(F.col("p").cast("array<string>"), ";").alias("syn"))
 
 
 @query("prune_tree", "b_tree b_state", f"""
@@ -78,10 +96,9 @@ def _(edges):
     return kids.select("node", F.array_join("k", "_").alias("name"))
 
 
-@query("character_matrix", "b_bases b_state", "SELECT node, state, string_agg(base, '' ORDER BY pos) AS row FROM b_bases JOIN b_state USING (node) GROUP BY node, state")
+@query("character_matrix", "b_bases b_state", f"WITH cells AS (SELECT node, 0 AS split, pos AS p, base FROM b_bases), {_ROWS} SELECT node, state, block, row FROM r JOIN b_state USING (node)")
 def _(bases, states):
-    rows = bases.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("pos", "base"))).alias("l")).join(states, "node")
-    return rows.select("node", "state", F.array_join(F.transform("l", lambda x: x["base"]), "").alias("row"))
+    return co.site_rows(bases, ["node"]).join(states, "node").select("node", "state", "block", "row")
 
 
 @query("subtree_counts", "b_tree b_state", f"WITH {_ANC}, {_TIPS} SELECT ancestor AS node, count(*) AS n_leaves, count(*) FILTER (state = 'R') AS n_resistant FROM a JOIN tips USING (node) JOIN b_state USING (node) GROUP BY ancestor")

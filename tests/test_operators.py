@@ -144,3 +144,26 @@ def test_vectors_keep_more_features_than_the_default_vocabulary(spark):
     rows, vocabulary = evaluate.vectors(features)
     assert len(vocabulary) == n
     assert sum(r["x"].numNonzeros() for r in rows.collect()) == n
+
+
+def test_edge_mutations_join_the_codon(spark):
+    """Reference ATG AAA CCC T: a plus gene at 1-6, a minus gene at 7-9; position 10 is outside."""
+    edges = spark.createDataFrame([(0, None, 1), (1, 0, 1), (2, 1, 1)], "child long, parent long, dist long")
+    rows = [
+        (0, 4, "A"), (1, 4, "C"), (0, 6, "G"), (1, 6, "G"),  # AAG to CAG: the site after the change counts though it stays
+        (1, 3, "A"), (2, 3, "G"), (1, 2, "T"), (2, 2, "T"),  # ATA to ATG
+        (0, 7, "C"), (1, 7, "A"), (0, 10, "T"), (1, 10, "G"),  # minus: GGG to GGT, silent; outside
+        (2, 10, "C"), (2, 8, "A"),  # a base at one end only is no change
+    ]
+    bases = spark.createDataFrame(rows, "node long, pos long, base string")
+    genes = spark.createDataFrame([(p, "a", 1, 6, 1) for p in range(1, 7)] + [(p, "b", 7, 9, -1) for p in range(7, 10)], "pos long, gene string, start_pos long, end_pos long, strand int")
+    chunks = consequence.reference_chunks(spark.createDataFrame([("ATGAAACCCT",)], "seq string"))
+    found = tree.mutation_lists(tree.edge_mutations(edges, bases, genes, chunks), edges)
+    assert {r["child"]: (r["syn"], r["nonsyn"]) for r in found.collect()} == {1: ("7", "K4Q;T10G"), 2: ("", "I1M;G10C")}
+
+
+def test_site_rows_cut_and_fill(spark):
+    cells = spark.createDataFrame([(1, 0, "A"), (1, 5, "C"), (2, 2, "G"), (2, 4, "T")], "node long, pos long, base string")
+    found = {(r["node"], r["block"]): r["row"] for r in consequence.site_rows(cells, ["node"], width=4).collect()}
+    assert found == {(1, 0): "A-", (2, 0): "-G", (1, 1): "-C", (2, 1): "T-"}
+    assert consequence.site_rows(cells.limit(0), ["node"]).isEmpty()
