@@ -25,7 +25,9 @@ def _(part):
     return s.join(cut, "drug").where("p <= cut").select("drug", "pos", F.round("p", 6).alias("p"))
 
 
-@query("row_zip", "customer supplier")
+@query("row_zip", "customer supplier", """
+WITH a AS (SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS code, c_custkey FROM customer), b AS (SELECT row_number() OVER (ORDER BY s_suppkey) - 1 AS code, s_suppkey FROM supplier)
+SELECT code, c_custkey, s_suppkey FROM a JOIN b USING (code)""")
 def _(customer, supplier):
     a = fe.encode(customer.select(F.col("c_custkey").alias("feature"))).withColumnRenamed("feature", "c_custkey")
     b = fe.encode(supplier.select(F.col("s_suppkey").alias("feature"))).withColumnRenamed("feature", "s_suppkey")
