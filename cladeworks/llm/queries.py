@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cladeworks.llm import chat, decontaminate, langid, linededup, pieces, pii, quality, simhash, topk, toxicity
+from cladeworks.llm import audit, chat, decontaminate, langid, linededup, pieces, pii, quality, simhash, topk, toxicity
 from cladeworks.llm.common import table
 
 
@@ -54,6 +54,10 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(planted))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.interactions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pii": op1_pii,
@@ -66,6 +70,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_pieces": op8_pieces,
         "op9_line_dedup": op9_line_dedup,
         "op10_chat": op10_chat,
+        "op11_filter_audit": op11_filter_audit,
     }
 
 
@@ -161,5 +166,23 @@ FROM documents d LEFT JOIN gone g ON g.doc_id = d.doc_id WHERE d.doc_id IS NOT N
 """
 
 
+OP11_SQL = r"""
+WITH t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, list_filter(string_split_regex(t, '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS w, min(doc_id) OVER (PARTITION BY t) AS first_id FROM t),
+m AS (SELECT part, CAST(len(w) < 200 AS INT) + 2 * CAST(100 * len(list_distinct(w)) < 50 * len(w) AS INT) + 4 * CAST(100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t) AS INT)
+  + 8 * CAST(regexp_matches(t, '[#$%&*|]') AS INT) + 16 * CAST(coalesce(doc_id > first_id, false) AS INT) AS m,
+  coalesce(doc_id IN (SELECT doc_id FROM labels WHERE quality = 1 AND doc_id IS NOT NULL), false) AS good, coalesce(doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1 AND doc_id IS NOT NULL), false) AS toxic FROM w),
+c AS (SELECT part, m, count(*) AS n, count(*) FILTER (good) AS g, count(*) FILTER (toxic) AS x FROM m GROUP BY part, m),
+l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f, unnest([1, 2, 4, 8, 16]) AS b),
+o AS (SELECT a.f || b.f || c.f || d.f || e.f AS filter_order FROM l a JOIN l b ON b.f <> a.f JOIN l c ON c.f NOT IN (a.f, b.f) JOIN l d ON d.f NOT IN (a.f, b.f, c.f) JOIN l e ON e.f NOT IN (a.f, b.f, c.f, d.f)),
+s AS (SELECT filter_order, step, f, b, (SELECT CAST(coalesce(sum(y.b), 0) AS INT) FROM l y WHERE instr(filter_order, y.f) < step) AS before FROM (SELECT *, unnest(range(1, 6)) AS step FROM o) JOIN l ON f = filter_order[step]),
+r AS (SELECT part, filter_order, CAST(step AS INT) AS step, f, CAST(coalesce(sum(n) FILTER (m & (before | b) = 0), 0) AS BIGINT) AS kept, CAST(coalesce(sum(n) FILTER (m & b <> 0 AND m & before = 0), 0) AS BIGINT) AS removed,
+  CAST(coalesce(sum(n) FILTER (m & b <> 0 AND m & before <> 0), 0) AS BIGINT) AS redundant, CAST(coalesce(sum(n) FILTER (m = b), 0) AS BIGINT) AS unique_fails,
+  CAST(coalesce(sum(g) FILTER (m & b <> 0 AND m & before = 0), 0) AS BIGINT) AS good_lost, CAST(coalesce(sum(x) FILTER (m & b <> 0 AND m & before = 0), 0) AS BIGINT) AS toxic_lost
+  FROM c CROSS JOIN s GROUP BY part, filter_order, step, f)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley FROM r
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_pii": _op1_sql(), "op5_topk": OP5_SQL, "op10_chat": OP10_SQL, "op3_decontaminate": OP3_SQL, "op9_line_dedup": OP9_SQL}
+    return {"op1_pii": _op1_sql(), "op5_topk": OP5_SQL, "op10_chat": OP10_SQL, "op3_decontaminate": OP3_SQL, "op9_line_dedup": OP9_SQL, "op11_filter_audit": OP11_SQL}
