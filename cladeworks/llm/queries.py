@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cladeworks.llm import audit, chat, decontaminate, langid, linededup, pieces, pii, quality, simhash, topk, toxicity
+from cladeworks.llm import audit, chat, decontaminate, langid, linededup, pieces, pii, quality, simhash, topk, toxicity, urlfilter
 from cladeworks.llm.common import table
 
 
@@ -58,6 +58,14 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.interactions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+#: Rules of the registered query: verdict, host, path.
+URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+
+
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(table(spark, sf_dir, "pages"), spark.createDataFrame(URL_RULES, "verdict string, host string, path string"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pii": op1_pii,
@@ -71,6 +79,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_line_dedup": op9_line_dedup,
         "op10_chat": op10_chat,
         "op11_filter_audit": op11_filter_audit,
+        "op12_url_filter": op12_url_filter,
     }
 
 
@@ -184,5 +193,36 @@ SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lo
 """
 
 
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _op12_sql(rounds: int = 20) -> str:
+    """Rules by a lookup for each page; the rounds of propagation one below the other."""
+    rules = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in URL_RULES)
+    link = urlfilter.LINK.replace("'", "''")
+    own = f"SELECT kind, host, units * {urlfilter.KEEP} // {urlfilter.WHOLE} AS score FROM seeds"
+    steps = [f"s0 AS MATERIALIZED ({own})"]
+    for i in range(rounds):
+        steps.append(
+            f"s{i + 1} AS MATERIALIZED (SELECT kind, host, CAST(sum(score) AS BIGINT) AS score FROM ({own} UNION ALL SELECT kind, dst, score * {urlfilter.PASS} // (degree * {urlfilter.WHOLE})"
+            f" FROM ways JOIN s{i} ON s{i}.kind = ways.kind AND s{i}.host = src) GROUP BY kind, host)".replace("SELECT kind, dst, score", "SELECT ways.kind, dst, score")
+        )
+    return f"""
+WITH rules(verdict, rh, rp) AS (VALUES {rules}),
+u AS (SELECT row_number() OVER () AS row, page_id, html, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT row, page_id, html, {_LOWER.format("regexp_extract(rest, '^[^/?#]*')")} AS host, regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') AS path FROM u),
+k AS (SELECT row, arg_max(struct_pack(rule := rh || rp, verdict := verdict), (length(rh || rp), verdict)) AS b FROM h JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY row),
+r AS MATERIALIZED (SELECT page_id, host, path, b.rule AS rule, b.verdict AS verdict FROM h LEFT JOIN k USING (row)),
+seeds AS MATERIALIZED (SELECT verdict AS kind, host, count(*) * {urlfilter.UNIT} AS units FROM r WHERE verdict IS NOT NULL GROUP BY verdict, host),
+e AS MATERIALIZED (SELECT DISTINCT src, dst FROM (SELECT host AS src, {_LOWER.format("unnest(regexp_extract_all(html, '" + link + "', 1))")} AS dst FROM h WHERE host <> '') WHERE src <> dst),
+w AS (SELECT 'allow' AS kind, src, dst FROM e UNION ALL SELECT 'block', dst, src FROM e),
+ways AS MATERIALIZED (SELECT *, count(*) OVER (PARTITION BY kind, src) AS degree FROM w),
+{", ".join(steps)},
+g AS (SELECT host, CAST(coalesce(sum(score) FILTER (kind = 'allow'), 0) AS BIGINT) AS trust, CAST(coalesce(sum(score) FILTER (kind = 'block'), 0) AS BIGINT) AS distrust FROM s{rounds} GROUP BY host)
+SELECT page_id, r.host, path, rule, coalesce(verdict, CASE WHEN coalesce(distrust, 0) > coalesce(trust, 0) THEN 'block' ELSE 'allow' END) AS verdict, coalesce(trust, 0) AS trust, coalesce(distrust, 0) AS distrust
+FROM r LEFT JOIN g ON g.host = r.host
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_pii": _op1_sql(), "op5_topk": OP5_SQL, "op10_chat": OP10_SQL, "op3_decontaminate": OP3_SQL, "op9_line_dedup": OP9_SQL, "op11_filter_audit": OP11_SQL}
+    return {"op1_pii": _op1_sql(), "op5_topk": OP5_SQL, "op10_chat": OP10_SQL, "op3_decontaminate": OP3_SQL, "op9_line_dedup": OP9_SQL, "op11_filter_audit": OP11_SQL, "op12_url_filter": _op12_sql()}
