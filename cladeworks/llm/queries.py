@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cladeworks.llm import audit, chat, decontaminate, langid, linededup, pieces, pii, quality, simhash, topk, toxicity, urlfilter
+from cladeworks.llm import audit, chat, decontaminate, divergence, langid, linededup, pieces, pii, quality, simhash, topk, toxicity, urlfilter
 from cladeworks.llm.common import table
 
 
@@ -66,6 +66,10 @@ def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages"), spark.createDataFrame(URL_RULES, "verdict string, host string, path string"))
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pii": op1_pii,
@@ -80,6 +84,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_chat": op10_chat,
         "op11_filter_audit": op11_filter_audit,
         "op12_url_filter": op12_url_filter,
+        "op13_source_divergence": op13_source_divergence,
     }
 
 
@@ -224,5 +229,20 @@ FROM r LEFT JOIN g ON g.host = r.host
 """
 
 
+OP13_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS row, coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
+t AS (SELECT row, lang, source, translate(unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term FROM d),
+k AS (SELECT lang, term, count(*) AS total FROM t GROUP BY lang, term HAVING count(DISTINCT row) >= 3),
+c AS MATERIALIZED (SELECT lang, source, term, count(*) AS n FROM t JOIN k USING (lang, term) GROUP BY ALL),
+l AS (SELECT lang, count(*) AS v, sum(total) AS ln FROM k GROUP BY lang),
+g AS (SELECT lang, source, coalesce(gn, 0) AS gn, coalesce(v, 0) AS v, coalesce(ln, 0) AS ln FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN (SELECT lang, source, sum(n) AS gn FROM c GROUP BY ALL) USING (lang, source) LEFT JOIN l USING (lang)),
+p AS MATERIALIZED (SELECT lang, source, term, coalesce(n, 0) AS n, 1 + 1000000000 * (coalesce(n, 0) + 1) // (gn + v) AS p, 1 + 1000000000 * (total + 1) // (ln + v) AS q FROM g JOIN k USING (lang) LEFT JOIN c USING (lang, source, term)),
+w AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN w ON w.lang = a.lang AND w.source = a.source AND w.item = b.source
+ UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM p WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM r) WHERE part = 'pair' OR rank <= 200
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_pii": _op1_sql(), "op5_topk": OP5_SQL, "op10_chat": OP10_SQL, "op3_decontaminate": OP3_SQL, "op9_line_dedup": OP9_SQL, "op11_filter_audit": OP11_SQL, "op12_url_filter": _op12_sql()}
+    return {"op1_pii": _op1_sql(), "op5_topk": OP5_SQL, "op10_chat": OP10_SQL, "op3_decontaminate": OP3_SQL, "op9_line_dedup": OP9_SQL, "op11_filter_audit": OP11_SQL, "op12_url_filter": _op12_sql(), "op13_source_divergence": OP13_SQL}
