@@ -2,40 +2,11 @@
 
 from __future__ import annotations
 
-from typing import NamedTuple
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cladeworks.functions import sequence as sq
-
-
-
-class Chunks(NamedTuple):
-    """A reference cut into stretches of ``width`` bases that each also hold the first ``overlap`` bases of the next."""
-
-    rows: DataFrame
-    width: int
-
-
-def reference_chunks(reference: DataFrame, width: int = 4096, overlap: int = 64) -> Chunks:
-    """Looking bases up in a chunk costs the chunk's size, not the genome's; a lookup may ask for ``overlap`` + 1 bases."""
-    parts = reference.select(F.posexplode(F.regexp_extract_all("seq", F.lit(f"(?s).{{1,{width}}}"), F.lit(0))).alias("_chunk", "_own"), F.length("seq").alias("_length"))
-    following = parts.select((F.col("_chunk") - 1).alias("_chunk"), F.substring("_own", 1, overlap).alias("_more"))
-    rows = parts.join(following, "_chunk", "left").select(F.col("_chunk").cast("long"), F.concat("_own", F.coalesce("_more", F.lit(""))).alias("_bases"), "_length")
-    return Chunks(rows, width)
-
-
-def gene_chunks(reference: DataFrame) -> Chunks:
-    """Chunks for whole genes, up to 32 768 bases."""
-    return reference_chunks(reference, 1 << 16, 1 << 15)
-
-
-def with_bases(df: DataFrame, pos: Column, size: Column, chunks: Chunks, name: str) -> DataFrame:
-    """Column ``name``: ``size`` reference bases from ``pos`` (from 1); rows beyond the reference go."""
-    rows = df.withColumn("_at", pos.cast("long")).withColumn("_chunk", F.floor((F.col("_at") - 1) / chunks.width).cast("long"))
-    joined = rows.join(chunks.rows, "_chunk").where((F.col("_at") >= 1) & (F.col("_at") + size - 1 <= F.col("_length")))
-    return joined.withColumn(name, F.substring("_bases", (F.col("_at") - F.col("_chunk") * chunks.width).cast("int"), size.cast("int"))).drop("_at", "_chunk", "_bases", "_length")
+from cladeworks.operators.genome import Chunks, gene_chunks, reference_chunks, with_bases  # noqa: F401
 
 
 def snp_consequences(snps: DataFrame, chunks: Chunks) -> DataFrame:

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from cladeworks.operators.genome import laid_out
+
 VIEWS = {
     "b_calls": """SELECT CAST(l_suppkey AS BIGINT) AS sample_id, CAST(l_partkey*10+l_linenumber AS BIGINT) AS pos,
  CASE l_returnflag WHEN 'A' THEN 'A' WHEN 'N' THEN 'C' ELSE 'G' END AS alt,
@@ -45,15 +48,16 @@ VIEWS = {
         "spark": "SELECT DISTINCT doc_id AS sample_id, w AS feature FROM (SELECT doc_id, explode(split(lower(text),'[^a-z]+')) AS w FROM {documents}) WHERE w<>''",
         "duckdb": "SELECT DISTINCT doc_id AS sample_id, w AS feature FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(text),'[^a-z]+')) AS w FROM {documents}) WHERE w<>''",
     },
+    # Spark has the reference in pieces; DuckDB, which looks a few bases up, as one string.
     "b_ref": {
-        "spark": "SELECT regexp_replace(translate(lower(text),'abcdefghijklmnopqrstuvwxyz','ACGTACGTACGTACGTACGTACGTAC'),'[^ACGT]','') AS seq FROM {documents} ORDER BY n_chars DESC, doc_id LIMIT 1",
-        "duckdb": "SELECT regexp_replace(translate(lower(text),'abcdefghijklmnopqrstuvwxyz','ACGTACGTACGTACGTACGTACGTAC'),'[^ACGT]','','g') AS seq FROM {documents} ORDER BY n_chars DESC, doc_id LIMIT 1",
+        "spark": lambda spark, sf_dir: laid_out(spark.sql("SELECT doc_id, regexp_replace(translate(lower(text),'abcdefghijklmnopqrstuvwxyz','ACGTACGTACGTACGTACGTACGTAC'),'[^ACGT]','') AS seq FROM {documents} WHERE text IS NOT NULL", documents=spark.read.parquet(f"{sf_dir}/documents.parquet")), "doc_id"),
+        "duckdb": "SELECT string_agg(regexp_replace(translate(lower(text),'abcdefghijklmnopqrstuvwxyz','ACGTACGTACGTACGTACGTACGTAC'),'[^ACGT]','','g'), '' ORDER BY doc_id) AS seq FROM {documents}",
     },
 }
 _TABLE = re.compile(r"\{(\w+)\}")
 
 
-def _text(name: str, engine: str) -> str:
+def _text(name: str, engine: str) -> str | Callable[[SparkSession, str], DataFrame]:
     text = VIEWS[name]
     return text if isinstance(text, str) else text[engine]
 
@@ -63,6 +67,8 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name not in VIEWS:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
     text = _text(name, "spark")
+    if callable(text):
+        return text(spark, sf_dir)
     return spark.sql(text, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in set(_TABLE.findall(text))})
 
 

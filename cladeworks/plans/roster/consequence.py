@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from cladeworks.functions import sequence as sq
 from cladeworks.operators import consequence as co
 from cladeworks.operators import features as fe
+from cladeworks.operators import genome as gn
 from cladeworks.operators import intervals as iv
 from cladeworks.operators import islands
 from cladeworks.plans.registry import query
@@ -145,10 +146,9 @@ def _(genes, feat):
     return rows.select("drug", "gene", "codon", pos.alias("pos"), "aa", F.explode(F.array_except(every, F.array("aa"))).alias("alt"))
 
 
-@query("marker_convert", "b_calls b_ref", f"SELECT DISTINCT length(seq) - pos + 1 AS pos, {_rc('alt')} AS alt FROM b_calls CROSS JOIN b_ref WHERE vtype = 'snp' AND pos <= length(seq)")
+@query("marker_convert", "b_calls b_ref", f"SELECT DISTINCT n - pos + 1 AS pos, {_rc('alt')} AS alt FROM b_calls CROSS JOIN (SELECT length(seq) AS n FROM b_ref) WHERE vtype = 'snp' AND pos <= n")
 def _(calls, ref):
-    n = ref.select(F.length("seq").alias("n"))
-    rows = calls.where("vtype = 'snp'").withColumn("n", n.scalar()).where("pos <= n")
+    rows = calls.where("vtype = 'snp'").withColumn("n", gn.reference_length(ref)).where("pos <= n")
     return rows.select((F.col("n") - F.col("pos") + 1).alias("pos"), sq.reverse_complement(F.col("alt")).alias("alt")).distinct()
 
 
