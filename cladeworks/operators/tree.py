@@ -1,32 +1,78 @@
 """Trees as edge tables ``(child, parent, dist)``; the root has a null parent.
 
-Ancestor relations come from pointer doubling: a round joins the closure with
-itself, so a chain of depth d takes log2(d) rounds. Each round is written to
-the shared checkpoint folder.
+What lies below or above a node comes from pointer jumping with one row for each node: in round k a node points to its
+ancestor 2^k steps up, holds what lies fewer than 2^k steps below it (or above it), and takes over what the nodes
+2^k steps away hold. A tree of depth d takes log2(d) rounds, a chain of 100,000 nodes 17; no round has more rows than
+the tree has nodes. Each round is written to the shared checkpoint folder.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cladeworks.functions import sequence as sq
-from cladeworks.operators.consequence import Chunks, with_bases
+from cladeworks.operators.genome import Chunks, with_bases
+from cladeworks.operators.intervals import points_in_intervals
 from cladeworks.plans.lineage import discard, materialise
 
 
-def ancestors(edges: DataFrame) -> DataFrame:
-    """``(node, ancestor, steps)`` for every proper ancestor."""
-    state = materialise(edges.where("parent is not null").select(F.col("child").alias("node"), F.col("parent").alias("ancestor"), F.lit(1).cast("long").alias("steps")))
-    while True:
-        far = state.groupBy("node").agg(F.max_by("ancestor", "steps").alias("via"), F.max("steps").alias("base"))
-        up = state.select(F.col("node").alias("via"), F.col("ancestor").alias("next"), F.col("steps").alias("more"))
-        grown = far.join(up, "via").select("node", F.col("next").alias("ancestor"), (F.col("base") + F.col("more")).alias("steps"))
-        if grown.isEmpty():
-            return state
-        after = materialise(state.union(grown))
+def _links(edges: DataFrame) -> DataFrame:
+    return edges.select(F.col("child").alias("node"), F.col("parent").alias("up"))
+
+
+def _next(state: DataFrame, by: list[str], carry: list[str]) -> DataFrame:
+    """``state`` with ``_up`` and ``_<carry>`` of the node that a row points to; rows that point nowhere keep to their own key."""
+    ahead = state.where("up is not null").select(*by, F.col("node").alias("_via"), F.col("up").alias("_up"), *[F.col(c).alias(f"_{c}") for c in carry])
+    return state.withColumn("_via", F.coalesce("up", "node")).join(ahead, [*by, "_via"], "left").drop("_via")
+
+
+def fold(links: DataFrame, own: DataFrame, how: dict[str, str], by: list[str] | None = None) -> DataFrame:
+    """``(*by, node, *how)``: what the nodes of each subtree have together, itself included.
+
+    ``links (*by, node, up)`` has every node once, ``own (*by, node, *how)`` the values that nodes start with. ``how`` is ``sum``, ``min`` or
+    ``max`` of the values, or ``least`` or ``most`` of a number of steps that grows by one for each edge. A sum of nothing is 0, the others null.
+    """
+    by = by or []
+    key = [*by, "node"]
+    start = [F.coalesce(c, F.lit(0).cast("long")).alias(c) if h == "sum" else F.col(c) for c, h in how.items()]
+    state, step = materialise(links.join(own, key, "left").select(*key, "up", *start)), 1
+    pick = {"sum": F.sum, "min": F.min, "least": F.min, "max": F.max, "most": F.max}
+    while not state.where("up is not null").isEmpty():
+        more = lambda c, h: pick[h](c) + step if h in ("least", "most") else pick[h](c)
+        below = state.where("up is not null").groupBy(*by, F.col("up").alias("node")).agg(*[more(c, h).alias(f"_{c}") for c, h in how.items()])
+        joined = _next(state, by, []).join(below, key, "left")
+        both = lambda c, h: F.col(c) + F.coalesce(f"_{c}", F.lit(0)) if h == "sum" else (F.least if h in ("min", "least") else F.greatest)(c, f"_{c}")
+        after = materialise(joined.select(*key, F.col("_up").alias("up"), *[both(c, h).alias(c) for c, h in how.items()]))
+        discard(state)
+        state, step = after, 2 * step
+    return state.select(*key, *how)
+
+
+def climb(links: DataFrame, add: str) -> DataFrame:
+    """``(node, up, add)``: the nearest node above that is marked, or null, and the sum of ``add`` over the nodes up to it.
+
+    ``links (node, up, stop, add)``: ``stop`` is true where ``up`` is marked or null.
+    """
+    state = materialise(links.select("node", "up", "stop", add))
+    while not state.where("not stop").isEmpty():
+        ahead = state.select(F.col("node").alias("up"), F.col("up").alias("_up"), F.col("stop").alias("_stop"), F.col(add).alias("_add"))
+        moved = state.where("not stop").join(ahead, "up").select("node", F.col("_up").alias("up"), F.col("_stop").alias("stop"), (F.col(add) + F.col("_add")).alias(add))
+        after = materialise(state.where("stop").union(moved))
         discard(state)
         state = after
+    return state.select("node", "up", add)
+
+
+def numbered(edges: DataFrame) -> DataFrame:
+    """``(node, enter, exit)``: nodes in depth-first order from 0, children by id; the subtree of a node is [enter, exit]."""
+    links = _links(edges)
+    sizes = fold(links, links.select("node", F.lit(1).cast("long").alias("size")), {"size": "sum"})
+    before = F.sum("size").over(Window.partitionBy("up").orderBy("node").rowsBetween(Window.unboundedPreceding, -1))
+    offset = F.coalesce(before, F.lit(0)) + F.when(F.col("up").isNull(), 0).otherwise(1)
+    placed = links.join(sizes, "node").select("node", "up", "size", offset.cast("long").alias("enter"))
+    sums = climb(placed.withColumn("stop", F.col("up").isNull()), "enter")
+    return sums.select("node", "enter").join(sizes, "node").select("node", "enter", (F.col("enter") + F.col("size") - 1).alias("exit"))
 
 
 def leaves(edges: DataFrame) -> DataFrame:
@@ -85,7 +131,7 @@ def state_changes(edges: DataFrame, states: DataFrame) -> DataFrame:
     return c.select("child", "parent", "old", "new", F.when(F.col("old") != F.col("new"), F.concat("old", F.lit("1"), "new")).alias("change"))
 
 
-def prune(edges: DataFrame, keep: DataFrame, closure: DataFrame, preserve_length: bool = False) -> DataFrame:
+def prune(edges: DataFrame, keep: DataFrame, preserve_length: bool = False) -> DataFrame:
     """The tree of the leaves in ``keep (node)``: other leaves dropped, nodes with one branch contracted.
 
     A node stays if it is a kept leaf or has two or more child branches with
@@ -93,42 +139,87 @@ def prune(edges: DataFrame, keep: DataFrame, closure: DataFrame, preserve_length
     otherwise an edge keeps the length of its lower part.
     """
     tips = leaves(edges).join(keep, "node", "left_semi")
-    own = tips.join(closure, "node").select("node", "ancestor", "steps")
-    # Branches of an ancestor: itself a child of it on the path to a kept leaf.
-    live = own.select(F.col("ancestor").alias("node")).union(tips).distinct()
-    branching = edges.join(live.withColumnRenamed("node", "child"), "child", "left_semi").groupBy(F.col("parent").alias("node")).agg(F.count(F.lit(1)).alias("n")).where("n > 1 and node is not null").select("node")
-    stay = tips.union(branching).distinct()
-    up = stay.join(closure, "node").join(stay.withColumnRenamed("node", "ancestor"), "ancestor", "left_semi")
-    near = up.groupBy("node").agg(F.min_by("ancestor", "steps").alias("parent"), F.min("steps").alias("steps"))
-    out = stay.join(near, "node", "left").join(edges.select(F.col("child").alias("node"), "dist"), "node")
-    if not preserve_length:
-        return out.select(F.col("node").alias("child"), "parent", "dist")
-    path = out.join(closure.select("node", F.col("ancestor").alias("mid"), F.col("steps").alias("s")), "node").where(F.col("s") < F.col("steps"))
-    added = path.join(edges.select(F.col("child").alias("mid"), F.col("dist").alias("d")), "mid").groupBy("node").agg(F.sum("d").alias("more"))
-    return out.join(added, "node", "left").select(F.col("node").alias("child"), "parent", (F.col("dist") + F.coalesce("more", F.lit(0))).alias("dist"))
-
-
-def depth_to_tip(edges: DataFrame, closure: DataFrame) -> DataFrame:
+    live = materialise(fold(_links(edges), tips.select("node", F.lit(1).cast("long").alias("n")), {"n": "sum"}).where("n > 0").join(edges.withColumnRenamed("child", "node"), "node").select("node", "parent", "dist"))
+    branching = live.where("parent is not null").groupBy(F.col("parent").alias("node")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("node")
+    stay = materialise(tips.union(branching).distinct())
+    marked = live.join(stay.select(F.col("node").alias("parent"), F.lit(True).alias("stays")), "parent", "left")
+    ways = climb(marked.select("node", F.col("parent").alias("up"), (F.col("parent").isNull() | F.coalesce("stays", F.lit(False))).alias("stop"), F.col("dist").alias("far")), "far")
+    rows = stay.join(ways, "node").join(live.select("node", "dist"), "node")
+    length = F.when(F.col("up").isNull(), F.col("dist")).otherwise(F.col("far")) if preserve_length else F.col("dist")
+    return rows.select(F.col("node").alias("child"), F.col("up").alias("parent"), length.alias("dist"))
+
+
+def depth_to_tip(edges: DataFrame) -> DataFrame:
     """``(node, low, high)``: fewest and most steps from an inner node to a leaf below it."""
-    tips = leaves(edges)
-    return closure.join(tips, "node", "left_semi").groupBy(F.col("ancestor").alias("node")).agg(F.min("steps").alias("low"), F.max("steps").alias("high"))
+    zero = F.lit(0).cast("long")
+    found = fold(_links(edges), leaves(edges).select("node", zero.alias("low"), zero.alias("high")), {"low": "least", "high": "most"})
+    return found.where("high > 0")
+
 
+def character_paths(edges: DataFrame, carriers: DataFrame) -> DataFrame:
+    """``(pos, node, low, high)``: fewest and most steps from a node that carries a character down to where it ends.
 
-def subtree_counts(edges: DataFrame, closure: DataFrame, states: DataFrame) -> DataFrame:
-    """``(node, n_leaves, n_resistant)`` over the leaves below each inner node."""
-    tips = leaves(edges).join(states, "node")
-    rows = tips.join(closure, "node")
-    return rows.groupBy(F.col("ancestor").alias("node")).agg(F.count(F.lit(1)).alias("n_leaves"), F.count(F.when(F.col("state") == "R", 1)).alias("n_resistant"))
+    ``carriers (pos, node)``: only nodes that carry a character are listed. A path goes from carrier to carrying child; it ends at a carrier
+    none of whose children carries the character.
+    """
+    own = carriers.select("pos", "node").distinct()
+    linked = own.join(_links(edges), "node").join(own.select("pos", F.col("node").alias("up"), F.lit(True).alias("both")), ["pos", "up"], "left")
+    links = materialise(linked.select("pos", "node", F.when(F.col("both"), F.col("up")).alias("up")))
+    inner = links.where("up is not null").select("pos", F.col("up").alias("node")).distinct()
+    zero = F.lit(0).cast("long")
+    ends = links.join(inner, ["pos", "node"], "left_anti").select("pos", "node", zero.alias("low"), zero.alias("high"))
+    return fold(links, ends, {"low": "least", "high": "most"}, ["pos"])
 
 
-def last_common_ancestor(groups: DataFrame, closure: DataFrame) -> DataFrame:
-    """``(grp, lca)`` of ``groups (grp, node)``: the deepest node that is an ancestor of, or is, every member."""
-    depth = closure.groupBy("node").agg(F.max("steps").alias("depth"))
-    up = groups.join(closure, "node").select("grp", "node", "ancestor").union(groups.select("grp", "node", F.col("node").alias("ancestor"))).distinct()
-    size = groups.distinct().groupBy("grp").agg(F.count(F.lit(1)).alias("n"))
-    shared = up.groupBy("grp", "ancestor").agg(F.count(F.lit(1)).alias("c")).join(size, "grp").where("c = n")
-    shared = shared.join(depth.withColumnRenamed("node", "ancestor"), "ancestor", "left").fillna(0, ["depth"])
-    return shared.groupBy("grp").agg(F.max_by("ancestor", "depth").alias("lca"))
+def subtree_counts(edges: DataFrame, states: DataFrame) -> DataFrame:
+    """``(node, n_leaves, n_resistant)`` over the leaves with a state below each inner node."""
+    tips = leaves(edges).join(states, "node").groupBy("node").agg(F.count(F.lit(1)).alias("n_leaves"), F.count(F.when(F.col("state") == "R", 1)).alias("n_resistant"))
+    inner = edges.select(F.col("parent").alias("node")).where("node is not null").distinct()
+    return fold(_links(edges), tips, {"n_leaves": "sum", "n_resistant": "sum"}).where("n_leaves > 0").join(inner, "node", "left_semi")
+
+
+def _deepest(edges: DataFrame, places: DataFrame, ranges: DataFrame) -> DataFrame:
+    """``(grp, lca)``: the deepest node whose subtree holds all numbers ``lo`` to ``hi`` of a group.
+
+    From the node at ``lo`` a group jumps up by falling powers of two as long as it stays below its answer.
+    """
+    levels = [materialise(_links(edges))]
+    while not levels[-1].where("up is not null").isEmpty():
+        levels.append(materialise(_next(levels[-1], [], []).select("node", F.col("_up").alias("up"))))
+    at = ranges.join(places.select(F.col("enter").alias("lo"), "node", "exit"), "lo").select("grp", "hi", "node", (F.col("exit") >= F.col("hi")).alias("found"))
+    ends = places.select(F.col("node").alias("up"), F.col("exit").alias("end"))
+    for level in reversed(levels):
+        ahead = level.where("up is not null").join(ends, "up").select("node", F.col("up").alias("above"), "end")
+        jump = ~F.col("found") & (F.col("end") < F.col("hi"))
+        at = at.join(ahead, "node", "left").select("grp", "hi", F.when(jump, F.col("above")).otherwise(F.col("node")).alias("node"), "found")
+    above = at.join(_links(edges), "node").select("grp", F.when(F.col("found"), F.col("node")).otherwise(F.col("up")).alias("lca"))
+    return above.where("lca is not null")
+
+
+def last_common_ancestor(groups: DataFrame, edges: DataFrame) -> DataFrame:
+    """``(grp, lca)`` of ``groups (grp, node)``: the deepest node that is an ancestor of, or is, every member; a group without one has no row."""
+    places = materialise(numbered(edges))
+    ranges = groups.join(places, "node").groupBy("grp").agg(F.min("enter").alias("lo"), F.max("enter").alias("hi"))
+    return _deepest(edges, places, ranges)
+
+
+def clade_features(edges: DataFrame, posterior: DataFrame, other: DataFrame, least: float = 0.5) -> DataFrame:
+    """``(node, lca)``: for nodes whose ``posterior`` is above ``least``, the last common ancestor in another tree of the leaves below them.
+
+    Leaves that the other tree lacks don't count; a node without any has no row. The leaves of a feature are those of its subtree there.
+    """
+    places = materialise(numbered(other))
+    tips = leaves(edges).join(places, "node").select("node", F.col("enter").alias("lo"), F.col("enter").alias("hi"))
+    ranges = fold(_links(edges), tips, {"lo": "min", "hi": "max"}).where("lo is not null")
+    chosen = posterior.where(F.col("posterior") > least).select("node").distinct()
+    return _deepest(other, places, ranges.join(chosen, "node", "left_semi").withColumnRenamed("node", "grp")).withColumnRenamed("grp", "node")
+
+
+def members(edges: DataFrame, clades: DataFrame) -> DataFrame:
+    """``(node, leaf)``: the leaves of each subtree in ``clades (node)``, a row of the membership matrix each."""
+    places = materialise(numbered(edges))
+    tips = leaves(edges).join(places, "node").select(F.col("node").alias("leaf"), F.col("enter").alias("pos"))
+    return points_in_intervals(tips, clades.join(places, "node").select("node", "enter", "exit"), "pos", "enter", "exit").select("node", "leaf")
 
 
 def association(changes: DataFrame, states: DataFrame) -> DataFrame:

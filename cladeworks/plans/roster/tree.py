@@ -7,6 +7,7 @@ from cladeworks.operators import consequence as co
 from cladeworks.operators import features as fe
 from cladeworks.operators import intervals as iv
 from cladeworks.operators import tree as tr
+from cladeworks.plans.lineage import materialise
 from cladeworks.plans.registry import query
 from cladeworks.plans.roster.consequence import _ROWS, _aa, _rc
 
@@ -87,7 +88,7 @@ near AS (SELECT a.node, arg_min(ancestor, steps) AS parent, min(steps) AS steps
 more AS (SELECT n.node, sum(t.dist) AS m FROM near n JOIN a ON a.node = n.node AND a.steps < n.steps JOIN b_tree t ON t.child = a.ancestor GROUP BY n.node)
 SELECT stay.node AS child, near.parent, CAST(dist + coalesce(m, 0) AS BIGINT) AS dist FROM stay LEFT JOIN near USING (node) LEFT JOIN more USING (node) JOIN b_tree ON child = stay.node""")
 def _(edges, states):
-    return tr.prune(edges, states.where("state = 'R'").select("node"), tr.ancestors(edges), preserve_length=True)
+    return tr.prune(edges, states.where("state = 'R'").select("node"), preserve_length=True)
 
 
 @query("node_names", "b_tree", "SELECT parent AS node, string_agg(CAST(child AS VARCHAR), '_' ORDER BY child) AS name FROM b_tree WHERE parent IS NOT NULL GROUP BY parent")
@@ -103,7 +104,7 @@ def _(bases, states):
 
 @query("subtree_counts", "b_tree b_state", f"WITH {_ANC}, {_TIPS} SELECT ancestor AS node, count(*) AS n_leaves, count(*) FILTER (state = 'R') AS n_resistant FROM a JOIN tips USING (node) JOIN b_state USING (node) GROUP BY ancestor")
 def _(edges, states):
-    return tr.subtree_counts(edges, tr.ancestors(edges), states)
+    return tr.subtree_counts(edges, states)
 
 
 @query("clade_features", "b_tree customer", f"""
@@ -112,12 +113,43 @@ s AS (SELECT grp, anc, count(*) c FROM u GROUP BY ALL), n AS (SELECT grp, count(
 SELECT grp, arg_max(anc, coalesce(d, 0)) AS lca FROM s JOIN n USING (grp) LEFT JOIN d ON d.node = anc WHERE c = n GROUP BY grp""")
 def _(edges, customer):
     groups = customer.select(F.col("c_nationkey").alias("grp"), F.col("c_custkey").cast("long").alias("node"))
-    return tr.last_common_ancestor(groups, tr.ancestors(edges))
+    return tr.last_common_ancestor(groups, edges)
 
 
 @query("depth_to_tip", "b_tree", f"WITH {_ANC}, {_TIPS} SELECT ancestor AS node, min(steps) AS low, max(steps) AS high FROM a WHERE node IN (SELECT node FROM tips) GROUP BY ancestor")
 def _(edges):
-    return tr.depth_to_tip(edges, tr.ancestors(edges))
+    return tr.depth_to_tip(edges)
+
+
+_ANC3 = "b AS (SELECT node, parent AS ancestor, CAST(1 AS BIGINT) AS steps FROM o WHERE parent IS NOT NULL UNION ALL SELECT b.node, o.parent, steps + 1 FROM b JOIN o ON o.node = b.ancestor WHERE o.parent IS NOT NULL)"
+
+
+@query("clade_transfer", "b_tree customer", f"""
+WITH {_ANC}, {_TIPS}, o AS (SELECT child AS node, CASE WHEN child = 0 THEN NULL ELSE (child - 1) // 3 END AS parent FROM b_tree), {_ANC3},
+g AS (SELECT CAST(c_custkey AS BIGINT) AS grp FROM customer WHERE c_acctbal > 4000), m AS (SELECT ancestor AS grp, node FROM a JOIN tips USING (node) UNION ALL SELECT node, node FROM tips),
+u AS (SELECT grp, node, node AS anc FROM m JOIN g USING (grp) UNION ALL SELECT grp, m.node, b.ancestor FROM m JOIN g USING (grp) JOIN b ON b.node = m.node),
+s AS (SELECT grp, anc, count(*) c FROM u GROUP BY ALL), n AS (SELECT grp, count(*) n FROM m GROUP BY grp), d AS (SELECT node, max(steps) d FROM b GROUP BY node),
+l AS (SELECT grp, arg_max(anc, coalesce(d, 0)) AS lca FROM s JOIN n USING (grp) LEFT JOIN d ON d.node = anc WHERE c = n GROUP BY grp),
+t AS (SELECT node AS leaf FROM o WHERE node NOT IN (SELECT parent FROM o WHERE parent IS NOT NULL))
+SELECT grp AS node, lca, count(*) AS n_leaves FROM l JOIN (SELECT ancestor AS lca, node AS leaf FROM b UNION ALL SELECT leaf, leaf FROM t) USING (lca) JOIN t USING (leaf) GROUP BY grp, lca""")
+def _(edges, customer):
+    other = edges.select("child", F.when(F.col("child") > 0, F.floor((F.col("child") - 1) / 3)).alias("parent"), "dist")
+    posterior = customer.select(F.col("c_custkey").cast("long").alias("node"), (F.col("c_acctbal") / 8000).alias("posterior"))
+    found = materialise(tr.clade_features(edges, posterior, other))
+    leaf = tr.members(other, found.select(F.col("lca").alias("node")).distinct()).groupBy("node").agg(F.count(F.lit(1)).alias("n_leaves"))
+    return found.join(leaf.withColumnRenamed("node", "lca"), "lca").select("node", "lca", "n_leaves")
+
+
+@query("character_paths", "b_tree b_bases", f"""
+WITH {_ANC}, {_TIPS}, w AS (SELECT pos, node FROM b_bases WHERE base = 'G'), l AS (SELECT w.pos, w.node, t.parent FROM w JOIN b_tree t ON t.child = w.node JOIN w p ON p.node = t.parent AND p.pos = w.pos),
+k AS (SELECT pos, node AS top, node, CAST(0 AS BIGINT) AS steps FROM w UNION ALL SELECT k.pos, top, l.node, steps + 1 FROM k JOIN l ON l.pos = k.pos AND l.parent = k.node),
+e AS (SELECT pos, node FROM w ANTI JOIN (SELECT pos, parent AS node FROM l) USING (pos, node)), q AS (SELECT k.pos, top AS node, min(steps) AS low, max(steps) AS high FROM k JOIN e ON e.pos = k.pos AND e.node = k.node GROUP BY ALL),
+h AS (SELECT ancestor AS node, min(steps) AS tip_low, max(steps) AS tip_high FROM a JOIN tips USING (node) GROUP BY ancestor)
+SELECT pos, node, low, high, coalesce(tip_low, 0) AS tip_low, coalesce(tip_high, 0) AS tip_high FROM q LEFT JOIN h USING (node)""")
+def _(edges, bases):
+    tips = tr.depth_to_tip(edges).select("node", F.col("low").alias("tip_low"), F.col("high").alias("tip_high"))
+    paths = tr.character_paths(edges, bases.where("base = 'G'").select("pos", "node"))
+    return paths.join(tips, "node", "left").fillna(0, ["tip_low", "tip_high"]).select("pos", "node", "low", "high", "tip_low", "tip_high")
 
 
 @query("node_classes", "b_tree b_bases b_state", f"""

@@ -81,22 +81,59 @@ def test_prune_reaches_a_fixpoint(spark):
 TREE = [(0, None, 0), (1, 0, 1), (2, 0, 2), (3, 1, 3), (4, 1, 4), (5, 2, 5), (6, 2, 6), (7, 5, 7), (8, 5, 8)]
 
 
-def test_tree_closure_and_pruning(spark):
+def test_tree_folds_and_pruning(spark):
     edges = spark.createDataFrame(TREE, "child long, parent long, dist long")
-    closure = tree.ancestors(edges)
-    assert {(r["ancestor"], r["steps"]) for r in closure.where("node = 7").collect()} == {(5, 1), (2, 2), (0, 3)}
+    assert {tuple(r) for r in tree.numbered(edges).collect()} == {(0, 0, 8), (1, 1, 3), (3, 2, 2), (4, 3, 3), (2, 4, 8), (5, 5, 7), (7, 6, 6), (8, 7, 7), (6, 8, 8)}
     assert {r["node"] for r in tree.leaves(edges).collect()} == {3, 4, 6, 7, 8}
     keep = spark.createDataFrame([(3,), (7,), (8,)], "node long")
-    cut = {tuple(r) for r in tree.prune(edges, keep, closure, True).collect()}
+    cut = {tuple(r) for r in tree.prune(edges, keep, True).collect()}
     assert cut == {(0, None, 0), (3, 0, 4), (5, 0, 7), (7, 5, 7), (8, 5, 8)}
-    assert {(r["child"], r["dist"]) for r in tree.prune(edges, keep, closure).collect()} == {(0, 0), (3, 3), (5, 5), (7, 7), (8, 8)}
-    lca = tree.last_common_ancestor(spark.createDataFrame([("a", 7), ("a", 6), ("b", 3), ("b", 8)], "grp string, node long"), closure)
-    assert {tuple(r) for r in lca.collect()} == {("a", 2), ("b", 0)}
+    assert {(r["child"], r["dist"]) for r in tree.prune(edges, keep).collect()} == {(0, 0), (3, 3), (5, 5), (7, 7), (8, 8)}
+    lca = tree.last_common_ancestor(spark.createDataFrame([("a", 7), ("a", 6), ("b", 3), ("b", 8), ("c", 8), ("d", 5), ("d", 7)], "grp string, node long"), edges)
+    assert {tuple(r) for r in lca.collect()} == {("a", 2), ("b", 0), ("c", 8), ("d", 5)}
+    assert {tuple(r) for r in tree.depth_to_tip(edges).collect()} == {(0, 2, 3), (1, 1, 1), (2, 1, 2), (5, 1, 1)}
+
+
+def test_trees_at_random(spark):
+    rng = random.Random(8)
+    parent = {0: None, 200: None} | {i: rng.choice([i - 1, rng.randrange(i)]) for i in range(1, 200)} | {i: rng.randrange(200, i) for i in range(201, 220)}
+    edges = spark.createDataFrame([(i, p, i) for i, p in parent.items()], "child long, parent long, dist long")
+    up = lambda i: [i] + (up(parent[i]) if parent[i] is not None else [])
+    tips = set(parent) - {p for p in parent.values() if p is not None}
+    below = {i: [(t, up(t).index(i)) for t in tips if i in up(t)] for i in parent}
+    assert {tuple(r) for r in tree.depth_to_tip(edges).collect()} == {(i, min(s for _, s in b), max(s for _, s in b)) for i, b in below.items() if b and i not in tips}
+    groups = [(g, rng.choice(list(parent))) for g in range(60) for _ in range(rng.randint(1, 3))]
+    shared = {g: set.intersection(*[set(up(n)) for h, n in groups if h == g]) for g in range(60)}
+    lca = tree.last_common_ancestor(spark.createDataFrame(groups, "grp long, node long"), edges)
+    assert {tuple(r) for r in lca.collect()} == {(g, max(s, key=lambda n: len(up(n)))) for g, s in shared.items() if s}
+    carriers = [(p, i) for i in parent for p in range(3) if rng.random() < 0.7]
+    has = set(carriers)
+    kids = {i: [k for k in parent if parent[k] == i] for i in parent}
+    def paths(p, i):
+        on = [x for k in kids[i] if (p, k) in has for x in paths(p, k)]
+        return [x + 1 for x in on] or [0]
+    got = tree.character_paths(edges, spark.createDataFrame(carriers + carriers[:5], "pos long, node long"))
+    assert {tuple(r) for r in got.collect()} == {(p, i, min(paths(p, i)), max(paths(p, i))) for p, i in has}
+    states = spark.createDataFrame([(i, "RS"[i % 2]) for i in parent], "node long, state string")
+    want = {(i, len(b), sum(t % 2 == 0 for t, _ in b)) for i, b in below.items() if i not in tips}
+    assert {tuple(r) for r in tree.subtree_counts(edges, states).collect()} == want
+    member = tree.members(edges, spark.createDataFrame([(0,), (5,)], "node long"))
+    assert {tuple(r) for r in member.collect()} == {(i, t) for i in (0, 5) for t, _ in below[i]}
+
+
+def test_clades_of_one_tree_in_another(spark):
+    edges = spark.createDataFrame(TREE, "child long, parent long, dist long")
+    other = spark.createDataFrame([(20, None, 0), (21, 20, 0), (22, 21, 0), (3, 22, 0), (7, 22, 0), (4, 21, 0), (8, 20, 0)], "child long, parent long, dist long")
+    posterior = spark.createDataFrame([(0, 0.9), (1, 0.51), (2, 0.6), (5, 0.5), (6, 0.99), (8, 0.7)], "node long, posterior double")
+    assert {tuple(r) for r in tree.clade_features(edges, posterior, other).collect()} == {(0, 20), (1, 21), (2, 20), (8, 8)}
 
 
-def test_long_chain_closure(spark):
-    edges = spark.createDataFrame([(i, i - 1 if i else None, 1) for i in range(130)], "child long, parent long, dist long")
-    assert tree.ancestors(edges).count() == 130 * 129 // 2
+def test_a_long_chain_keeps_one_row_for_each_node(spark):
+    n = 100_000
+    edges = spark.range(n).select(F.col("id").alias("child"), F.when(F.col("id") > 0, F.col("id") - 1).alias("parent"), F.lit(1).cast("long").alias("dist"))
+    depth = tree.depth_to_tip(edges)
+    assert depth.where("low <> high or high <> %d - node" % (n - 1)).isEmpty() and depth.count() == n - 1
+    assert [tuple(r) for r in tree.prune(edges, spark.createDataFrame([(n - 1,)], "node long"), True).collect()] == [(n - 1, None, 1)]
 
 
 def test_components(spark):
