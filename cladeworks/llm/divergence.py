@@ -18,6 +18,7 @@ from __future__ import annotations
 
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ from cladeworks.plans.lineage import materialise
 #: What no term holds becomes a blank, A-Z become a-z; bytes of characters beyond ASCII stay.
 _TERMS = bytes(c if c >= 0x80 or chr(c).islower() else c + 32 if chr(c).isupper() else 0x20 for c in range(256))
 _PIECE = 1 << 20
-_COUNTS = "lang string, source string, term string, count long, n_docs long"
+_COUNTS = "lang string, term string, n_docs long, sources array<string>, counts array<long>"
 
 
 def _terms(text: bytes) -> Iterator[list[bytes]]:
@@ -42,17 +43,24 @@ def _terms(text: bytes) -> Iterator[list[bytes]]:
         at = end
 
 
-def _count(batches: Iterator[pa.RecordBatch], most: int = 200_000) -> Iterator[pa.RecordBatch]:
-    """Counts of terms by language and source, and with a null source rows by language; sent on when ``most`` are held."""
-    counts: dict[tuple[str, str], Counter] = defaultdict(Counter)
+def _count(batches: Iterator[pa.RecordBatch], most: int = 1_000_000) -> Iterator[pa.RecordBatch]:
+    """``_COUNTS`` of the terms of each language, with what was counted since the last rows; sent on when ``most`` counts are held."""
+    counts: dict[str, dict[str, Counter]] = defaultdict(lambda: defaultdict(Counter))
     rows: dict[str, Counter] = defaultdict(Counter)
 
     def held() -> Iterator[pa.RecordBatch]:
-        named = [((lang, source), c, False) for (lang, source), c in counts.items()] + [((lang, None), c, True) for lang, c in rows.items()]
-        for (lang, source), c, by_row in named:
-            n, values = len(c), pa.array(list(c.values()), pa.int64())
-            zero = pa.array(np.zeros(n, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * n, pa.string()), pa.array([source] * n, pa.string()), pa.array(list(c), pa.binary()).cast(pa.string()), zero if by_row else values, values if by_row else zero], ["lang", "source", "term", "count", "n_docs"])
+        for lang, by_source in counts.items():
+            named = [(source, c) for source, c in by_source.items() if c]
+            index = np.repeat(np.arange(len(named), dtype=np.int32), [len(c) for _, c in named])
+            terms = pa.array(chain.from_iterable(c for _, c in named), pa.binary())
+            own = pa.table({"term": terms, "source": pa.array(index).cast(pa.int32()), "count": pa.array(chain.from_iterable(c.values() for _, c in named), pa.int64())})
+            one = own.group_by("term", use_threads=False).aggregate([("source", "list"), ("count", "list")]).combine_chunks()
+            if one.num_rows:
+                term, lists = one["term"].chunk(0), one["source_list"].chunk(0)
+                sources = pa.array([s for s, _ in named], pa.string()).take(lists.values)
+                n_docs = pa.array(map(rows[lang].__getitem__, term.to_pylist()), pa.int64())
+                columns = [pa.array([lang] * len(term), pa.string()), term.cast(pa.string()), n_docs, pa.ListArray.from_arrays(lists.offsets, sources), one["count_list"].chunk(0)]
+                yield from pa.Table.from_arrays(columns, ["lang", "term", "n_docs", "sources", "counts"]).to_batches(max_chunksize=10_000)
         counts.clear()
         rows.clear()
 
@@ -60,13 +68,13 @@ def _count(batches: Iterator[pa.RecordBatch], most: int = 200_000) -> Iterator[p
     for batch in batches:
         langs, sources = batch.column(1).to_pylist(), batch.column(2).to_pylist()
         for lang, source, text in zip(langs, sources, batch.column(0).cast(pa.binary())):
-            own, seen = counts[lang, source], set()
-            size -= len(own) + len(rows[lang])
+            own, seen = counts[lang][source], set()
+            size -= len(own)
             for piece in _terms(text.as_py()):
                 own.update(piece)
                 seen.update(piece)
             rows[lang].update(seen)
-            size += len(own) + len(rows[lang])
+            size += len(own)
             if size > most:
                 yield from held()
                 size = 0
@@ -74,12 +82,14 @@ def _count(batches: Iterator[pa.RecordBatch], most: int = 200_000) -> Iterator[p
 
 
 def kept_terms(docs: DataFrame, least: int = 3) -> DataFrame:
-    """``(lang, term, total, groups)``: terms in at least ``least`` rows of their language, with their count in each source that has them."""
+    """``(lang, term, total, groups)``: terms in at least ``least`` rows of their language, with their count in each source that has them.
+
+    Lists of a term are as long as its sources and the tasks that counted it; rare terms go before their lists are added up.
+    """
     text = docs.select(*[F.coalesce(c, F.lit("")).alias(c) for c in ("text", "lang", "source")])
-    counts = text.mapInArrow(_count, _COUNTS).groupBy("lang", "term", "source").agg(F.sum("count").alias("count"), F.sum("n_docs").alias("n_docs"))
-    entry = F.when(F.col("source").isNotNull(), F.struct("source", "count"))
-    terms = counts.groupBy("lang", "term").agg(F.sum("n_docs").alias("n_docs"), F.sum("count").alias("total"), F.collect_list(entry).alias("groups"))
-    return terms.where(F.col("n_docs") >= least).select("lang", "term", "total", "groups")
+    found = text.mapInArrow(_count, _COUNTS).groupBy("lang", "term").agg(F.sum("n_docs").alias("n_docs"), F.flatten(F.collect_list(F.arrays_zip("sources", "counts"))).alias("held"))
+    counts = found.where(F.col("n_docs") >= least).select("lang", "term", F.inline("held")).groupBy("lang", "term", "sources").agg(F.sum("counts").alias("count"))
+    return counts.groupBy("lang", "term").agg(F.sum("count").alias("total"), F.collect_list(F.struct(F.col("sources").alias("source"), "count")).alias("groups"))
 
 
 def group_sizes(docs: DataFrame, terms: DataFrame) -> DataFrame:

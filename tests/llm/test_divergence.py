@@ -85,5 +85,7 @@ def test_counts_are_sent_on_when_many_are_held():
         total = Counter()
         for out in divergence._count(iter([batch]), most):
             for r in out.to_pylist():
-                total[r["source"], r["term"]] += r["count"] + r["n_docs"]
+                total["s", r["term"]] += sum(r["counts"])
+                total[None, r["term"]] += r["n_docs"]
+                assert r["sources"] == ["s"] * len(r["counts"])
         assert total == Counter([("s", t) for x in texts for t in x.split()] + [(None, t) for x in texts for t in x.split()])
