@@ -27,6 +27,16 @@ def protein(seq: Column) -> Column:
     return F.coalesce(F.array_join(codons, "", "X"), F.lit(""))
 
 
+def common_prefix(a: Column, b: Column) -> Column:
+    """The number of characters that two strings have in common at the start."""
+    differ = F.array_position(F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: x.eqNullSafe(y)), False)
+    return F.when(differ > 0, F.least(differ - 1, F.length(a), F.length(b))).otherwise(F.least(F.length(a), F.length(b))).cast("int")
+
+
+def common_suffix(a: Column, b: Column) -> Column:
+    return common_prefix(F.reverse(a), F.reverse(b))
+
+
 def feature_position(pos: Column, start: Column, end: Column, strand: Column, ftype: Column) -> Column:
     """Genome position to a position in its feature: upstream rows count down to the gene, RNA rows count bases, genes count codons."""
     plus = strand == 1

@@ -44,10 +44,9 @@ def decompose(pairs: DataFrame) -> DataFrame:
     Distinct pairs are taken apart once and joined back.
     """
     distinct = pairs.select("ref", "alt").distinct()
-    run = lambda a, b, take: F.when(F.least(F.length(a), F.length(b)) > 0, F.size(F.filter(F.sequence(F.lit(1), F.least(F.length(a), F.length(b))), lambda i: take(a, i) == take(b, i)))).otherwise(0)
-    cut = distinct.withColumn("s", run(F.col("ref"), F.col("alt"), F.right))
+    cut = distinct.withColumn("s", sq.common_suffix(F.col("ref"), F.col("alt")))
     cut = cut.withColumn("r", F.expr("left(ref, length(ref) - s)")).withColumn("a", F.expr("left(alt, length(alt) - s)"))
-    cut = cut.withColumn("p", run(F.col("r"), F.col("a"), F.left))
+    cut = cut.withColumn("p", sq.common_prefix(F.col("r"), F.col("a")))
     cut = cut.select("ref", "alt", "p", F.expr("substring(r, p + 1)").alias("r"), F.expr("substring(a, p + 1)").alias("a"))
     both = F.least(F.length("r"), F.length("a"))
     at = lambda c, i: F.substring(c, i, F.lit(1))
@@ -59,27 +58,6 @@ def decompose(pairs: DataFrame) -> DataFrame:
     return pairs.join(events, (pairs["ref"] == events["_ref"]) & (pairs["alt"] == events["_alt"])).select("key", "off", events["ref"], events["alt"], "vtype")
 
 
-def haplotypes(calls: DataFrame, chunks: Chunks) -> DataFrame:
-    """``(sample_id, gene, protein, status)`` of genes with an indel, rebuilt with all their changes.
-
-    Each distinct (gene, set of changes) is rebuilt once. FS: no amino acids
-    left, or a stop before 90 % of the protein.
-    """
-    edits = F.array_sort(F.collect_set(F.struct((F.col("pos") - F.col("start_pos") + 1).cast("int").alias("off"), "vtype", "alt")))
-    own = calls.groupBy("sample_id", "gene", "start_pos", "end_pos", "strand").agg(edits.alias("edits"), F.max((F.col("vtype") != "snp").cast("int")).alias("indel")).where("indel = 1").drop("indel")
-    distinct = with_bases(own.drop("sample_id").distinct(), F.col("start_pos"), F.col("end_pos") - F.col("start_pos") + 1, chunks, "ref")
-    here = lambda i, kind: F.filter("edits", lambda e: (e["off"] == i) & (e["vtype"] == kind))
-    base = lambda i: F.coalesce(F.get(here(i, "snp"), F.size(here(i, "snp")) - 1)["alt"], F.substring("ref", i, F.lit(1)))
-    rebuilt = F.array_join(F.transform(F.sequence(F.lit(1), F.length("ref")), lambda i: F.concat(
-        F.when(F.size(here(i, "del")) > 0, F.lit("")).otherwise(base(i)), F.array_join(F.transform(here(i, "ins"), lambda e: e["alt"]), ""))), "")
-    seq = F.when(F.col("strand") == 1, F.col("seq")).otherwise(sq.reverse_complement(F.col("seq")))
-    built = distinct.withColumn("seq", rebuilt).withColumn("seq", seq).withColumn("protein", sq.protein(F.col("seq")))
-    stop = F.instr("protein", "*")
-    broken = (F.length("protein") == 0) | ((stop > 0) & (stop < 0.9 * F.length("protein")))
-    built = built.select("gene", "edits", "protein", F.when(broken, "FS").otherwise("ok").alias("status"))
-    return own.join(built, ["gene", "edits"]).select("sample_id", "gene", "protein", "status")
-
-
 def alignment(cells: DataFrame, sites: DataFrame, samples: DataFrame) -> DataFrame:
     """``(sample_id, row)``: a character per site in order, the sample's or else the site's default; a sink's row.
 

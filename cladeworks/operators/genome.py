@@ -59,12 +59,12 @@ def gene_chunks(reference: DataFrame) -> Chunks:
     return reference_chunks(reference, 1 << 16, 1 << 15)
 
 
-def with_bases(df: DataFrame, pos: Column, size: Column, chunks: Chunks, name: str) -> DataFrame:
-    """Column ``name``: ``size`` reference bases from ``pos`` (from 1); rows beyond the reference go."""
+def with_bases(df: DataFrame, pos: Column, size: Column, chunks: Chunks, name: str, least: Column | None = None) -> DataFrame:
+    """Column ``name``: ``size`` reference bases from ``pos`` (from 1); rows beyond the reference go, or keep at ``least`` so many."""
     rows = df.withColumn("_at", pos.cast("long")).withColumn("_chunk", F.floor((F.col("_at") - 1) / chunks.width).cast("long")).where("_at >= 1")
     found = F.substring("_bases", (F.col("_at") - F.col("_chunk") * chunks.width).cast("int"), size.cast("int"))
     joined = rows.join(chunks.rows, "_chunk").withColumn(name, found)
-    return joined.where(F.length(name) == size).drop("_at", "_chunk", "_bases")
+    return joined.where(F.length(name) >= (size if least is None else least)).drop("_at", "_chunk", "_bases")
 
 
 _STEPS = """aggregate(arrays_zip(n, op), named_struct('r', start_pos, 'q', 1, 'out', cast(array() as array<struct<r:bigint,q:int,n:int,op:string>>)),

@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def merge_adjacent(df: DataFrame, by: list[str], pos: str = "pos") -> DataFrame:
-    """``(*by, start_pos, length)`` of every maximal run of consecutive distinct positions; the last run counts too."""
+def merge_adjacent(df: DataFrame, by: list[str], pos: str = "pos", first: str = "start_pos") -> DataFrame:
+    """``(*by, first, length)`` of every maximal run of consecutive distinct positions; the last run counts too."""
     rows = df.select(*by, pos).distinct()
     run = F.col(pos) - F.row_number().over(Window.partitionBy(*by).orderBy(pos))
-    return rows.withColumn("_run", run).groupBy(*by, "_run").agg(F.min(pos).alias("start_pos"), F.count(F.lit(1)).alias("length")).drop("_run")
+    return rows.withColumn("_run", run).groupBy(*by, "_run").agg(F.min(pos).alias(first), F.count(F.lit(1)).alias("length")).drop("_run")
 
 
 def split_runs(df: DataFrame, start: str = "start_pos", length: str = "length") -> DataFrame:

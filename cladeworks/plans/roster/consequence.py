@@ -3,6 +3,8 @@
 from pyspark.sql import functions as F
 
 from cladeworks.functions import sequence as sq
+from cladeworks.functions import similarity as sm
+from cladeworks.operators import annotation as an
 from cladeworks.operators import consequence as co
 from cladeworks.operators import features as fe
 from cladeworks.operators import genome as gn
@@ -23,9 +25,9 @@ _C1 = _G + """, s AS (SELECT *, CASE WHEN strand = 1 THEN (pos - start_pos) // 3
 
 
 def _located(calls, feat):
-    at = iv.last_feature(calls, feat).select("pos", F.col("name").alias("gene"))
-    own = feat.select(F.col("name").alias("gene"), "start_pos", "end_pos", "strand", "ftype")
-    return calls.join(at, "pos").join(own, "gene").select("sample_id", "gene", "start_pos", "end_pos", "strand", "ftype", "pos", "alt", "vtype")
+    at = iv.last_feature(calls, feat).select("pos", F.col("name").alias("gene"), "start_pos")
+    own = feat.select(F.col("name").alias("gene"), "start_pos", "end_pos", "strand", "ftype", "is_pseudogene")
+    return calls.join(at, "pos").join(own, ["gene", "start_pos"]).select("sample_id", "gene", "start_pos", "end_pos", "strand", "ftype", "is_pseudogene", "pos", "alt", "vtype")
 
 
 def _consequences(calls, feat, ref):
@@ -111,28 +113,77 @@ def _(part):
     return co.decompose(part.select(F.col("p_partkey").alias("key"), F.concat("p_brand", "p_type").alias("ref"), F.concat("p_brand", "p_name").alias("alt")))
 
 
-_HAP = _G + f""", h AS (SELECT sample_id, gene, start_pos, end_pos, strand, list_sort(list_distinct(list({{'off': pos - start_pos + 1, 'vtype': vtype, 'alt': alt}}))) AS e FROM c WHERE ftype = 'Gene' GROUP BY ALL HAVING bool_or(vtype <> 'snp')),
- b AS (SELECT h.*, substring(seq, start_pos, end_pos - start_pos + 1) AS ref FROM h CROSS JOIN b_ref WHERE end_pos <= length(seq)),
- x AS (SELECT *, array_to_string(list_transform(range(1, length(ref) + 1), lambda i: concat(CASE WHEN len(list_filter(e, lambda z: z.off = i AND z.vtype = 'del')) > 0 THEN '' ELSE coalesce(list_filter(e, lambda z: z.off = i AND z.vtype = 'snp')[-1].alt, substring(ref, i, 1)) END,
-  coalesce(array_to_string(list_transform(list_filter(e, lambda z: z.off = i AND z.vtype = 'ins'), lambda z: z.alt), ''), ''))), '') AS s FROM b),
- y AS (SELECT sample_id, gene, CASE WHEN strand = 1 THEN s ELSE {_rc('s')} END AS s FROM x), z AS (SELECT sample_id, gene, coalesce(array_to_string(list_transform(range(1, length(s) - 1, 3), lambda i: {_aa('substring(s, i, 3)')}), ''), '') AS protein FROM y)"""
+def _indel_sql(source):
+    """CTEs that end in ``ind (sample_id, gene, gpos, ref, alt, vtype)`` from the calls of a CTE: changes put in one by one, then proteins compared."""
+    p = f"coalesce(array_to_string(list_transform(range(1, length({{0}}) - 1, 3), lambda i: {_aa('substring({0}, i, 3)')}), ''), '')"
+    acids = lambda x: p.format(x)
+    before = "CASE WHEN i = 1 THEN 0 ELSE e[i - 1].off - CASE WHEN e[i - 1].kind = 0 THEN 1 ELSE 0 END END"
+    return f"""h AS (SELECT sample_id, gene, start_pos, end_pos, strand, list_sort(list_distinct(list({{'off': pos - start_pos + 1, 'kind': CASE vtype WHEN 'ins' THEN 0 WHEN 'snp' THEN 1 ELSE 2 END, 'alt': CASE vtype WHEN 'del' THEN '' ELSE alt END}}))) AS e
+ FROM {source} GROUP BY sample_id, gene, start_pos, end_pos, strand HAVING bool_or(vtype <> 'snp')),
+ hw AS (SELECT *, least(2, start_pos - 1) AS fl, end_pos - start_pos + 1 AS size, substring(seq, start_pos - least(2, start_pos - 1), end_pos - start_pos + 1 + least(2, start_pos - 1) + 2) AS w FROM h CROSS JOIN b_ref WHERE (end_pos - start_pos + 1) % 3 = 0),
+ hk AS (SELECT sample_id, gene, strand, w, fl, size, substring(w, fl + 1, size) AS ref, list_filter(e, lambda z, i: z.kind = 0 OR i = len(e) OR e[i + 1].off <> z.off) AS e FROM hw WHERE length(w) >= fl + size),
+ hs AS (SELECT *, array_to_string(list_transform(e, lambda z, i: substring(ref, {before} + 1, z.off - 1 - ({before})) || z.alt), '') || substring(ref, e[-1].off - CASE WHEN e[-1].kind = 0 THEN 1 ELSE 0 END + 1) AS s FROM hk),
+ hf AS (SELECT sample_id, gene, CASE WHEN strand = 1 THEN ref ELSE {_rc('ref')} END AS ref, CASE WHEN strand = 1 THEN s || substring(w, fl + size + 1, f) ELSE {_rc("concat(right(left(w, fl), f), s)")} END AS s FROM (SELECT *, (3 - length(s) % 3) % 3 AS f FROM hs)),
+ hp AS (SELECT sample_id, gene, {acids('ref')} AS old, {acids('s')} AS new FROM hf),
+ hq AS (SELECT *, instr(new, '*') AS stop, least(nullif(instr(left(new, instr(new, '*')), left(old, 1)), 0), nullif(instr(left(new, instr(new, '*')), 'M'), 0)) AS start FROM hp),
+ hr AS (SELECT sample_id, gene, start IS NULL OR 10 * (stop - start) < 9 * length(old) AS broken, left(old, length(old) - 1) AS old, substring(new, start, stop - start) AS new FROM hq),
+ h1 AS (SELECT *, len(list_filter(range(1, least(length(old), length(new)) + 1), lambda i: right(old, i) = right(new, i))) AS s FROM hr WHERE NOT broken AND old <> new),
+ h2 AS (SELECT sample_id, gene, left(old, length(old) - s) AS old, left(new, length(new) - s) AS new FROM h1), h3 AS (SELECT *, len(list_filter(range(1, least(length(old), length(new)) + 1), lambda i: left(old, i) = left(new, i))) AS p FROM h2),
+ h4 AS (SELECT sample_id, gene, p, substring(old, p + 1) AS r, substring(new, p + 1) AS a, least(length(old), length(new)) - p AS n FROM h3),
+ ind AS (SELECT sample_id, gene, CAST(NULL AS BIGINT) AS gpos, '-' AS ref, '-' AS alt, 'FS' AS vtype FROM hr WHERE broken
+  UNION ALL SELECT sample_id, gene, p + i, substring(r, i, 1), substring(a, i, 1), 'snp' FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM h4) WHERE substring(r, i, 1) <> substring(a, i, 1)
+  UNION ALL SELECT sample_id, gene, p + n + 1, substring(r, n + 1), '-', 'del' FROM h4 WHERE length(r) > n UNION ALL SELECT sample_id, gene, p + n + 1, '-', substring(a, n + 1), 'ins' FROM h4 WHERE length(a) > n)"""
+
+
+@query("indel_consequence", "b_calls b_feat b_ref", f"WITH {_G}, cg AS (SELECT * FROM c WHERE ftype = 'Gene'), {_indel_sql('cg')} SELECT sample_id, gene, gpos, ref, alt, vtype FROM ind")
+def _(calls, feat, ref):
+    return an.indel_consequences(_located(calls, feat).where("ftype = 'Gene'"), ref)
+
+
+_ROWS_SQL = _G.replace("strand, ftype, pos", "strand, ftype, is_pseudogene, pos") + f""", cg AS (SELECT * FROM c WHERE ftype = 'Gene' AND NOT is_pseudogene), sh AS (SELECT DISTINCT sample_id, gene FROM cg WHERE vtype <> 'snp'),
+ {_C1[len(_G) + 2:].replace("FROM c WHERE ftype = 'Gene' AND vtype = 'snp'", "FROM cg ANTI JOIN sh USING (sample_id, gene)")},
+ st AS (SELECT DISTINCT sample_id, gene FROM r JOIN b_feat ON name = gene WHERE aa_alt = '*' AND aa_pos < 0.9 * ((end_pos - start_pos + 1) // 3)), {_indel_sql('cg')},
+ nc AS (SELECT DISTINCT sample_id, ftype, gene, start_pos, end_pos, strand, pos, alt, vtype FROM c WHERE ftype <> 'Gene' OR is_pseudogene
+  UNION SELECT sample_id, 'non_cds', '-', 1, length(seq), -1, pos, alt, vtype FROM b_calls CROSS JOIN b_ref WHERE pos NOT IN (SELECT pos FROM l)),
+ nb AS (SELECT nc.*, substring(seq, pos, 1) AS base FROM nc CROSS JOIN b_ref WHERE substring(seq, pos, 1) <> ''),
+ nd AS (SELECT sample_id, ftype, gene, start_pos, end_pos, strand, min(pos) AS lo, max(pos) AS hi, string_agg(base, '' ORDER BY pos) AS base FROM (SELECT *, pos - row_number() OVER (PARTITION BY sample_id, ftype, gene ORDER BY pos) AS run FROM (SELECT DISTINCT sample_id, ftype, gene, start_pos, end_pos, strand, pos, base FROM nb WHERE vtype = 'del'))
+  GROUP BY sample_id, ftype, gene, start_pos, end_pos, strand, run),
+ nr AS (SELECT sample_id, ftype, gene, start_pos, end_pos, strand, CASE WHEN strand = 1 THEN lo ELSE hi END AS ap, CASE WHEN strand = 1 THEN base ELSE {_rc('base')} END AS ref, '-' AS alt, 'del' AS vtype FROM nd
+  UNION ALL SELECT sample_id, ftype, gene, start_pos, end_pos, strand, pos, CASE WHEN vtype = 'ins' THEN '-' WHEN strand = 1 THEN base ELSE {_rc('base')} END, CASE WHEN strand = 1 THEN alt ELSE {_rc('alt')} END, vtype FROM nb WHERE vtype <> 'del'),
+ ann AS (SELECT sample_id, 'Gene' AS ftype, gene, CAST(aa_pos AS BIGINT) AS gpos, aa_ref AS ref, aa_alt AS alt, 'snp' AS vtype FROM r ANTI JOIN st USING (sample_id, gene) UNION SELECT sample_id, 'Gene', gene, NULL, '-', '-', 'FS' FROM st
+  UNION SELECT sample_id, 'Gene', gene, gpos, ref, alt, vtype FROM ind
+  UNION SELECT sample_id, ftype, gene, CAST(CASE WHEN ftype = 'upstream' THEN CASE WHEN strand = 1 THEN ap - end_pos - 1 ELSE start_pos - ap - 1 END WHEN strand = 1 THEN ap - start_pos + 1 ELSE end_pos - ap + 1 END AS BIGINT), ref, alt, vtype FROM nr)"""
+
+
+@query("annotate_all", "b_calls b_feat b_ref", f"WITH {_ROWS_SQL} SELECT sample_id, ftype, gene, gpos, ref, alt, vtype FROM ann")
+def _(calls, feat, ref):
+    return an.annotate(calls, _located(calls, feat), ref)
+
+
+@query("variant_vocabulary", "b_calls b_feat b_ref", f"WITH {_ROWS_SQL} SELECT DISTINCT ftype, gene, gpos, ref, alt, vtype FROM ann")
+def _(calls, feat, ref):
+    return an.vocabulary(an.annotate(calls, _located(calls, feat), ref))
+
+
+_DIST = "sm AS (SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}', {score})" for a, b, score in sm.entries()) + ") t(a, b, score)), dt AS (SELECT x.a AS ref, y.a AS alt, sqrt(sum((x.score - y.score) ** 2)) AS distance FROM sm x JOIN sm y USING (b) GROUP BY x.a, y.a)"
 
 
-@query("indel_consequence", "b_calls b_feat b_ref", f"WITH {_HAP} SELECT sample_id, gene, protein, CASE WHEN length(protein) = 0 OR instr(protein, '*') > 0 AND instr(protein, '*') < 0.9 * length(protein) THEN 'FS' ELSE 'ok' END AS status FROM z")
+@query("aa_distance", "b_calls b_feat b_ref", f"WITH {_C1}, {_DIST} SELECT sample_id, gene, aa_pos, round(distance, 6) AS distance FROM r LEFT JOIN dt ON ref = aa_ref AND alt = aa_alt")
 def _(calls, feat, ref):
-    return co.haplotypes(_located(calls, feat).where("ftype = 'Gene'"), co.gene_chunks(ref))
+    rows = _consequences(calls, feat, ref).select("sample_id", F.lit("Gene").alias("ftype"), "gene", "aa_pos", F.col("aa_ref").alias("ref"), F.col("aa_alt").alias("alt"), F.lit("snp").alias("vtype"))
+    return an.with_distance(rows, sm.distances(sm.similarity(calls.sparkSession))).select("sample_id", "gene", "aa_pos", F.round("distance", 6).alias("distance"))
 
 
-@query("annotate_all", "b_calls b_feat b_ref")
+@query("distance_features", "b_calls b_feat b_ref", f"""
+WITH {_ROWS_SQL}, {_DIST}, br AS (SELECT DISTINCT sample_id, gene FROM ann WHERE ftype = 'Gene' AND (vtype = 'FS' OR vtype = 'snp' AND (ref = '*' OR alt = '*'))),
+pr AS (SELECT ann.*, distance, CASE vtype WHEN 'ins' THEN length(ann.alt) WHEN 'del' THEN length(ann.ref) ELSE 1 END AS size FROM ann LEFT JOIN dt ON dt.ref = ann.ref AND dt.alt = ann.alt AND ftype = 'Gene' AND vtype = 'snp' WHERE ftype <> 'non_cds' AND NOT (ftype = 'Gene' AND (sample_id, gene) IN (SELECT sample_id, gene FROM br))),
+ct AS (SELECT *, CASE WHEN ftype <> 'Gene' THEN size WHEN distance IS NOT NULL THEN distance * distance ELSE size * (SELECT max(distance) ** 2 FROM dt) END AS cost FROM pr)
+SELECT sample_id, 'Gene' AS ftype, gene, 'broken' AS kind, CAST(NULL AS BIGINT) AS gpos, CAST(1 AS DOUBLE) AS value FROM br
+UNION ALL SELECT sample_id, ftype, gene, 'dist', NULL, round(CASE WHEN ftype = 'Gene' THEN sqrt(sum(cost)) ELSE sum(cost) END, 6) FROM ct GROUP BY sample_id, ftype, gene
+UNION ALL SELECT sample_id, ftype, gene, 'site', gpos, round(distance, 6) FROM ct WHERE distance IS NOT NULL UNION ALL SELECT sample_id, ftype, gene, 'del', gpos, size FROM ct WHERE vtype = 'del' AND size > 1""")
 def _(calls, feat, ref):
-    rows, chunks = _located(calls, feat), co.reference_chunks(ref)
-    genes = rows.where("ftype = 'Gene'")
-    broken = genes.where("vtype <> 'snp'").select("sample_id", "gene").distinct()
-    a = co.snp_consequences(genes.where("vtype = 'snp'").join(broken, ["sample_id", "gene"], "left_anti"), chunks)
-    a = a.select("sample_id", "gene", F.concat("aa_ref", F.col("aa_pos").cast("string"), "aa_alt").alias("change"))
-    b = co.haplotypes(genes, co.gene_chunks(ref)).select("sample_id", "gene", F.concat_ws(":", "status", F.sha2("protein", 256)).alias("change"))
-    c = rows.where("ftype <> 'Gene'").select("sample_id", "gene", F.concat_ws(":", "vtype", F.col("pos").cast("string"), "alt").alias("change"))
-    return a.union(b).union(c).distinct()
+    found = an.distance_features(an.annotate(calls, _located(calls, feat), ref), sm.distances(sm.similarity(calls.sparkSession)))
+    return found.withColumn("value", F.round("value", 6))
 
 
 @query("dictionary_convert", "b_drug_gene b_feat", f"""

@@ -85,14 +85,6 @@ def _(calls, feat):
     return _local(calls, feat).where("vtype = 'snp'").select("gene", "pos").distinct()
 
 
-@query("distance_features", "b_calls b_feat", f"""
-WITH {_LOCAL}, d AS (SELECT sample_id, gene, CASE vtype WHEN 'snp' THEN abs(pos % 7 - 3) ELSE 5 END AS d FROM c)
-SELECT sample_id, gene, round(sqrt(sum(d * d)), 6) AS distance FROM d GROUP BY sample_id, gene""")
-def _(calls, feat):
-    d = F.when(F.col("vtype") == "snp", F.abs(F.col("pos") % 7 - 3)).otherwise(5)
-    return _local(calls, feat).withColumn("d", d).groupBy("sample_id", "gene").agg(F.round(F.sqrt(F.sum(F.col("d") * F.col("d"))), 6).alias("distance"))
-
-
 @query("feature_encode", "b_words", "SELECT feature, row_number() OVER (ORDER BY feature) - 1 AS code FROM (SELECT DISTINCT feature FROM b_words)")
 def _(words):
     return fe.encode(words)
