@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from cladeworks.operators import identifiers as idn
 from cladeworks.operators import phenotype as ph
 from cladeworks.plans.registry import query
 
@@ -67,6 +68,46 @@ def _(part, supplier):
     return ph.resolve_ids(names, [first, second])
 
 
+_CHAIN = "SELECT o_orderkey AS row_idx, CASE WHEN o_orderkey % 3 = 0 THEN concat('S', CAST(o_orderkey AS VARCHAR(20))) ELSE 'NA' END AS own, CASE WHEN o_orderkey % 5 < 2 THEN concat('e', CAST(o_custkey AS VARCHAR(20))) ELSE 'NA' END AS run, concat('l', CAST(o_custkey % 700 AS VARCHAR(20))) AS lib FROM {}"
+_RUNS = "SELECT concat('e', CAST(l_suppkey * 3 AS VARCHAR(20)), ';e', CAST(l_suppkey AS VARCHAR(20))) AS run, concat('l', CAST(l_partkey % 900 AS VARCHAR(20))) AS lib, CASE WHEN l_linenumber = 7 THEN 'NA' ELSE concat('S', CAST(l_orderkey AS VARCHAR(20))) END AS id, l_orderkey * 10 + l_linenumber AS row_idx FROM {}"
+
+
+@query("id_chain", "orders lineitem", f"""
+WITH o AS ({_CHAIN.format('orders')}), m AS ({_RUNS.format('lineitem')}),
+r AS (SELECT split_part(run, ';', 1) AS name, arg_min(id, (row_idx, id)) AS id FROM m WHERE id <> 'NA' GROUP BY ALL), b AS (SELECT lib AS name, arg_min(id, (row_idx, id)) AS id FROM m WHERE id <> 'NA' GROUP BY ALL)
+SELECT row_idx, CASE WHEN own <> 'NA' THEN own WHEN run <> 'NA' THEN r.id ELSE b.id END AS id, CASE WHEN own <> 'NA' THEN 'own' WHEN run <> 'NA' THEN 'run' ELSE 'lib' END AS via FROM o LEFT JOIN r ON r.name = run LEFT JOIN b ON b.name = lib""")
+def _(orders, lineitem):
+    spark = orders.sparkSession
+    rows, table = spark.sql(_CHAIN.format("{o}"), o=orders), spark.sql(_RUNS.format("{l}"), l=lineitem)
+    return idn.resolve_chain(rows, "own", [("run", idn.first_ids(table, "run", "id", "row_idx")), ("lib", idn.first_ids(table, "lib", "id", "row_idx"))]).select("row_idx", "id", "via")
+
+
+@query("id_substring", "b_words pages", "SELECT name, min(page_id) AS row_idx FROM (SELECT DISTINCT feature AS name FROM b_words) LEFT JOIN pages ON contains(url, name) GROUP BY name")
+def _(words, pages):
+    return idn.first_line(words.select(F.col("feature").alias("name")), pages.select(F.col("page_id").alias("row_idx"), F.col("url").alias("line")))
+
+
+@query("id_report", "b_words pages", """
+WITH n AS (SELECT DISTINCT feature AS name FROM b_words), k AS (SELECT name FROM n WHERE contains(name, 'th')), x AS (SELECT name FROM n WHERE length(name) = 9 AND NOT contains(name, 'th')),
+f AS (SELECT name, arg_min(regexp_extract(url, '/([a-z]+)[.]', 1), page_id) AS id, min(page_id) AS p FROM n LEFT JOIN pages ON contains(url, name) WHERE name NOT IN (SELECT name FROM k UNION SELECT name FROM x) GROUP BY name),
+g AS (SELECT *, min(name) OVER (PARTITION BY id) AS first FROM f WHERE p IS NOT NULL)
+SELECT name, name AS id, 'kept' AS status FROM k UNION ALL SELECT name, name, 'excluded' FROM x UNION ALL SELECT name, id, CASE WHEN id IN (SELECT name FROM k) OR name <> first THEN 'repeat' ELSE 'renamed' END FROM g UNION ALL SELECT name, NULL, 'unmatched' FROM f WHERE p IS NULL""")
+def _(words, pages):
+    names = words.select(F.col("feature").alias("name"))
+    lines = pages.select(F.col("page_id").alias("row_idx"), F.col("url").alias("line"), F.regexp_extract("url", "/([a-z]+)[.]", 1).alias("id"))
+    return idn.standard_names(names, lines, names.where("length(name) = 9"), "th")
+
+
+@query("id_lists", "lineitem supplier", """
+WITH g AS (SELECT l_orderkey AS grp, list(CAST(l_partkey AS VARCHAR) ORDER BY l_linenumber, l_partkey, l_suppkey) AS m FROM lineitem GROUP BY l_orderkey HAVING count(*) > 1),
+r AS (SELECT grp, unnest(range(len(m))) AS place, unnest(m) AS member FROM g), k AS (SELECT grp, arg_max(member, place) AS kept FROM r WHERE member IN (SELECT CAST(s_suppkey * 7 AS VARCHAR) FROM supplier) GROUP BY grp)
+SELECT grp, member, member = k.kept AS kept FROM r JOIN k USING (grp)""")
+def _(lineitem, supplier):
+    order = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey")))
+    groups = lineitem.groupBy(F.col("l_orderkey").alias("grp")).agg(F.array_join(F.transform(order, lambda x: x["l_partkey"].cast("string")), ";").alias("members"))
+    return idn.listed_members(groups, supplier.select((F.col("s_suppkey") * 7).cast("string").alias("id")))
+
+
 @query("organism_filter", "customer nation", """
 SELECT c_custkey, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE NOT contains(n_name, 'AN')""")
 def _(customer, nation):
