@@ -8,12 +8,14 @@ the tree has nodes. Each round is written to the shared checkpoint folder.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cladeworks.functions import sequence as sq
+from cladeworks.operators.features import encode
 from cladeworks.operators.genome import Chunks, with_bases
 from cladeworks.operators.intervals import points_in_intervals
+from cladeworks.operators.islands import merge_adjacent
 from cladeworks.plans.lineage import discard, materialise
 
 
@@ -90,6 +92,11 @@ def edge_changes(edges: DataFrame, bases: DataFrame) -> DataFrame:
     return edge_bases(edges, bases).where("old <> new")
 
 
+def codon_low() -> Column:
+    """The lowest position of the codon that holds ``pos`` in a gene ``(start_pos, end_pos, strand)``."""
+    return F.when(F.col("strand") == 1, sq.anchor(F.col("pos"), F.col("start_pos"))).otherwise(F.col("pos") - 2 + F.pmod(F.col("end_pos") - F.col("pos"), F.lit(3)))
+
+
 def edge_mutations(edges: DataFrame, bases: DataFrame, genes: DataFrame, chunks: Chunks) -> DataFrame:
     """``(child, parent, pos, old, new, syn)``: the changes on each edge, those of one codon as one change of its amino acid.
 
@@ -98,8 +105,7 @@ def edge_mutations(edges: DataFrame, bases: DataFrame, genes: DataFrame, chunks:
     of the codon, and ``syn`` is true if the amino acid stays. Changes outside genes keep position and bases; codons beyond the
     reference go.
     """
-    low = F.when(F.col("strand") == 1, sq.anchor(F.col("pos"), F.col("start_pos"))).otherwise(F.col("pos") - 2 + F.pmod(F.col("end_pos") - F.col("pos"), F.lit(3)))
-    rows = edge_bases(edges, bases).join(genes.select("pos", "gene", "strand", low.alias("at")), "pos", "left").withColumn("at", F.coalesce("at", "pos"))
+    rows = edge_bases(edges, bases).join(genes.select("pos", "gene", "strand", codon_low().alias("at")), "pos", "left").withColumn("at", F.coalesce("at", "pos"))
     pick = lambda i: F.max(F.when(F.col("pos") - F.col("at") == i, F.struct("old", "new"))).alias(f"s{i}")
     codons = rows.groupBy("child", "parent", "gene", "strand", "at").agg(*[pick(i) for i in range(3)])
     begun = F.lit(False)
@@ -116,12 +122,12 @@ def edge_mutations(edges: DataFrame, bases: DataFrame, genes: DataFrame, chunks:
 
 
 def mutation_lists(mutations: DataFrame, edges: DataFrame) -> DataFrame:
-    """``(child, parent, dist, syn, nonsyn)``: per edge the positions of its silent changes and its other changes as old-position-new, joined by ``;``."""
+    """``(child, parent, dist, syn, nonsyn)``: per edge the lists of the positions of its silent changes and of its other changes as old-position-new."""
     name = F.when(F.col("syn"), F.col("pos").cast("string")).otherwise(F.concat("old", F.col("pos").cast("string"), "new"))
     listed = lambda kind: F.array_sort(F.collect_list(F.when(F.col("syn") == kind, F.struct("pos", name.alias("m")))))
     lists = mutations.groupBy("child").agg(listed(True).alias("s"), listed(False).alias("n"))
-    joined = lambda c: F.coalesce(F.array_join(F.transform(c, lambda x: x["m"]), ";"), F.lit(""))
-    return edges.where("parent is not null").join(lists, "child", "left").select("child", "parent", "dist", joined("s").alias("syn"), joined("n").alias("nonsyn"))
+    names = lambda c: F.coalesce(F.transform(c, lambda x: x["m"]), F.array().cast("array<string>"))
+    return edges.where("parent is not null").join(lists, "child", "left").select("child", "parent", "dist", names("s").alias("syn"), names("n").alias("nonsyn"))
 
 
 def state_changes(edges: DataFrame, states: DataFrame) -> DataFrame:
@@ -222,13 +228,80 @@ def members(edges: DataFrame, clades: DataFrame) -> DataFrame:
     return points_in_intervals(tips, clades.join(places, "node").select("node", "enter", "exit"), "pos", "enter", "exit").select("node", "leaf")
 
 
-def association(changes: DataFrame, states: DataFrame) -> DataFrame:
-    """``(mut, n_pos, n_neg, share)``: edges with a mutation that also change state, and those that do not."""
-    rows = changes.select("child", F.concat("old", F.col("pos").cast("string"), "new").alias("mut")).join(states.select("child", F.col("change").isNotNull().cast("int").alias("hit")), "child")
-    t = rows.groupBy("mut").agg(F.sum("hit").cast("long").alias("n_pos"), F.sum(1 - F.col("hit")).cast("long").alias("n_neg"))
+def association(edges: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """``(*by, mut, n_pos, n_neg, share)`` from an edge table ``(*by, child, change, nonsyn)``: edges with a mutation that also change state, and those that do not.
+
+    A mutation is named by its place: the letters before and behind it go, codes of indels stay.
+    """
+    by = by or []
+    rows = edges.select(*by, F.explode("nonsyn").alias("m"), F.col("change").isNotNull().cast("long").alias("hit"))
+    place = F.when(F.col("m").rlike("^[0-9]"), F.col("m")).otherwise(F.expr("substring(m, 2, length(m) - 2)"))
+    t = rows.groupBy(*by, place.alias("mut")).agg(F.sum("hit").alias("n_pos"), F.sum(1 - F.col("hit")).alias("n_neg"))
     return t.withColumn("share", F.round(F.col("n_pos") / (F.col("n_pos") + F.col("n_neg")), 6))
 
 
+def drug_codes(states: DataFrame) -> DataFrame:
+    """``(drug, code)``: drugs numbered from 1 in the order of their names, whatever order their tables come in."""
+    return encode(states.select(F.col("drug").alias("feature"))).select(F.col("feature").alias("drug"), (F.col("code") + 1).alias("code"))
+
+
+def drug_changes(edges: DataFrame, states: DataFrame, codes: DataFrame, resistant: bool = False, susceptible: bool = False) -> DataFrame:
+    """``(child, parent, changes)``: for each edge the list of ``<old><code><new>`` of the drugs ``(node, drug, state)`` that change on it, by code.
+
+    With ``resistant`` (``susceptible``) drugs that stay R (S) are listed too. A drug counts where both ends have a state; edges without any have
+    an empty list.
+    """
+    ways = edges.where("parent is not null").select("child", "parent")
+    rows = ways.join(states.select(F.col("node").alias("child"), "drug", F.col("state").alias("new")), "child").join(states.select(F.col("node").alias("parent"), "drug", F.col("state").alias("old")), ["parent", "drug"])
+    stays = (F.lit(resistant) & (F.col("new") == "R")) | (F.lit(susceptible) & (F.col("new") == "S"))
+    rows = rows.where((F.col("old") != F.col("new")) | stays).join(codes, "drug")
+    listed = rows.groupBy("child").agg(F.array_sort(F.collect_list(F.struct("code", F.concat("old", F.col("code").cast("string"), "new").alias("c")))).alias("l"))
+    return ways.join(listed, "child", "left").select("child", "parent", F.coalesce(F.transform("l", lambda x: x["c"]), F.array().cast("array<string>")).alias("changes"))
+
+
+def state_vectors(states: DataFrame, codes: DataFrame) -> DataFrame:
+    """``(node, vector)``: a 1 for each drug that a node resists, else a 0, in the order of the codes; a drug without a state is a 0."""
+    held = states.join(codes, "drug").groupBy("node").agg(F.collect_set(F.when(F.col("state") == "R", F.col("code"))).alias("has"))
+    every = codes.agg(F.coalesce(F.max("code"), F.lit(0))).scalar()
+    return held.withColumn("last", every).select("node", F.array_join(F.transform(F.sequence(F.lit(1).cast("long"), F.col("last")), lambda c: F.array_contains("has", c).cast("int").cast("string")), "").alias("vector"))
+
+
+def most_likely(probabilities: DataFrame) -> DataFrame:
+    """``(node, pos, base, prob)``: the likeliest base of each node at each position; ties to the smaller letter."""
+    best = F.min(F.struct((-F.col("prob")).alias("p"), "base")).alias("b")
+    return probabilities.groupBy("node", "pos").agg(best).select("node", "pos", "b.base", (-F.col("b.p")).alias("prob"))
+
+
+def two_states(probabilities: DataFrame) -> DataFrame:
+    """``probabilities`` with ``state``: 0 where p0 is above p1, else 1."""
+    return probabilities.withColumn("state", F.when(F.col("p0") > F.col("p1"), 0).otherwise(1))
+
+
+def indel_keys(calls: DataFrame) -> DataFrame:
+    """``(sample_id, key)``: runs of deleted bases as ``del_<pos>_<length>``, insertions as ``ins_<pos>_<bases>``."""
+    gone = merge_adjacent(calls.where("vtype = 'del'"), ["sample_id"]).select("sample_id", F.concat_ws("_", F.lit("del"), F.col("start_pos").cast("string"), F.col("length").cast("string")).alias("key"))
+    return gone.union(calls.where("vtype = 'ins'").select("sample_id", F.concat_ws("_", F.lit("ins"), F.col("pos").cast("string"), "alt")).distinct())
+
+
+def indel_codes(indels: DataFrame, length: Column) -> DataFrame:
+    """``(key, code)``: indels ``(key)`` numbered in their order from the first place beyond the reference."""
+    return encode(indels.select(F.col("key").alias("feature"))).select(F.col("feature").alias("key"), (length + F.col("code") + 1).alias("code"))
+
+
+def indel_changes(edges: DataFrame, carriers: DataFrame, codes: DataFrame) -> DataFrame:
+    """``(child, parent, pos, old, new, syn)`` as ``edge_mutations``, for indels ``(node, key)`` that only one end of an edge has: their code alone."""
+    ways = edges.where("parent is not null").select("child", "parent")
+    has = carriers.select("node", "key").distinct()
+    both = lambda here, there: ways.join(has.withColumnRenamed("node", here), here).join(has.withColumnRenamed("node", there), [there, "key"], "left_anti")
+    rows = both("child", "parent").select("child", "parent", "key").union(both("parent", "child").select("child", "parent", "key"))
+    return rows.join(codes, "key").select("child", "parent", F.col("code").alias("pos"), F.lit("").alias("old"), F.lit("").alias("new"), F.lit(False).alias("syn"))
+
+
+def site_codes(positions: DataFrame, genes: DataFrame) -> DataFrame:
+    """``(code)``: distinct positions as edge tables name them, the lowest of the codon inside coding genes ``(pos, start_pos, end_pos, strand)``."""
+    return positions.select("pos").distinct().join(genes.select("pos", codon_low().alias("low")), "pos", "left").select(F.coalesce("low", "pos").alias("code")).distinct()
+
+
 def column_entropy(bases: DataFrame) -> DataFrame:
     """``(pos, entropy)`` in nats of the bases of each alignment column."""
     c = bases.groupBy("pos", "base").agg(F.count(F.lit(1)).alias("n"))

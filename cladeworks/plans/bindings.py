@@ -34,6 +34,11 @@ VIEWS = {
     "b_state": """SELECT CAST(c_custkey AS BIGINT) AS node, CASE WHEN c_mktsegment IN ('BUILDING','MACHINERY') THEN 'R' ELSE 'S' END AS state FROM {customer}""",
     "b_bases": """SELECT CAST(o_custkey AS BIGINT) AS node, CAST(l_suppkey*2+1 AS BIGINT) AS pos,
  substring('ACGT',CAST(1+sum(CAST(l_quantity AS BIGINT))%4 AS INT),1) AS base FROM {lineitem} JOIN {orders} ON l_orderkey=o_orderkey GROUP BY o_custkey, l_suppkey""",
+    "b_indels": """SELECT DISTINCT CAST(o_custkey AS BIGINT) AS node, CASE WHEN l_linenumber=6 THEN concat('del_',CAST(l_suppkey*2+1 AS VARCHAR(20)),'_',CAST(l_partkey%3+1 AS VARCHAR(20)))
+ ELSE concat('ins_',CAST(l_suppkey*2+1 AS VARCHAR(20)),'_',substring('ACGTACGT',CAST(l_partkey%4+1 AS INT),CAST(l_partkey%3+1 AS INT))) END AS key FROM {lineitem} JOIN {orders} ON l_orderkey=o_orderkey WHERE l_linenumber IN (6,7)""",
+    "b_drug_state": """SELECT CAST(c_custkey AS BIGINT) AS node, 'RIF' AS drug, CASE WHEN c_mktsegment IN ('BUILDING','MACHINERY') THEN 'R' ELSE 'S' END AS state FROM {customer}
+ UNION ALL SELECT CAST(c_custkey AS BIGINT), 'INH', CASE WHEN c_nationkey%3=0 THEN 'R' ELSE 'S' END FROM {customer} UNION ALL SELECT CAST(c_custkey AS BIGINT), 'EMB', CASE WHEN c_acctbal<2000 THEN 'R' ELSE 'S' END FROM {customer}
+ UNION ALL SELECT CAST(c_custkey AS BIGINT), 'PZA', CASE WHEN c_custkey%7=0 THEN 'R' ELSE 'S' END FROM {customer} WHERE c_custkey%5<>0""",
     "b_depth": """SELECT CAST(l_suppkey AS BIGINT) AS sample_id, CAST(l_partkey AS BIGINT) AS pos,
  CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS depth FROM {lineitem} GROUP BY l_suppkey, l_partkey""",
     "b_edges": """SELECT DISTINCT CAST(a.l_partkey AS BIGINT) AS src, CAST(b.l_partkey AS BIGINT) AS dst FROM {lineitem} a JOIN {lineitem} b

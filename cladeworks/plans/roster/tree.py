@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from cladeworks.functions import sequence as sq
 from cladeworks.operators import consequence as co
 from cladeworks.operators import features as fe
+from cladeworks.operators import genome as gn
 from cladeworks.operators import intervals as iv
 from cladeworks.operators import tree as tr
 from cladeworks.plans.lineage import materialise
@@ -39,23 +40,35 @@ def _(edges):
     return edges.select("child", "parent", "dist", F.col("parent").isNull().alias("is_root"))
 
 
+def _joined(lists):
+    """Edge rows with their lists as text."""
+    return lists.withColumns({c: F.array_join(c, ";") for c in ("syn", "nonsyn")})
+
+
 @query("edge_mutations", "b_tree b_bases b_feat b_ref", f"WITH {_MU.format('b_bases')} " + _LIST.format("mu"))
 def _(edges, bases, feat, ref):
-    return tr.mutation_lists(_mutations(edges, bases, feat, ref), edges)
+    return _joined(tr.mutation_lists(_mutations(edges, bases, feat, ref), edges))
+
+
+_IN = """ix AS (SELECT key, (SELECT length(seq) FROM b_ref) + row_number() OVER (ORDER BY key) AS code FROM (SELECT DISTINCT key FROM b_indels)),
+ iw AS (SELECT child, parent, key FROM b_tree JOIN b_indels ON node = child ANTI JOIN (SELECT node AS parent, key FROM b_indels) USING (parent, key) WHERE parent IS NOT NULL
+  UNION ALL SELECT child, parent, key FROM b_tree JOIN b_indels ON node = parent ANTI JOIN (SELECT node AS child, key FROM b_indels) USING (child, key)),
+ u0 AS (SELECT * FROM mu UNION ALL SELECT child, parent, code, '', '', FALSE FROM iw JOIN ix USING (key))"""
 
 
-@query("edge_mutations_indel", "b_tree b_bases b_feat b_ref b_state", f"""
-WITH {_MU.format('b_bases')}, s AS (SELECT t.child, t.parent, 1000000 AS pos, CAST(CAST(p.state = 'R' AS INT) AS VARCHAR) AS old, CAST(CAST(c.state = 'R' AS INT) AS VARCHAR) AS new, FALSE FROM b_tree t JOIN b_state c ON c.node = t.child JOIN b_state p ON p.node = t.parent WHERE c.state <> p.state),
-u0 AS (SELECT * FROM mu UNION ALL SELECT * FROM s) """ + _LIST.format("u0"))
-def _(edges, bases, feat, ref, states):
-    characters = states.select("node", F.lit(1_000_000).cast("long").alias("pos"), (F.col("state") == "R").cast("int").cast("string").alias("base"))
-    indels = tr.edge_changes(edges, characters).withColumn("syn", F.lit(False))
-    return tr.mutation_lists(_mutations(edges, bases, feat, ref).union(indels), edges)
+def _with_indels(edges, bases, feat, ref, indels):
+    codes = tr.indel_codes(indels, gn.reference_length(ref))
+    return _mutations(edges, bases, feat, ref).union(tr.indel_changes(edges, indels, codes))
+
+
+@query("edge_mutations_indel", "b_tree b_bases b_feat b_ref b_indels", f"WITH {_MU.format('b_bases')}, {_IN} " + _LIST.format("u0"))
+def _(edges, bases, feat, ref, indels):
+    return _joined(tr.mutation_lists(_with_indels(edges, bases, feat, ref, indels), edges))
 
 
 @query("edge_mutations_target", "b_tree b_bases b_feat b_ref b_calls", f"WITH tg AS (SELECT * FROM b_bases WHERE pos IN (SELECT pos FROM b_calls)), {_MU.format('tg')} " + _LIST.format("mu"))
 def _(edges, bases, feat, ref, calls):
-    return tr.mutation_lists(_mutations(edges, bases.join(calls.select("pos").distinct(), "pos", "left_semi").select("node", "pos", "base"), feat, ref), edges)
+    return _joined(tr.mutation_lists(_mutations(edges, bases.join(calls.select("pos").distinct(), "pos", "left_semi").select("node", "pos", "base"), feat, ref), edges))
 
 
 @query("edge_genes", "b_tree b_bases b_feat", f"""
@@ -167,26 +180,82 @@ def _(edges):
     return tr.leaves(edges)
 
 
-@query("site_recode", "b_calls b_feat", """
-WITH s AS (SELECT DISTINCT pos - (pos - start_pos) % 3 AS site FROM b_calls JOIN b_feat ON pos BETWEEN start_pos AND end_pos WHERE vtype = 'snp' AND ftype = 'Gene') SELECT site, row_number() OVER (ORDER BY site) AS code FROM s""")
-def _(calls, feat):
-    hit = iv.points_in_intervals(calls.where("vtype = 'snp'").select("pos").distinct(), feat.where("ftype = 'Gene'"))
-    sites = hit.select(sq.anchor(F.col("pos"), F.col("start_pos")).alias("feature")).distinct()
-    return fe.encode(sites).select(F.col("feature").alias("site"), (F.col("code") + 1).alias("code"))
+_KEYS = """kd AS (SELECT sample_id, min(pos) AS p, count(*) AS n FROM (SELECT sample_id, pos, pos - row_number() OVER (PARTITION BY sample_id ORDER BY pos) AS run FROM (SELECT DISTINCT sample_id, pos FROM b_calls WHERE vtype = 'del')) GROUP BY sample_id, run),
+ ky AS (SELECT sample_id, 'del_' || p || '_' || n AS key FROM kd UNION SELECT sample_id, 'ins_' || pos || '_' || alt FROM b_calls WHERE vtype = 'ins')"""
 
 
-@query("state_argmax", "b_bases", """
-WITH n AS (SELECT pos, base, count(*) AS n FROM b_bases GROUP BY ALL) SELECT pos, arg_min(base, (-n, base)) AS base, max(n) AS n FROM n GROUP BY pos""")
-def _(bases):
-    counts = bases.groupBy("pos", "base").agg(F.count(F.lit(1)).alias("n"))
-    return counts.groupBy("pos").agg(F.min(F.struct((-F.col("n")).alias("m"), "base")).alias("b")).select("pos", "b.base", (-F.col("b.m")).alias("n"))
+@query("indel_keys", "b_calls", f"WITH {_KEYS} SELECT sample_id, key FROM ky")
+def _(calls):
+    return tr.indel_keys(calls)
 
 
-@query("edge_association", "b_tree b_bases b_state", f"""
-WITH {_CH}, {_ST}, h AS (SELECT old || pos || new AS mut, child FROM ch) SELECT mut, count(*) FILTER (change IS NOT NULL) AS n_pos, count(*) FILTER (change IS NULL) AS n_neg, round(count(*) FILTER (change IS NOT NULL) / count(*), 6) AS share
-FROM h JOIN st USING (child) GROUP BY mut""")
-def _(edges, bases, states):
-    return tr.association(tr.edge_changes(edges, bases), tr.state_changes(edges, states))
+@query("site_recode", "b_calls b_feat b_ref", f"""
+WITH {_KEYS}, lo AS (SELECT pos, arg_max(name, start_pos) AS gene FROM (SELECT DISTINCT pos FROM b_calls) JOIN b_feat ON pos BETWEEN start_pos AND end_pos GROUP BY pos),
+ s AS (SELECT DISTINCT pos FROM b_calls WHERE vtype = 'snp'), g AS (SELECT pos, CASE WHEN strand = 1 THEN pos - (pos - start_pos) % 3 ELSE pos - 2 + (end_pos - pos) % 3 END AS low FROM lo JOIN b_feat ON name = gene WHERE ftype = 'Gene'),
+ x AS (SELECT key, (SELECT length(seq) FROM b_ref) + row_number() OVER (ORDER BY key) AS code FROM (SELECT DISTINCT key FROM ky))
+SELECT DISTINCT coalesce(low, pos) AS code, CAST(NULL AS VARCHAR) AS key FROM s LEFT JOIN g USING (pos) UNION ALL SELECT code, key FROM x WHERE key IN (SELECT key FROM ky WHERE sample_id % 2 = 0)""")
+def _(calls, feat, ref):
+    located = iv.last_feature(calls, feat).select("pos", "name").join(feat.where("ftype = 'Gene'").select("name", "start_pos", "end_pos", "strand"), "name")
+    sites = tr.site_codes(calls.where("vtype = 'snp'"), located).select("code", F.lit(None).cast("string").alias("key"))
+    keys = materialise(tr.indel_keys(calls))
+    present = keys.where("sample_id % 2 = 0").select("key").distinct()  # the samples of interest
+    return sites.union(tr.indel_codes(keys, gn.reference_length(ref)).join(present, "key", "left_semi").select("code", "key"))
+
+
+_PROB = "SELECT CAST(o_custkey AS BIGINT) AS node, CAST(l_suppkey*2+1 AS BIGINT) AS pos, substring('ACGT', CAST(1 + l_partkey % 4 AS INT), 1) AS base, CAST(sum(CAST(l_quantity AS BIGINT)) AS DOUBLE) AS prob FROM {} JOIN {} ON l_orderkey = o_orderkey GROUP BY o_custkey, l_suppkey, l_partkey % 4"
+
+
+@query("state_argmax", "lineitem orders", f"WITH n AS ({_PROB.format('lineitem', 'orders')}) SELECT node, pos, arg_min(base, (-prob, base)) AS base, max(prob) AS prob FROM n GROUP BY node, pos")
+def _(lineitem, orders):
+    return tr.most_likely(orders.sparkSession.sql(_PROB.format("{l}", "{o}"), l=lineitem, o=orders))
+
+
+@query("two_state_ancestors", "customer", "SELECT CAST(c_custkey AS BIGINT) AS node, CASE WHEN floor(abs(c_acctbal) / 1000) > c_nationkey % 10 THEN 0 ELSE 1 END AS state FROM customer")
+def _(customer):
+    rows = customer.select(F.col("c_custkey").cast("long").alias("node"), F.floor(F.abs("c_acctbal") / 1000).alias("p0"), (F.col("c_nationkey") % 10).alias("p1"))
+    return tr.two_states(rows).select("node", "state")
+
+
+def _edge_table(edges, bases, feat, ref, states, indels):
+    """Rows as an edge-table file has them: lists of mutations, indel codes among them, and the change of state."""
+    lists = tr.mutation_lists(_with_indels(edges, bases, feat, ref, indels), edges)
+    return lists.join(tr.state_changes(edges, states).select("child", "change"), "child")
+
+
+@query("edge_association", "b_tree b_bases b_feat b_ref b_state b_indels", f"""
+WITH {_MU.format('b_bases')}, {_IN}, {_ST}, h AS (SELECT CAST(pos AS VARCHAR) AS mut, child FROM u0 WHERE NOT coding OR old <> new)
+SELECT mut, count(*) FILTER (change IS NOT NULL) AS n_pos, count(*) FILTER (change IS NULL) AS n_neg, round(count(*) FILTER (change IS NOT NULL) / count(*), 6) AS share FROM h JOIN st USING (child) GROUP BY mut""")
+def _(edges, bases, feat, ref, states, indels):
+    return tr.association(_edge_table(edges, bases, feat, ref, states, indels))
+
+
+_SV = """dc AS (SELECT drug, row_number() OVER (ORDER BY drug) AS code FROM (SELECT DISTINCT drug FROM b_drug_state))"""
+
+
+@query("drug_codes", "b_drug_state", f"WITH {_SV} SELECT drug, code FROM dc")
+def _(states):
+    return tr.drug_codes(states)
+
+
+def _drug_changes_sql(rr, ss):
+    also = " OR c.state = 'R'" * rr + " OR c.state = 'S'" * ss
+    return f"""WITH {_SV}, x AS (SELECT t.child, code, p.state || code || c.state AS c FROM b_tree t JOIN b_drug_state c ON c.node = t.child JOIN b_drug_state p ON p.node = t.parent AND p.drug = c.drug JOIN dc ON dc.drug = c.drug WHERE p.state <> c.state{also})
+SELECT t.child, t.parent, coalesce(string_agg(c, ';' ORDER BY code), '') AS changes FROM b_tree t LEFT JOIN x ON x.child = t.child WHERE t.parent IS NOT NULL GROUP BY t.child, t.parent"""
+
+
+@query("edge_drug_changes", "b_tree b_drug_state", _drug_changes_sql(False, False))
+def _(edges, states):
+    return tr.drug_changes(edges, states, tr.drug_codes(states)).withColumn("changes", F.array_join("changes", ";"))
+
+
+@query("edge_drug_states", "b_tree b_drug_state", _drug_changes_sql(True, True))
+def _(edges, states):
+    return tr.drug_changes(edges, states, tr.drug_codes(states), resistant=True, susceptible=True).withColumn("changes", F.array_join("changes", ";"))
+
+
+@query("state_vectors", "b_drug_state", f"WITH {_SV}, n AS (SELECT DISTINCT node FROM b_drug_state) SELECT n.node, string_agg(CASE WHEN s.state = 'R' THEN '1' ELSE '0' END, '' ORDER BY code) AS vector FROM n CROSS JOIN dc LEFT JOIN b_drug_state s ON s.node = n.node AND s.drug = dc.drug GROUP BY n.node")
+def _(states):
+    return tr.state_vectors(states, tr.drug_codes(states))
 
 
 @query("column_entropy", "b_bases", """

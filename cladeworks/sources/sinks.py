@@ -20,10 +20,10 @@ def write_filter_outputs(kept: DataFrame, low_sites: DataFrame, samples: DataFra
         rows.write.mode("overwrite").parquet(f"{path}/{name}")
 
 
-def write_params(spark: SparkSession, params: object, path: str) -> None:
-    """A run's parameters as one row per name, after those of earlier runs."""
+def write_params(spark: SparkSession, params: object, path: str, run_id: str) -> None:
+    """A run's parameters as one row ``(name, value)`` each in the folder of the run; those of other runs stay, a run written twice is there once."""
     rows = [(k, str(v)) for k, v in asdict(params).items()]
-    spark.createDataFrame(rows, "name string, value string").write.mode("append").json(path)
+    spark.createDataFrame(rows, "name string, value string").write.mode("overwrite").json(f"{path}/run_id={run_id}")
 
 
 def write_fasta(rows: DataFrame, path: str) -> None:
@@ -32,9 +32,20 @@ def write_fasta(rows: DataFrame, path: str) -> None:
 
 
 def write_edge_table(edges: DataFrame, path: str) -> None:
-    """``(child, parent, dist, syn, change, nonsyn)`` with tabs; lists are joined by ``;``."""
-    line = F.concat_ws("\t", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("child", "parent", "dist", "syn", "change", "nonsyn")])
-    edges.select(line.alias("value")).write.mode("overwrite").text(path)
+    """``(child, parent, dist, syn, change, nonsyn)`` with tabs, lists joined by ``;``: the names of the columns, the root alone, then the edges by child.
+
+    The part files follow each other in this order.
+    """
+    cells = [F.array_join(c, ";") if t.startswith("array") else F.coalesce(F.col(c).cast("string"), F.lit("")) for c, t in edges.select("child", "parent", "dist", "syn", "change", "nonsyn").dtypes]
+    root = F.col("parent").isNull()
+    rows = edges.select(F.when(root, 1).otherwise(2).alias("rank"), F.col("child").cast("string").alias("child"), F.when(root, F.col("child").cast("string")).otherwise(F.concat_ws("\t", *cells)).alias("value"))
+    head = edges.sparkSession.createDataFrame([(0, "", "child\tparent\tlength")], rows.schema)
+    rows.union(head).repartitionByRange("rank", "child").sortWithinPartitions("rank", "child").select("value").write.mode("overwrite").text(path)
+
+
+def write_drug_codes(codes: DataFrame, path: str) -> None:
+    """``(drug, code)`` by code: what the numbers in the changes of an edge table stand for."""
+    codes.repartitionByRange("code").sortWithinPartitions("code").select(F.concat_ws("\t", "drug", F.col("code").cast("string")).alias("value")).write.mode("overwrite").text(path)
 
 
 def write_metrics(metrics: DataFrame, path: str) -> None:

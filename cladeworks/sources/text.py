@@ -189,6 +189,41 @@ def tree_edges(spark: SparkSession, path: str) -> DataFrame:
     return _lines(spark, path).select(F.get(f, 0).alias("child"), F.get(f, 1).alias("parent"), F.get(f, 2).try_cast("double").alias("dist"))
 
 
+def edge_tables(spark: SparkSession, path: str) -> DataFrame:
+    """``(drug, child, parent, dist, syn, change, nonsyn)`` of files ``<drug>.xparr``; ``syn`` and ``nonsyn`` are lists.
+
+    The two head lines of each file are known by their form: the names of the columns, and the root alone. The root has a row without a parent.
+    An absent change is null.
+    """
+    f = F.split("line", "\t", -1)
+    rows = _lines(spark, path, r"\.xparr").where("not line rlike '^child\tparent(\t|$)'")
+    listed = lambda i: F.filter(F.split(F.coalesce(F.get(f, i), F.lit("")), ";"), lambda m: m != "")
+    cell = lambda i: F.nullif(F.get(f, i), F.lit(""))
+    return rows.select(F.col("source").alias("drug"), F.get(f, 0).alias("child"), cell(1).alias("parent"), cell(2).try_cast("double").alias("dist"), listed(3).alias("syn"), cell(4).alias("change"), listed(5).alias("nonsyn"))
+
+
+def base_probabilities(spark: SparkSession, path: str) -> DataFrame:
+    """``(source, node, pos, base, prob)`` of ancestral probability tables, turned long.
+
+    A table's head names its nodes (``Node_<id>``, one behind the other); a line has the position, a separator and the base, then a probability for each node.
+    """
+    rows = _lines(spark, path)
+    heads = rows.where("contains(line, 'Node_')").select("source", F.posexplode(F.regexp_extract_all("line", F.lit(r"Node_\s*([^\s,]+?)(?=\s|,|Node_|$)"), F.lit(1))).alias("place", "node"))
+    cells = F.filter(F.split("line", r"[\s,]+"), lambda x: x != "")
+    lines = rows.where("not contains(line, 'Node_')").select("source", cells.alias("c")).where("size(c) > 1").withColumn("key", F.get("c", F.lit(0)))
+    long = lines.select("source", F.expr("left(key, length(key) - 2)").try_cast("long").alias("pos"), F.expr("right(key, 1)").alias("base"), F.posexplode(F.slice("c", 2, F.size("c") - 1)).alias("place", "prob"))
+    return long.join(heads, ["source", "place"]).select("source", "node", "pos", "base", F.col("prob").try_cast("double").alias("prob")).where("pos is not null and prob is not null")
+
+
+def state_probabilities(spark: SparkSession, path: str) -> DataFrame:
+    """``(drug, row_idx, p0, p1)`` of files ``<drug>.probs``: a line for each ancestor, numbered from 0 in the order of the file, behind a head line."""
+    f = F.split("line", r"\s+")
+    rows = _lines(spark, path, r"\.probs").select(F.col("source").alias("drug"), F.get(f, 0).try_cast("double").alias("p0"), F.get(f, 1).try_cast("double").alias("p1")).where("p0 is not null and p1 is not null")
+    numbered = number_rows(rows)
+    first = numbered.groupBy("drug").agg(F.min("row_idx").alias("first"))
+    return numbered.join(first, "drug").select("drug", (F.col("row_idx") - F.col("first")).alias("row_idx"), "p0", "p1")
+
+
 def repeats(spark: SparkSession, path: str) -> DataFrame:
     """``(start_pos, end_pos)`` of a tandem-repeat table: lines that begin with two whole numbers; the end is one further."""
     m = lambda i: F.regexp_extract("line", r"^(\d+)\s+(\d+)\s", i).try_cast("int")

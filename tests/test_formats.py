@@ -1,8 +1,11 @@
 """Readers and writers on hand-made miniature files."""
 
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
+from cladeworks.operators import tree
 from cladeworks.operators.evaluate import metrics
 from cladeworks.operators.quality import QualityParams
 from cladeworks.sources import sinks, text
@@ -86,13 +89,11 @@ def test_sinks(spark, tmp_path):
     sinks.write_filter_outputs(calls, calls.select("pos"), samples, f"{tmp_path}/o")
     assert rows(spark.read.parquet(f"{tmp_path}/o/variants").select("sample_id", "pos")) == [("s1", 5), ("s2", 7)]
     assert rows(spark.read.parquet(f"{tmp_path}/o/dropped_samples")) == [("s3",)]
-    sinks.write_params(spark, QualityParams(), f"{tmp_path}/p")
-    assert spark.read.json(f"{tmp_path}/p").where("name = 'min_qual' and value = '40'").count() == 1
+    for run in ("a", "b", "a"):
+        sinks.write_params(spark, QualityParams(), f"{tmp_path}/p", run)
+    assert rows(spark.read.json(f"{tmp_path}/p").where("name = 'min_qual' and value = '40'").select("run_id")) == [("a",), ("b",)]
     sinks.write_fasta(spark.createDataFrame([("x", "ACGT")], "name string, seq string"), f"{tmp_path}/f")
     assert rows(text.fasta(spark, f"{tmp_path}/f")) == [("x", "ACGT")]
-    edges = spark.createDataFrame([("a", "r", 0.5, "1;2", None, "A3C")], "child string, parent string, dist double, syn string, change string, nonsyn string")
-    sinks.write_edge_table(edges, f"{tmp_path}/e")
-    assert rows(spark.read.text(f"{tmp_path}/e")) == [("a\tr\t0.5\t1;2\t\tA3C",)]
     sinks.write_metrics(metrics(spark.createDataFrame([("a", 1, 1)], "drug string, pheno int, pred int"), ["drug"]).select("drug", "tp", "sens"), f"{tmp_path}/m")
     assert rows(spark.read.text(f"{tmp_path}/m")) == [("a\t1\t1.00",)]
     sinks.write_selected(spark.createDataFrame([("x", -2.0, 0.0), ("y", 1.0, 0.5)], "feature string, coefficient double, p_value double"), f"{tmp_path}/s")
@@ -102,3 +103,54 @@ def test_sinks(spark, tmp_path):
 def test_reference_is_the_last_record(spark, tmp_path):
     (tmp_path / "two.fasta").write_text(">first\nacgt\n>second one\nggc\ncta\n")
     assert [r["seq"] for r in text.reference(spark, str(tmp_path / "two.fasta")).collect()] == ["GGCCTA"]
+
+
+def test_edge_tables_there_and_back(spark, put, tmp_path):
+    path = put("INH.xparr", "child\tparent\tlength", "r", "a\tr\t0.5\t12;90\tS3R\tA30C;4411540", "b\tr\t1\t\t\tK7*;A31G", "c\ta\t2\t5\t\t")
+    edges = text.edge_tables(spark, path)
+    assert rows(edges.orderBy("child").select("drug", "child", "parent", "dist", "change")) == [("INH", "a", "r", 0.5, "S3R"), ("INH", "b", "r", 1.0, None), ("INH", "c", "a", 2.0, None), ("INH", "r", None, None, None)]
+    assert {r["child"]: (r["syn"], r["nonsyn"]) for r in edges.collect()} == {"a": (["12", "90"], ["A30C", "4411540"]), "b": ([], ["K7*", "A31G"]), "c": (["5"], []), "r": ([], [])}
+    found = tree.association(edges, ["drug"])
+    assert rows(found) == [("INH", "30", 1, 0, 1.0), ("INH", "31", 0, 1, 0.0), ("INH", "4411540", 1, 0, 1.0), ("INH", "7", 0, 1, 0.0)]
+    sinks.write_edge_table(edges, f"{tmp_path}/out")
+    lines = [line for f in sorted(Path(f"{tmp_path}/out").glob("part-*")) for line in f.read_text().splitlines()]
+    assert lines == ["child\tparent\tlength", "r", "a\tr\t0.5\t12;90\tS3R\tA30C;4411540", "b\tr\t1.0\t\t\tK7*;A31G", "c\ta\t2.0\t5\t\t"]
+    sinks.write_drug_codes(spark.createDataFrame([("RIF", 2), ("INH", 1)], "drug string, code long"), f"{tmp_path}/codes")
+    assert [line for f in sorted(Path(f"{tmp_path}/codes").glob("part-*")) for line in f.read_text().splitlines()] == ["INH\t1", "RIF\t2"]
+
+
+def test_ancestral_probabilities(spark, put):
+    put("one.csv", " Node_17Node_x", "3_A 0.2 0.5", "3_C 0.2 0.1", "3_G 0.6 0.4", "12_T 0.5 0")
+    path = put("two.csv", "Node_x Node_17", "20_A 1.0 0.25", "20_C 0 0.75").replace("two", "*")
+    found = tree.most_likely(text.base_probabilities(spark, path))
+    assert rows(found) == [("17", 3, "G", 0.6), ("17", 12, "T", 0.5), ("17", 20, "C", 0.75), ("x", 3, "A", 0.5), ("x", 12, "T", 0.0), ("x", 20, "A", 1.0)]
+    ties = spark.createDataFrame([("n", 1, "T", 0.5), ("n", 1, "C", 0.5), ("n", 1, "A", 0.1)], "node string, pos long, base string, prob double")
+    assert rows(tree.most_likely(ties)) == [("n", 1, "C", 0.5)]
+    path = put("INH.probs", "p0\tp1", "0.9\t0.1", "0.5\t0.5", "0.2\t0.8")
+    put("RIF.probs", "p0\tp1", "1\t0")
+    states = tree.two_states(text.state_probabilities(spark, path.replace("INH", "*")))
+    assert rows(states.select("drug", "row_idx", "state")) == [("INH", 0, 0), ("INH", 1, 1), ("INH", 2, 1), ("RIF", 0, 0)]
+
+
+def test_indel_codes_and_changes(spark):
+    calls = spark.createDataFrame([("s", 5, "-", "del"), ("s", 6, "-", "del"), ("s", 8, "-", "del"), ("t", 5, "AC", "ins"), ("t", 5, "AC", "ins"), ("t", 9, "A", "snp")], "sample_id string, pos long, alt string, vtype string")
+    keys = tree.indel_keys(calls)
+    assert rows(keys) == [("s", "del_5_2"), ("s", "del_8_1"), ("t", "ins_5_AC")]
+    codes = tree.indel_codes(keys, F.lit(100))
+    assert rows(codes) == [("del_5_2", 101), ("del_8_1", 102), ("ins_5_AC", 103)]
+    edges = spark.createDataFrame([("s", None, 0.0), ("t", "s", 1.0), ("u", "t", 1.0)], "child string, parent string, dist double")
+    carriers = keys.select(F.col("sample_id").alias("node"), "key").union(spark.createDataFrame([("u", "ins_5_AC")], "node string, key string"))
+    found = tree.mutation_lists(tree.indel_changes(edges, carriers, codes), edges)
+    assert {r["child"]: r["nonsyn"] for r in found.collect()} == {"t": ["101", "102", "103"], "u": []}
+
+
+def test_changes_and_vectors_of_several_drugs(spark):
+    states = spark.createDataFrame([("a", "RIF", "R"), ("a", "INH", "S"), ("b", "RIF", "S"), ("b", "INH", "R"), ("c", "RIF", "S"), ("c", "EMB", "R")], "node string, drug string, state string")
+    edges = spark.createDataFrame([("a", None, 0.0), ("b", "a", 1.0), ("c", "b", 1.0), ("d", "c", 1.0)], "child string, parent string, dist double")
+    codes = tree.drug_codes(states)
+    assert rows(codes) == [("EMB", 1), ("INH", 2), ("RIF", 3)]
+    get = lambda **k: {r["child"]: r["changes"] for r in tree.drug_changes(edges, states, codes, **k).collect()}
+    assert get() == {"b": ["S2R", "R3S"], "c": [], "d": []}
+    assert get(susceptible=True) == {"b": ["S2R", "R3S"], "c": ["S3S"], "d": []}
+    assert get(resistant=True) == get()
+    assert rows(tree.state_vectors(states, codes)) == [("a", "001"), ("b", "010"), ("c", "100")]

@@ -196,7 +196,7 @@ def test_edge_mutations_join_the_codon(spark):
     genes = spark.createDataFrame([(p, "a", 1, 6, 1) for p in range(1, 7)] + [(p, "b", 7, 9, -1) for p in range(7, 10)], "pos long, gene string, start_pos long, end_pos long, strand int")
     chunks = consequence.reference_chunks(spark.createDataFrame([("ATGAAACCCT",)], "seq string"))
     found = tree.mutation_lists(tree.edge_mutations(edges, bases, genes, chunks), edges)
-    assert {r["child"]: (r["syn"], r["nonsyn"]) for r in found.collect()} == {1: ("7", "K4Q;T10G"), 2: ("", "I1M;G10C")}
+    assert {r["child"]: (r["syn"], r["nonsyn"]) for r in found.collect()} == {1: (["7"], ["K4Q", "T10G"]), 2: ([], ["I1M", "G10C"])}
 
 
 def test_site_rows_cut_and_fill(spark):
