@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from cladeworks.operators import evaluate as ev
 from cladeworks.operators import features as fe
 from cladeworks.operators import intervals as iv
+from cladeworks.operators import manyfits as mf
 from cladeworks.operators import phenotype as ph
 from cladeworks.plans.lineage import materialise
 from cladeworks.plans.registry import query
@@ -260,12 +261,9 @@ query("svm", "b_words b_labels")(_job(ev.linear_svm))
 
 @query("cv_models", "b_words b_labels")
 def _(words, labels):
-    rows, drugs = _ml(words, labels, 60, 10), _drugs(labels)
-    out = None
-    for fold in range(10):
-        one = ev.fit_predict(rows.where(F.col("fold") != fold), rows.where(F.col("fold") == fold), drugs, ev.sparse_logistic).withColumn("fold", F.lit(fold))
-        out = one if out is None else out.union(one)
-    return ev.metrics(out, ["drug", "fold"]).groupBy("drug").agg(F.round(F.avg("f1"), 6).alias("f1"), F.round(F.avg("auc"), 6).alias("auc"), F.count(F.lit(1)).alias("n_folds"))
+    folded = ph.folds(labels, ["drug"], "sample_id", "split", 10)
+    judged = mf.cross_validated(fe.frequency_band(words, 60), folded.select("drug", "sample_id", "pheno", "fold"), 10)
+    return ev.metrics(judged, ["drug", "fold"]).groupBy("drug").agg(F.round(F.avg("f1"), 6).alias("f1"), F.round(F.avg("auc"), 6).alias("auc"), F.count(F.lit(1)).alias("n_folds"))
 
 
 @query("select_then_fit", "b_words b_labels")
@@ -276,11 +274,7 @@ def _(words, labels):
 
 @query("coef_permutation", "b_words b_labels")
 def _(words, labels):
-    often, out = materialise(fe.frequency_band(words, 60)), None
-    for drug in _drugs(labels):
-        one = ev.coefficient_p_values(often, labels, drug, PERMUTATIONS).select(F.lit(drug).alias("drug"), "*")
-        out = one if out is None else out.union(one)
-    return out
+    return mf.coefficient_p_values(fe.frequency_band(words, 60), labels, PERMUTATIONS)
 
 
 @query("gene_models", "b_calls b_feat b_pheno")
