@@ -15,18 +15,34 @@ from cladeworks.plans.lineage import materialise
 
 
 class Chunks(NamedTuple):
-    """A reference cut into stretches of ``width`` bases that each also hold the first ``overlap`` bases of the next."""
+    """A reference cut into stretches of ``width`` bases that each also hold the first ``overlap`` bases of the next.
 
-    rows: DataFrame
+    ``parts (_chunk, start, bases)`` are what the pieces of the reference give to each chunk.
+    """
+
+    parts: DataFrame
     width: int
 
+    def asked(self, rows: DataFrame) -> DataFrame:
+        """``(_chunk, _bases)`` of the chunks that ``rows (_chunk)`` ask for, and a few more.
+
+        A map of 2^16 bits marks the chunks that are asked for, by their number modulo 2^16, so that of a long reference only what is looked up
+        is shuffled.
+        """
+        bit = F.col("_chunk") % (1 << 16)
+        bits = rows.groupBy(F.shiftright(bit, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(_chunk % {1 << 16} % 64 as int))")).alias("b"))
+        marks = bits.where("w is not null").agg(F.map_from_entries(F.collect_list(F.struct("w", "b")))).scalar()
+        near = self.parts.where(F.getbit(F.coalesce(F.element_at(marks, F.shiftright(bit, 6)), F.lit(0).cast("long")), (bit % 64).cast("int")) == 1)
+        joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "bases"))), lambda x: x["bases"]), "")
+        return near.groupBy("_chunk").agg(joined.alias("_bases"))
+
 
 def laid_out(pieces: DataFrame, order: str) -> DataFrame:
     """``(at, seq)`` from pieces ``(order, seq)`` laid one behind the other; equal ``order`` by ``seq``.
 
     Ranges of the order add up inside themselves and are shifted by the sizes of the ranges before, so no task sees all pieces.
     """
-    dealt = materialise(pieces.select(F.col(order).alias("_order"), "seq", F.length("seq").cast("long").alias("_n")).repartitionByRange("_order", "seq").withColumn("_range", F.spark_partition_id()))
+    dealt = materialise(pieces.select(F.col(order).alias("_order"), "seq", F.length("seq").cast("long").alias("_n")).repartitionByRange("_order").withColumn("_range", F.spark_partition_id()))
     inside = F.sum("_n").over(Window.partitionBy("_range").orderBy("_order", "seq").rowsBetween(Window.unboundedPreceding, -1))
     sizes = dealt.groupBy("_range").agg(F.sum("_n").alias("_size"))  # one row per range
     before = F.sum("_size").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
@@ -50,8 +66,7 @@ def reference_chunks(reference: DataFrame, width: int = 4096, overlap: int = 64)
     start = F.greatest(F.col("at"), F.col("_chunk") * width)
     end = F.least(F.col("at") + F.col("n"), (F.col("_chunk") + 1) * width + overlap)
     rows = rows.select("_chunk", start.alias("start"), F.substring("bases", (start - F.col("at") + 1).cast("int"), (end - start).cast("int")).alias("bases")).where("bases <> ''")
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "bases"))), lambda x: x["bases"]), "")
-    return Chunks(rows.groupBy("_chunk").agg(joined.alias("_bases")), width)
+    return Chunks(rows, width)
 
 
 def gene_chunks(reference: DataFrame) -> Chunks:
@@ -63,7 +78,7 @@ def with_bases(df: DataFrame, pos: Column, size: Column, chunks: Chunks, name: s
     """Column ``name``: ``size`` reference bases from ``pos`` (from 1); rows beyond the reference go, or keep at ``least`` so many."""
     rows = df.withColumn("_at", pos.cast("long")).withColumn("_chunk", F.floor((F.col("_at") - 1) / chunks.width).cast("long")).where("_at >= 1")
     found = F.substring("_bases", (F.col("_at") - F.col("_chunk") * chunks.width).cast("int"), size.cast("int"))
-    joined = rows.join(chunks.rows, "_chunk").withColumn(name, found)
+    joined = rows.join(chunks.asked(rows), "_chunk").withColumn(name, found)
     return joined.where(F.length(name) >= (size if least is None else least)).drop("_at", "_chunk", "_bases")
 
 
@@ -101,7 +116,7 @@ def reads_to_events(reads: DataFrame, chunks: Chunks, salts: int = 8) -> DataFra
     start, end = F.greatest(F.col("r"), F.col("_chunk") * width + 1), F.least(F.col("r") + F.col("n"), (F.col("_chunk") + 1) * width + 1)
     cut = over.select(*ids, "_chunk", "op", start.alias("pos"), (end - start).cast("int").alias("n"), F.when(F.col("op") != "D", F.substring("seq", (F.col("q") + start - F.col("r")).cast("int"), (end - start).cast("int"))).alias("own"))
     cut = cut.withColumn("_salt", F.pmod(F.xxhash64(*ids, "pos"), F.lit(salts)).cast("int"))
-    copies = chunks.rows.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    copies = chunks.asked(cut).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     ref = F.substring("_bases", (F.col("pos") - F.col("_chunk") * width).cast("int"), F.col("n"))
     both = cut.join(copies, ["_chunk", "_salt"]).select(*ids, "op", "pos", "own", ref.alias("bases")).where("bases <> '' and (op = 'D' or own <> bases)")
     places = F.expr("""if(op = 'D', sequence(1, length(bases)), flatten(transform(filter(sequence(1, length(bases), 64), b -> substring(bases, b, 64) <> substring(own, b, 64)),

@@ -22,7 +22,7 @@ b AS (SELECT *, unnest(range(0, size)) AS k FROM o WHERE o IN ('M', '=', 'X', 'D
 SELECT qname, start_pos + r + k AS pos, substring(t, r + k + 1, 1) AS ref, CASE WHEN o = 'D' THEN '' ELSE substring(seq, q + k + 1, 1) END AS alt, CASE WHEN o = 'D' THEN 'del' ELSE 'snp' END AS vtype
 FROM b WHERE o = 'D' OR substring(t, r + k + 1, 1) <> substring(seq, q + k + 1, 1) UNION ALL SELECT qname, start_pos + r, '', substring(seq, q + 1, size), 'ins' FROM o WHERE o = 'I'""")
 def _(orders, ref):
-    chunks = gn.reference_chunks(ref)
-    rows = gn.with_bases(orders.select("o_orderkey", "o_custkey", F.expr(_PLACE).alias("start_pos")), F.col("start_pos"), F.lit(100), gn.reference_chunks(ref, overlap=128), "t")
+    chunks = gn.reference_chunks(ref, overlap=128)
+    rows = gn.with_bases(orders.select("o_orderkey", "o_custkey", F.expr(_PLACE).alias("start_pos")), F.col("start_pos"), F.lit(100), chunks, "t")
     reads = rows.withColumn("s", F.expr(_OWN)).select(F.col("o_orderkey").alias("qname"), "start_pos", F.expr(_CIGAR).alias("cigar"), F.expr(_SEQ).alias("seq"))
     return gn.reads_to_events(reads, chunks)

@@ -44,8 +44,10 @@ def test_chunks_hold_the_whole_reference(spark):
     random.seed(3)
     ref = "".join(random.choice("ACGT") for _ in range(101))
     for cuts in ([], [7, 9, 60]):
-        rows = {r["_chunk"]: r["_bases"] for r in chunk_frame(spark, ref, cuts, 16).rows.collect()}
+        every = spark.range(9).select(gn.F.col("id").alias("_chunk"))
+        rows = {r["_chunk"]: r["_bases"] for r in chunk_frame(spark, ref, cuts, 16).asked(every).collect()}
         assert rows == {i: ref[16 * i : 16 * i + 20] for i in range(7)}
+        assert [r["_chunk"] for r in chunk_frame(spark, ref, cuts, 16).asked(every.where("_chunk = 3")).collect()] == [3]
     asked = spark.createDataFrame([(p,) for p in range(-1, 105)], "p long")
     got = gn.with_bases(asked, asked["p"], gn.F.lit(5), chunk_frame(spark, ref, [50], 16), "x")
     assert {r["p"]: r["x"] for r in got.collect()} == {p: ref[p - 1 : p + 4] for p in range(1, 98)}
