@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from cladeworks.functions import sequence as sq
-from cladeworks.operators import compare, consequence, evaluate, features, intervals, islands, quality, tree
+from cladeworks.operators import compare, consequence, evaluate, features, intervals, islands, quality, reads, tree
 from cladeworks.plans.components import connected_components
 
 
@@ -204,3 +204,19 @@ def test_site_rows_cut_and_fill(spark):
     found = {(r["node"], r["block"]): r["row"] for r in consequence.site_rows(cells, ["node"], width=4).collect()}
     assert found == {(1, 0): "A-", (2, 0): "-G", (1, 1): "-C", (2, 1): "T-"}
     assert consequence.site_rows(cells.limit(0), ["node"]).isEmpty()
+
+
+def test_pairs_on_variants(spark):
+    """Variant 15 lies in both mates of p1 and in one of p2; 100 in none; p3 is improper, p4 of another sample."""
+    rows = [("s", "p1", 0, 10, 20, True), ("s", "p1", 1, 14, 30, True), ("s", "p2", 0, 15, 25, True), ("s", "p2", 1, 50, 60, True), ("s", "p3", 0, 1, 40, False), ("t", "p4", 0, 1, 40, True), ("t", "p4", 1, 2, 41, True)]
+    frame = spark.createDataFrame(rows, "sample_id string, qname string, mate int, start_pos long, end_pos long, is_proper boolean")
+    variants = spark.createDataFrame([("s", 15, "A", "snp"), ("s", 15, "A", "snp"), ("s", 55, "C", "snp"), ("s", 100, "G", "snp"), ("t", 15, "A", "snp")], "sample_id string, pos long, alt string, vtype string")
+    stats = reads.variant_pairs(frame, variants, 0.5)
+    got = {(r["sample_id"], r["pos"]): tuple(r)[4:] for r in stats.collect()}
+    # Inserts of s: p1 21 at 15, p2 46 at 15 and 55: mean 37.67, deviation 11.79.
+    assert got == {("s", 15): (4, 3, 2, 33.5, 2), ("s", 55): (1, 1, 1, 46.0, 1), ("s", 100): (0, 0, 0, None, 0), ("t", 15): (2, 2, 1, 41.0, 0)}
+    shares = {(r["pos"], r["alt"]): tuple(r)[3:] for r in reads.pairs_by_variant(stats).collect()}
+    assert shares == {(15, "A"): (2, 6, 5, 2, 0.0, 0.5), (55, "C"): (1, 1, 1, 1, 0.0, 1.0), (100, "G"): (1, 0, 0, 0, 0.0, 0.0)}
+    assert {(r["sample_id"], r["pos"]) for r in reads.flagged_variants(stats).collect()} == {("s", 15), ("s", 55)}
+    genes = reads.pairs_by_gene(stats, spark.createDataFrame([(15, "a"), (55, "a"), (100, "b")], "pos long, gene string"))
+    assert [(r["gene"], r["n_variants"], r["cov"], round(r["bad_pairs"], 6), r["long_pairs"]) for r in genes.collect()] == [("a", 2, 7, round(1 / 7, 6), 0.5)]
