@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cladeworks.functions import sequence as sq
+from cladeworks.operators.features import encode
 from cladeworks.operators.genome import Chunks, gene_chunks, reference_chunks, with_bases  # noqa: F401
+from cladeworks.plans.lineage import materialise
 
 
 def snp_consequences(snps: DataFrame, chunks: Chunks) -> DataFrame:
@@ -38,6 +40,23 @@ def frameshifts(calls: DataFrame) -> DataFrame:
     return calls.groupBy("sample_id", "gene").agg(F.pmod(F.sum(change), F.lit(3)).cast("long").alias("shift")).where("shift <> 0")
 
 
+def repaired_genes(genes: DataFrame, chunks: Chunks) -> DataFrame:
+    """``(name, fixed_start, fixed_end)`` of genes whose length is no multiple of three and who stop at a codon beside their end.
+
+    The end along the strand moves back to the last whole codon if that is a stop, else on to the next codon if that is; genes with neither
+    keep their bounds and have nulls.
+    """
+    odd = genes.withColumn("m", ((F.col("end_pos") - F.col("start_pos") + 1) % 3).cast("int")).where("m <> 0 and end_pos - start_pos >= 2")
+    first = F.when(F.col("strand") == 1, F.col("end_pos") - F.col("m") - 2).otherwise(F.col("start_pos") + F.col("m") - 3)
+    rows = with_bases(odd.withColumn("first", first), F.col("first"), F.lit(6), chunks, "tail")
+    tail = F.when(F.col("strand") == 1, F.col("tail")).otherwise(sq.reverse_complement(F.col("tail")))
+    stop = lambda i: sq.amino_acid(F.substring(tail, i, 3)) == "*"
+    shift = F.when(stop(1), -F.col("m")).when(stop(4), 3 - F.col("m"))
+    rows = rows.withColumn("shift", shift)
+    moved = lambda plus, own, by: F.when(F.col("shift").isNotNull(), F.when((F.col("strand") == 1) == F.lit(plus), own + by).otherwise(own))
+    return rows.select("name", moved(False, F.col("start_pos"), -F.col("shift")).alias("fixed_start"), moved(True, F.col("end_pos"), F.col("shift")).alias("fixed_end"))
+
+
 def decompose(pairs: DataFrame) -> DataFrame:
     """``(key, off, ref, alt, vtype)`` from ``(key, ref, alt)``: common suffix, then prefix taken off; the rest as single changes, leftmost.
 
@@ -58,15 +77,19 @@ def decompose(pairs: DataFrame) -> DataFrame:
     return pairs.join(events, (pairs["ref"] == events["_ref"]) & (pairs["alt"] == events["_alt"])).select("key", "off", events["ref"], events["alt"], "vtype")
 
 
-def alignment(cells: DataFrame, sites: DataFrame, samples: DataFrame) -> DataFrame:
-    """``(sample_id, row)``: a character per site in order, the sample's or else the site's default; a sink's row.
+def wide_rows(cells: DataFrame, places: DataFrame, rows: DataFrame, row: str, place: str, width: int = 256) -> DataFrame:
+    """``(row, block, line)``: the lines of a wide table in stretches of ``width`` places, for a sink that writes them one behind the other.
 
-    Only differing cells are gathered; the defaults of all sites are one list.
+    ``places (place, value)`` are all places with what stands there by default, ``cells (row, place, value)`` what differs, ``rows (row)`` the rows.
+    Places are numbered in their order; no list is longer than a stretch.
     """
-    own = cells.groupBy("sample_id").agg(F.map_from_entries(F.collect_list(F.struct("pos", "value"))).alias("_own"))
-    line = sites.agg(F.array_sort(F.collect_list(F.struct("pos", "value"))).alias("_line"))
-    rows = samples.select("sample_id").distinct().join(own, "sample_id", "left").withColumn("_line", line.scalar())
-    return rows.select("sample_id", F.array_join(F.transform("_line", lambda s: F.coalesce(F.element_at("_own", s["pos"]), s["value"])), "").alias("row"))
+    codes = materialise(encode(places.select(F.col(place).alias("feature"))).select(F.col("feature").alias(place), F.floor(F.col("code") / width).alias("block"), (F.col("code") % width).cast("int").alias("at")))
+    usual = places.join(codes, place).groupBy("block").agg(F.array_sort(F.collect_list(F.struct("at", "value"))).alias("_usual"))
+    own = cells.join(codes, place).groupBy(row, "block").agg(F.map_from_entries(F.collect_list(F.struct("at", "value"))).alias("_own"))
+    last = codes.agg(F.max("block")).scalar()
+    grid = rows.select(row).distinct().withColumn("_last", last).where("_last is not null").select(row, F.explode(F.sequence(F.lit(0).cast("long"), F.col("_last"))).alias("block"))
+    line = F.array_join(F.transform("_usual", lambda s: F.coalesce(F.element_at("_own", s["at"]), s["value"])), "")
+    return grid.join(own, [row, "block"], "left").join(usual, "block").select(row, "block", line.alias("line"))
 
 
 def site_rows(cells: DataFrame, by: list[str], place: str = "pos", width: int = 256) -> DataFrame:

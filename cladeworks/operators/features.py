@@ -114,10 +114,26 @@ def membership_groups(rows: DataFrame) -> DataFrame:
     return sets.join(group, "_set").select("feature", "leader", "n")
 
 
-def presence(rows: DataFrame, samples: DataFrame) -> DataFrame:
-    """``(feature, presence)``: one 0/1 character per sample in the order of the sample ids; a sink's row."""
-    have = rows.select("feature", "sample_id").distinct().groupBy("feature").agg(F.collect_set("sample_id").alias("_have"))
-    ids = samples.select("sample_id").distinct().agg(F.array_sort(F.collect_list("sample_id")).alias("_ids"))
-    # Both lists are one sink row's width: the number of samples.
-    joined = have.withColumn("_ids", ids.scalar())
-    return joined.select("feature", F.array_join(F.transform("_ids", lambda s: F.array_contains("_have", s).cast("int").cast("string")), "").alias("presence"))
+def running_totals(rows: DataFrame, order: str, value: str) -> DataFrame:
+    """``(order, value, code, before)``: rows numbered from 0 in their order, with the sum of the values before each.
+
+    Ranges of the order are numbered and summed inside themselves and shifted by what the ranges before have.
+    """
+    from cladeworks.plans.lineage import materialise
+
+    dealt = materialise(rows.select(order, value).repartitionByRange(order).withColumn("_range", F.spark_partition_id()))
+    inside = Window.partitionBy("_range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = dealt.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"), F.sum(value).alias("_s"))  # one row per range
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    shift = sizes.select("_range", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_n0"), F.coalesce(F.sum("_s").over(earlier), F.lit(0)).alias("_s0"))
+    placed = dealt.withColumns({"_k": F.count(F.lit(1)).over(inside), "_t": F.coalesce(F.sum(value).over(inside), F.lit(0))})
+    return placed.join(shift, "_range").select(order, value, (F.col("_n0") + F.col("_k")).alias("code"), (F.col("_s0") + F.col("_t")).alias("before"))
+
+
+def list_splits(weights: DataFrame, order: str, weight: str, tiles: int, batch: int, shares: int) -> DataFrame:
+    """``(order, tile, batch, share)``: a sorted list cut into ``tiles`` parts of even length (the first ones longer), batches of fixed length, and ``shares`` of even weight."""
+    rows = running_totals(weights, order, weight)
+    rows = rows.withColumns({"n": weights.agg(F.count(F.lit(1))).scalar(), "total": weights.agg(F.sum(weight)).scalar()}).withColumns({"q": F.floor(F.col("n") / tiles), "r": F.col("n") % tiles})
+    long = F.col("r") * (F.col("q") + 1)
+    tile = F.when(F.col("code") < long, F.floor(F.col("code") / (F.col("q") + 1))).otherwise(F.col("r") + F.floor((F.col("code") - long) / F.greatest(F.col("q"), F.lit(1))))
+    return rows.select(order, (tile + 1).cast("int").alias("tile"), F.floor(F.col("code") / batch).cast("int").alias("batch"), F.floor(F.col("before") * shares / F.col("total")).cast("int").alias("share"))

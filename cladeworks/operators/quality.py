@@ -100,10 +100,16 @@ def window_flags(depth: DataFrame, params: QualityParams) -> DataFrame:
     )
 
 
-def site_coverage(depth: DataFrame, sites: DataFrame, samples: DataFrame, least: int) -> DataFrame:
-    """``(sample_id, pos, covered)`` for every sample and site; an absent depth is 0."""
-    grid = samples.select("sample_id").distinct().join(sites.select("pos").distinct(), F.lit(True), "cross")
-    return grid.join(depth, ["sample_id", "pos"], "left").select("sample_id", "pos", (F.coalesce("depth", F.lit(0)) >= least).cast("int").alias("covered"))
+def site_coverage(depth: DataFrame, sites: DataFrame, least: int) -> DataFrame:
+    """``(sample_id, pos, covered)`` of the samples that have a depth at a site; the others don't cover it and have no row."""
+    return depth.join(sites.select("pos").distinct(), "pos", "left_semi").select("sample_id", "pos", (F.col("depth") >= least).cast("int").alias("covered"))
+
+
+def covered_shares(depth: DataFrame, sites: DataFrame, least: int) -> DataFrame:
+    """``(pos, n_covered, share)`` of every site, also of those that no sample covers; the share is of all samples with any depth."""
+    found = site_coverage(depth, sites, least).groupBy("pos").agg(F.sum("covered").alias("n"))
+    rows = sites.select("pos").distinct().join(found, "pos", "left").withColumn("n_samples", depth.agg(F.countDistinct("sample_id")).scalar())
+    return rows.select("pos", F.coalesce("n", F.lit(0)).alias("n_covered"), F.round(F.coalesce("n", F.lit(0)) / F.col("n_samples"), 6).alias("share"))
 
 
 def prune_round(covered: DataFrame, n_sites: int, n_samples: int, share: float) -> tuple[DataFrame, DataFrame]:

@@ -48,7 +48,7 @@ VIEWS = {
  (CAST(floor(o_orderkey/2.0) AS BIGINT)*37)%20000+100+(o_orderkey%2)*(100+o_custkey%200) AS end_pos,
  CAST(floor(o_totalprice) AS BIGINT)%60 AS mapq, o_orderstatus<>'F' AS is_proper FROM {orders}""",
     "b_drug_gene": """SELECT CASE p_size%5 WHEN 0 THEN 'INH' WHEN 1 THEN 'RIF' WHEN 2 THEN 'EMB' WHEN 3 THEN 'PZA' ELSE 'STR' END AS drug,
- concat('g',CAST(p_partkey AS VARCHAR(20))) AS gene, p_brand AS tag, CAST(p_partkey AS BIGINT) AS locus FROM {part} WHERE p_size>=34""",
+ concat('g',CAST(p_partkey AS VARCHAR(20))) AS gene, p_brand AS tag, CAST(p_partkey AS BIGINT) AS locus FROM {part}""",
     "b_words": {
         "spark": "SELECT DISTINCT doc_id AS sample_id, w AS feature FROM (SELECT doc_id, explode(split(lower(text),'[^a-z]+')) AS w FROM {documents}) WHERE w<>''",
         "duckdb": "SELECT DISTINCT doc_id AS sample_id, w AS feature FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(text),'[^a-z]+')) AS w FROM {documents}) WHERE w<>''",

@@ -10,6 +10,7 @@ from cladeworks.operators import features as fe
 from cladeworks.operators import genome as gn
 from cladeworks.operators import intervals as iv
 from cladeworks.operators import islands
+from cladeworks.plans.lineage import materialise
 from cladeworks.plans.registry import query
 
 _AA = f"substring('{sq.GENETIC_CODE}', CAST(16 * (instr('ACGT', substring(%s, 1, 1)) - 1) + 4 * (instr('ACGT', substring(%s, 2, 1)) - 1) + instr('ACGT', substring(%s, 3, 1)) AS BIGINT), 1)"
@@ -203,14 +204,13 @@ def _(calls, ref):
     return rows.select((F.col("n") - F.col("pos") + 1).alias("pos"), sq.reverse_complement(F.col("alt")).alias("alt")).distinct()
 
 
-@query("gene_repair", "b_feat b_ref")
+@query("gene_repair", "b_feat b_ref", f"""
+WITH o AS (SELECT *, (end_pos - start_pos + 1) % 3 AS m FROM b_feat WHERE ftype = 'Gene' AND (end_pos - start_pos + 1) % 3 <> 0 AND end_pos - start_pos >= 2),
+t AS (SELECT o.*, CASE WHEN strand = 1 THEN substring(seq, end_pos - m - 2, 6) ELSE {_rc('substring(seq, start_pos + m - 3, 6)')} END AS x FROM o CROSS JOIN b_ref WHERE CASE WHEN strand = 1 THEN end_pos - m - 2 ELSE start_pos + m - 3 END >= 1),
+u AS (SELECT *, CASE WHEN {_aa('left(x, 3)')} = '*' THEN -m WHEN {_aa('right(x, 3)')} = '*' THEN 3 - m END AS d FROM t WHERE length(x) = 6)
+SELECT name, CASE WHEN strand = 1 AND d IS NOT NULL THEN start_pos ELSE start_pos - d END AS fixed_start, CASE WHEN strand = -1 AND d IS NOT NULL THEN end_pos ELSE end_pos + d END AS fixed_end FROM u""")
 def _(feat, ref):
-    genes = feat.where("ftype = 'Gene' and strand = 1 and (end_pos - start_pos + 1) % 3 <> 0")
-    last = F.col("end_pos") - (F.col("end_pos") - F.col("start_pos") + 1) % 3 - 2
-    rows = co.with_bases(genes.withColumn("last", last).where("last >= start_pos"), F.col("last"), F.lit(6), co.reference_chunks(ref), "tail")
-    stop = lambda c: sq.amino_acid(c) == "*"
-    fixed = F.when(stop(F.substring("tail", 1, 3)), F.col("last") + 2).when(stop(F.substring("tail", 4, 3)), F.col("last") + 5)
-    return rows.select("name", "start_pos", "end_pos", fixed.alias("fixed_end"))
+    return co.repaired_genes(feat.where("ftype = 'Gene'"), co.reference_chunks(ref))
 
 
 _SITES = "x AS (SELECT pos, sample_id, max(alt) AS alt FROM b_calls WHERE vtype = 'snp' GROUP BY ALL), s AS (SELECT DISTINCT pos FROM x), t AS (SELECT pos, coalesce(nullif(substring(seq, pos, 1), ''), 'N') AS value FROM s CROSS JOIN b_ref)"
@@ -223,36 +223,48 @@ def _snp_cells(calls, ref):
     return cells, sites.join(known, "pos", "left").select("pos", F.coalesce("value", F.lit("N")).alias("value"))
 
 
-@query("snp_alignment", "b_calls b_ref", f"""
-WITH {_SITES}, n AS (SELECT DISTINCT sample_id FROM b_calls) SELECT sample_id, string_agg(coalesce(alt, value), '' ORDER BY pos) AS row FROM n CROSS JOIN t LEFT JOIN x USING (sample_id, pos) GROUP BY sample_id""")
+_WIDE = """sc AS (SELECT pos, value, row_number() OVER (ORDER BY pos) - 1 AS code FROM t), n AS (SELECT DISTINCT sample_id FROM b_calls),
+ wide AS (SELECT sample_id, code // {0} AS block, string_agg(coalesce(alt, value), '' ORDER BY code) AS line FROM n CROSS JOIN sc LEFT JOIN x USING (sample_id, pos) GROUP BY sample_id, code // {0}) SELECT sample_id, block, line FROM wide"""
+
+
+@query("snp_alignment", "b_calls b_ref", f"WITH {_SITES}, {_WIDE.format(256)}")
 def _(calls, ref):
     cells, sites = _snp_cells(calls, ref)
-    return co.alignment(cells, sites, calls)
+    return co.wide_rows(cells, sites, calls, "sample_id", "pos")
 
 
-@query("indel_alignment", "b_calls", """
-WITH x AS (SELECT DISTINCT sample_id, pos FROM b_calls WHERE vtype <> 'snp'), s AS (SELECT DISTINCT pos FROM x), n AS (SELECT DISTINCT sample_id FROM b_calls)
-SELECT n.sample_id, string_agg(CASE WHEN x.pos IS NULL THEN '0' ELSE '1' END, '' ORDER BY s.pos) AS row FROM n CROSS JOIN s LEFT JOIN x ON x.sample_id = n.sample_id AND x.pos = s.pos GROUP BY n.sample_id""")
+@query("indel_alignment", "b_calls", f"WITH x AS (SELECT DISTINCT sample_id, pos, '1' AS alt FROM b_calls WHERE vtype <> 'snp'), t AS (SELECT DISTINCT pos, '0' AS value FROM x), {_WIDE.format(256)}")
 def _(calls):
     cells = calls.where("vtype <> 'snp'").select("sample_id", "pos").distinct().withColumn("value", F.lit("1"))
-    return co.alignment(cells, cells.select("pos").distinct().withColumn("value", F.lit("0")), calls)
+    return co.wide_rows(cells, cells.select("pos").distinct().withColumn("value", F.lit("0")), calls, "sample_id", "pos")
 
 
-@query("codon_alignment", "b_calls b_feat b_ref", f"""
-WITH {_G}, k AS (SELECT DISTINCT gene, pos - (pos - start_pos) % 3 AS cs FROM c WHERE ftype = 'Gene' AND vtype = 'snp'), p AS (SELECT gene, cs, unnest(range(cs, cs + 3)) AS pos FROM k), r AS (SELECT p.*, substring(seq, pos, 1) AS value FROM p CROSS JOIN b_ref WHERE cs + 2 <= length(seq)),
-x AS (SELECT sample_id, pos, max(alt) AS alt FROM b_calls WHERE vtype = 'snp' GROUP BY ALL), n AS (SELECT DISTINCT sample_id FROM b_calls)
-SELECT gene, n.sample_id, string_agg(coalesce(alt, value), '' ORDER BY cs, r.pos) AS row FROM n CROSS JOIN r LEFT JOIN x ON x.sample_id = n.sample_id AND x.pos = r.pos GROUP BY gene, n.sample_id""")
-def _(calls, feat, ref):
+_CODONS = _G + ", k AS (SELECT DISTINCT gene, pos - (pos - start_pos) % 3 AS cs FROM c WHERE ftype = 'Gene' AND vtype = 'snp'), p AS (SELECT gene, cs, unnest(range(cs, cs + 3)) AS pos FROM k), r AS (SELECT p.*, substring(seq, pos, 1) AS value FROM p CROSS JOIN b_ref WHERE cs + 2 <= length(seq))"
+
+
+def _codon_sites(calls, feat, ref):
+    """(place, value): the bases of each changed codon with what the reference has; a place is (first base, gene, base)."""
     rows = _located(calls, feat).where("ftype = 'Gene' and vtype = 'snp'")
     codons = rows.select("gene", sq.anchor(F.col("pos"), F.col("start_pos")).alias("at")).distinct()
     codons = co.with_bases(codons, F.col("at"), F.lit(3), co.reference_chunks(ref), "codon")
-    spread = codons.select("gene", "at", F.posexplode(F.split("codon", "")).alias("i", "value")).withColumn("pos", F.col("at") + F.col("i"))
-    cells = calls.where("vtype = 'snp'").groupBy("sample_id", "pos").agg(F.max("alt").alias("alt"))
-    own = spread.select("gene", "at", "pos").join(cells, "pos").groupBy("gene", "sample_id").agg(F.collect_list(F.struct("at", "pos", "alt")).alias("own"))
-    line = spread.groupBy("gene").agg(F.array_sort(F.collect_list(F.struct("at", "pos", "value"))).alias("line"))
-    grid = line.join(calls.select("sample_id").distinct(), F.lit(True), "cross").join(own, ["gene", "sample_id"], "left")
-    pick = lambda s: F.coalesce(F.get(F.filter("own", lambda o: (o["at"] == s["at"]) & (o["pos"] == s["pos"])), F.lit(0))["alt"], s["value"])
-    return grid.select("gene", "sample_id", F.array_join(F.transform("line", pick), "").alias("row"))
+    spread = codons.select("gene", "at", F.posexplode(F.split("codon", "")).alias("i", "value"))
+    return spread.select(F.struct("at", "gene", (F.col("at") + F.col("i")).alias("pos")).alias("place"), "value")
+
+
+@query("codon_alignment", "b_calls b_feat b_ref", f"""
+WITH {_CODONS}, sc AS (SELECT pos, value, row_number() OVER (ORDER BY cs, gene, pos) - 1 AS code FROM r), x AS (SELECT sample_id, pos, max(alt) AS alt FROM b_calls WHERE vtype = 'snp' GROUP BY ALL), n AS (SELECT DISTINCT sample_id FROM b_calls)
+SELECT sample_id, code // 255 AS block, string_agg(coalesce(alt, value), '' ORDER BY code) AS line FROM n CROSS JOIN sc LEFT JOIN x USING (sample_id, pos) GROUP BY sample_id, code // 255""")
+def _(calls, feat, ref):
+    sites = materialise(_codon_sites(calls, feat, ref))
+    own = calls.where("vtype = 'snp'").groupBy("sample_id", "pos").agg(F.max("alt").alias("value"))
+    cells = sites.select("place", F.col("place.pos").alias("pos")).join(own, "pos").select("sample_id", "place", "value")
+    return co.wide_rows(cells, sites, calls, "sample_id", "place", 255)  # whole codons
+
+
+@query("codon_coords", "b_calls b_feat b_ref", f"WITH {_CODONS} SELECT gene, cs AS first_pos, row_number() OVER (ORDER BY cs, gene) - 1 AS code FROM (SELECT DISTINCT gene, cs FROM r)")
+def _(calls, feat, ref):
+    codons = _codon_sites(calls, feat, ref).select(F.struct("place.at", "place.gene").alias("feature"))
+    return fe.encode(codons).select("feature.gene", F.col("feature.at").alias("first_pos"), "code")
 
 
 _ROWS = """s AS (SELECT DISTINCT split, p // 256 AS block, p FROM cells), n AS (SELECT DISTINCT node, split, p // 256 AS block FROM cells),

@@ -1,8 +1,8 @@
 """Feature and evaluation queries."""
 
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
+from cladeworks.operators import consequence as co
 from cladeworks.operators import evaluate as ev
 from cladeworks.operators import features as fe
 from cladeworks.operators import intervals as iv
@@ -32,32 +32,32 @@ def _gene_features(calls, feat):
     return calls.select("sample_id", "pos").distinct().join(at, "pos").select("sample_id", "feature").distinct()
 
 
-_TAGS = "b AS (SELECT DISTINCT sample_id, tag AS feature FROM (SELECT DISTINCT sample_id, pos FROM b_calls WHERE vtype = 'ins') JOIN b_feat ON pos BETWEEN start_pos AND end_pos)"
+#: Features of a sample: where a gene has an insertion or deletion, by the gene's tag and the stretch of 2000 bases.
+_TAGS = "b AS (SELECT DISTINCT sample_id, concat(tag, '_', CAST(CAST(floor(pos / 2000) AS INT) AS VARCHAR)) AS feature FROM b_calls JOIN b_feat ON vtype <> 'snp' AND pos BETWEEN start_pos AND end_pos)"
 
 
 def _tag_features(calls, feat):
-    hit = iv.points_in_intervals(calls.where("vtype = 'ins'").select("sample_id", "pos").distinct(), feat)
-    return hit.select("sample_id", F.col("tag").alias("feature")).distinct()
+    hit = iv.points_in_intervals(calls.where("vtype <> 'snp'").select("sample_id", "pos").distinct(), feat)
+    return hit.select("sample_id", F.concat_ws("_", "tag", F.floor(F.col("pos") / 2000).cast("int").cast("string")).alias("feature")).distinct()
 
 
 @query("pair_screen", "b_calls b_feat b_pheno", f"""
-WITH b AS (SELECT DISTINCT sample_id, concat(tag, CAST(floor(pos / 2000) AS INT)) AS feature FROM b_calls JOIN b_feat ON vtype = 'ins' AND pos BETWEEN start_pos AND end_pos), p AS (SELECT sample_id, pheno FROM b_pheno WHERE drug = 'click'), o AS (SELECT b.*, pheno FROM b JOIN p USING (sample_id)), s AS (SELECT feature, count(*) n, sum(pheno) r FROM o GROUP BY feature),
+WITH {_TAGS}, p AS (SELECT sample_id, pheno FROM b_pheno WHERE drug = 'click'), o AS (SELECT b.*, pheno FROM b JOIN p USING (sample_id)), s AS (SELECT feature, count(*) n, sum(pheno) r FROM o GROUP BY feature),
 j AS (SELECT x.feature a, y.feature b, count(*) n_ab, sum(x.pheno) r_ab FROM o x JOIN o y ON x.sample_id = y.sample_id AND x.feature < y.feature GROUP BY ALL)
 SELECT a, j.b AS b, n_ab, CAST(r_ab AS BIGINT) AS r_ab FROM j JOIN s u ON u.feature = a JOIN s v ON v.feature = j.b CROSS JOIN (SELECT count(*) AS n FROM p) t
 WHERE n_ab > 3 AND n_ab < t.n - 3 AND u.n - n_ab > 2 AND v.n - n_ab > 2 AND n_ab < 0.9 * (u.n + v.n - n_ab) AND r_ab * u.n * v.n <> u.r * v.r * n_ab""")
 def _(calls, feat, pheno):
-    hit = iv.points_in_intervals(calls.where("vtype = 'ins'").select("sample_id", "pos").distinct(), feat)
-    rows = hit.select("sample_id", F.concat("tag", F.floor(F.col("pos") / 2000).cast("int").cast("string")).alias("feature")).distinct()
+    rows = _tag_features(calls, feat)
     return fe.screen_pairs(rows, pheno.where("drug = 'click'").select("sample_id", "pheno"), 3, 2, 0.9)
 
 
 @query("pair_features", "b_calls b_feat", f"""
-WITH {_TAGS}, k AS (SELECT x.feature a, y.feature c FROM b x JOIN b y ON x.sample_id = y.sample_id AND x.feature < y.feature GROUP BY ALL HAVING count(*) > 30)
+WITH {_TAGS}, k AS (SELECT x.feature a, y.feature c FROM b x JOIN b y ON x.sample_id = y.sample_id AND x.feature < y.feature GROUP BY ALL HAVING count(*) > 75)
 SELECT sample_id, feature FROM b UNION ALL SELECT x.sample_id, x.feature || '&' || y.feature FROM b x JOIN b y ON x.sample_id = y.sample_id JOIN k ON k.a = x.feature AND k.c = y.feature""")
 def _(calls, feat):
     rows = _tag_features(calls, feat)
     both = fe.pairs(rows)
-    kept = both.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where("n > 30").select("a", "b")
+    kept = both.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where("n > 75").select("a", "b")
     return rows.union(both.join(kept, ["a", "b"], "left_semi").select("sample_id", F.concat_ws("&", "a", "b")))
 
 
@@ -131,21 +131,26 @@ def _(words):
     return fe.membership_groups(words)
 
 
-@query("genotype_matrix", "b_calls b_feat", f"""
-WITH {_TAGS}, s AS (SELECT DISTINCT sample_id FROM b_calls), f AS (SELECT feature FROM b GROUP BY feature HAVING count(*) > 3)
-SELECT feature, string_agg(CASE WHEN b.sample_id IS NULL THEN '0' ELSE '1' END, '' ORDER BY s.sample_id) AS presence FROM f CROSS JOIN s LEFT JOIN b USING (feature, sample_id) GROUP BY feature""")
+_WIDE = """sc AS (SELECT sample_id, row_number() OVER (ORDER BY sample_id) - 1 AS code FROM (SELECT DISTINCT sample_id FROM b_calls)),
+ wide AS (SELECT feature, code // 256 AS block, string_agg(CASE WHEN k.sample_id IS NULL THEN '0' ELSE '1' END, '' ORDER BY code) AS line FROM (SELECT DISTINCT feature FROM k) CROSS JOIN sc LEFT JOIN k USING (feature, sample_id) GROUP BY feature, code // 256)"""
+
+
+def _presence(rows, calls):
+    """Lines of 0 and 1 for each feature, a character for each sample."""
+    samples = calls.select("sample_id").distinct().withColumn("value", F.lit("0"))
+    return co.wide_rows(rows.select("feature", "sample_id").distinct().withColumn("value", F.lit("1")), samples, rows, "feature", "sample_id")
+
+
+@query("genotype_matrix", "b_calls b_feat", f"WITH {_TAGS}, k AS (SELECT * FROM b WHERE feature IN (SELECT feature FROM b GROUP BY feature HAVING count(*) > 3)), {_WIDE} SELECT feature, block, line FROM wide")
 def _(calls, feat):
-    rows = _tag_features(calls, feat)
+    rows = materialise(_tag_features(calls, feat))
     often = rows.groupBy("feature").agg(F.count(F.lit(1)).alias("n")).where("n > 3")
-    return fe.presence(rows.join(often, "feature", "left_semi"), calls)
+    return _presence(rows.join(often, "feature", "left_semi"), calls)
 
 
-@query("presence_table", "b_calls", """
-WITH k AS (SELECT DISTINCT sample_id, vtype || '_' || pos AS feature FROM b_calls WHERE vtype <> 'snp'), s AS (SELECT DISTINCT sample_id FROM b_calls)
-SELECT feature, string_agg(CASE WHEN k.sample_id IS NULL THEN '0' ELSE '1' END, '' ORDER BY s.sample_id) AS presence FROM (SELECT DISTINCT feature FROM k) CROSS JOIN s LEFT JOIN k USING (feature, sample_id) GROUP BY feature""")
+@query("presence_table", "b_calls", f"WITH k AS (SELECT DISTINCT sample_id, vtype || '_' || pos AS feature FROM b_calls WHERE vtype <> 'snp'), {_WIDE} SELECT feature, block, line FROM wide")
 def _(calls):
-    rows = calls.where("vtype <> 'snp'").select("sample_id", F.concat_ws("_", "vtype", F.col("pos").cast("string")).alias("feature"))
-    return fe.presence(rows, calls)
+    return _presence(calls.where("vtype <> 'snp'").select("sample_id", F.concat_ws("_", "vtype", F.col("pos").cast("string")).alias("feature")), calls)
 
 
 _DRUGS = ["EMB", "INH", "PZA", "RIF", "STR"]
@@ -218,11 +223,7 @@ def _(labels, documents):
 WITH s AS (SELECT sample_id, sum(depth) AS w FROM b_depth GROUP BY sample_id)
 SELECT sample_id, CAST(ntile(7) OVER (ORDER BY sample_id) AS INT) AS tile, CAST((row_number() OVER (ORDER BY sample_id) - 1) // 16 AS INT) AS batch, CAST(floor(coalesce(sum(w) OVER (ORDER BY sample_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) * 5 / sum(w) OVER ()) AS INT) AS share FROM s""")
 def _(depth):
-    s = depth.groupBy("sample_id").agg(F.sum("depth").alias("w"))
-    order = Window.orderBy("sample_id")  # a list of samples, one row each
-    before = F.coalesce(F.sum("w").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    total = s.agg(F.sum("w").alias("t"))
-    return s.select("sample_id", F.ntile(7).over(order).alias("tile"), F.floor((F.row_number().over(order) - 1) / 16).cast("int").alias("batch"), F.floor(before * 5 / total.scalar()).cast("int").alias("share"))
+    return fe.list_splits(depth.groupBy("sample_id").agg(F.sum("depth").alias("w")), "sample_id", "w", 7, 16, 5)
 
 
 @query("coef_filter", "part", "SELECT p_partkey, round(p_retailprice - 950, 6) AS coef FROM part WHERE round(p_retailprice - 950, 6) > 0")

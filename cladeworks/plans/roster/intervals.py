@@ -80,11 +80,11 @@ def _(depth, feat):
 
 @query("site_interval_coverage", "b_calls b_depth", """
 WITH runs AS (SELECT sample_id, min(pos) AS s, max(pos) AS e FROM (SELECT sample_id, pos, pos - row_number() OVER (PARTITION BY sample_id ORDER BY pos) AS g FROM b_depth WHERE depth >= 5) GROUP BY sample_id, g),
-sites AS (SELECT DISTINCT pos FROM b_calls WHERE vtype = 'ins')
+sites AS (SELECT DISTINCT pos FROM b_calls)
 SELECT pos, count(*) AS n_samples FROM sites JOIN runs ON pos BETWEEN s AND e GROUP BY pos""")
 def _(calls, depth):
     runs = islands.merge_adjacent(depth.where("depth >= 5"), ["sample_id"]).select("sample_id", F.col("start_pos").alias("s"), (F.col("start_pos") + F.col("length") - 1).alias("e"))
-    hit = iv.points_in_intervals(calls.where("vtype = 'ins'").select("pos").distinct(), runs, start="s", end="e")
+    hit = iv.points_in_intervals(calls.select("pos").distinct(), runs, start="s", end="e")
     return hit.groupBy("pos").agg(F.count(F.lit(1)).alias("n_samples"))
 
 

@@ -115,7 +115,11 @@ def _(customer, nation):
     return named.where(~F.contains(F.col("n_name"), F.lit("AN"))).select("c_custkey", "n_name")
 
 
-@query("cluster_best", "b_words b_labels")
+@query("cluster_best", "b_words b_labels", """
+WITH s AS (SELECT sample_id, string_agg(feature, chr(10) ORDER BY feature) AS m FROM b_words GROUP BY sample_id), c AS (SELECT sample_id, min(sample_id) OVER (PARTITION BY m) AS cluster, count(*) OVER (PARTITION BY m) AS n FROM s),
+r AS (SELECT drug, count(*) AS n FROM b_labels GROUP BY drug), k AS (SELECT sample_id, min(n) AS rarest, count(*) AS labels FROM b_labels JOIN r USING (drug) GROUP BY sample_id),
+o AS (SELECT cluster, sample_id, row_number() OVER (PARTITION BY cluster ORDER BY rarest ASC NULLS LAST, labels DESC NULLS LAST, sample_id) AS place FROM c LEFT JOIN k USING (sample_id) WHERE n > 1)
+SELECT cluster, sample_id FROM o WHERE place = 1""")
 def _(words, labels):
     from cladeworks.operators.compare import same_members
 

@@ -80,22 +80,30 @@ def _(depth):
 @query("site_flags", "b_depth b_calls", """
 WITH s AS (SELECT sample_id, avg(depth) mu, stddev_pop(depth) sigma FROM b_depth GROUP BY sample_id),
 w AS (SELECT sample_id, pos, depth, avg(depth) OVER f AS m, stddev_pop(depth) OVER f AS d FROM b_depth WINDOW f AS (PARTITION BY sample_id ORDER BY pos RANGE BETWEEN 24 PRECEDING AND 25 FOLLOWING)),
-sites AS (SELECT DISTINCT CAST(floor(pos / 10) AS BIGINT) AS pos FROM b_calls WHERE vtype = 'ins')
+sites AS (SELECT DISTINCT CAST(floor(pos / 10) AS BIGINT) AS pos FROM b_calls)
 SELECT sample_id, pos, depth, CAST(depth < 10 AS INT) AS under, CAST(depth > mu + 3 * sigma AS INT) AS over, CAST(m < 10 AS INT) AS low, CAST(m > mu + 3 * sigma AS INT) AS high, CAST(d > 3 * sigma AS INT) AS wild
 FROM w JOIN s USING (sample_id) WHERE pos IN (SELECT pos FROM sites)""")
 def _(depth, calls):
-    sites = calls.where("vtype = 'ins'").select(F.floor(F.col("pos") / 10).cast("long").alias("pos")).distinct()
+    sites = calls.select(F.floor(F.col("pos") / 10).cast("long").alias("pos")).distinct()
     return q.window_flags(depth, q.QualityParams(window=50)).join(sites, "pos", "left_semi").select("sample_id", "pos", "depth", "under", "over", "low", "high", "wild")
 
 
-_SITES = "SELECT DISTINCT CAST(floor(pos / 10) AS BIGINT) AS pos FROM b_calls WHERE vtype = 'ins'"
+_SITES = "SELECT DISTINCT CAST(floor(pos / 10) AS BIGINT) AS pos FROM b_calls"
 
 
-@query("site_coverage", "b_depth b_calls", f"""
-SELECT s.sample_id, t.pos, CAST(coalesce(depth, 0) >= 10 AS INT) AS covered FROM (SELECT DISTINCT sample_id FROM b_depth) s CROSS JOIN ({_SITES}) t LEFT JOIN b_depth d ON d.sample_id = s.sample_id AND d.pos = t.pos""")
+def _sites(calls):
+    return calls.select(F.floor(F.col("pos") / 10).cast("long").alias("pos")).distinct()
+
+
+@query("site_coverage", "b_depth b_calls", f"SELECT sample_id, pos, CAST(depth >= 10 AS INT) AS covered FROM b_depth WHERE pos IN ({_SITES})")
+def _(depth, calls):
+    return q.site_coverage(depth, _sites(calls), P.min_cov)
+
+
+@query("covered_shares", "b_depth b_calls", f"""
+WITH t AS ({_SITES}), d AS (SELECT pos, count(*) AS n FROM b_depth WHERE depth >= 10 GROUP BY pos) SELECT pos, coalesce(n, 0) AS n_covered, round(coalesce(n, 0) / (SELECT count(DISTINCT sample_id) FROM b_depth), 6) AS share FROM t LEFT JOIN d USING (pos)""")
 def _(depth, calls):
-    sites = calls.where("vtype = 'ins'").select(F.floor(F.col("pos") / 10).cast("long").alias("pos"))
-    return q.site_coverage(depth, sites, depth, P.min_cov)
+    return q.covered_shares(depth, _sites(calls), P.min_cov)
 
 
 @query("coverage_prune_round", "b_depth", """

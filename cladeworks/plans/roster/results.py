@@ -133,7 +133,19 @@ def _universe(part):
     return fe.encode(part.select(F.col("p_partkey").cast("long").alias("feature"))).select(F.col("feature").alias("node"), F.col("code").alias("idx"))
 
 
-@query("category_p_value", "b_drug_gene part")
+def _draws(seed, size):
+    """CTEs that end in ``dr (grp, node)``, the draws of ``graph.draws``; ``size`` counts the drawn nodes."""
+    return f"""un AS (SELECT CAST(p_partkey AS BIGINT) AS node, row_number() OVER (ORDER BY p_partkey) - 1 AS idx FROM part), sl AS (SELECT grp, unnest(range(({size}))) AS slot FROM range({PERMUTATIONS}) t(grp)),
+ dr AS (SELECT grp, node FROM (SELECT grp, CAST('0x' || substr(md5('{seed}|' || grp || '|' || slot), 1, 12) AS BIGINT) % (SELECT count(*) FROM un) AS idx FROM sl) JOIN un USING (idx))"""
+
+
+_REACHED = f"round(count(*) FILTER (v >= o) / {PERMUTATIONS}, 6) AS p_value"
+
+
+@query("category_p_value", "b_drug_gene part", f"""
+WITH {_draws('category', "SELECT count(*) FROM b_drug_gene WHERE drug = 'INH'")}, u AS (SELECT p_brand AS tag, count(*) / sum(count(*)) OVER () AS q FROM part GROUP BY tag),
+ m AS (SELECT grp, p_brand AS tag FROM dr JOIN part ON p_partkey = node UNION ALL SELECT -1, tag FROM b_drug_gene WHERE drug = 'INH'), z AS (SELECT grp, count(*) AS n FROM m GROUP BY grp), c AS (SELECT grp, tag, count(*) AS c FROM m GROUP BY ALL),
+ d AS (SELECT z.grp, round(sum(power(coalesce(c, 0) / n - q, 2)), 6) AS v FROM z CROSS JOIN u LEFT JOIN c ON c.grp = z.grp AND c.tag = u.tag GROUP BY z.grp) SELECT {_REACHED} FROM d, (SELECT v AS o FROM d WHERE grp = -1) WHERE grp >= 0""")
 def _(genes, part):
     universe, own = _universe(part), genes.where("drug = 'INH'")
     tags = part.select(F.col("p_partkey").cast("long").alias("node"), F.col("p_brand").alias("category"))
@@ -142,7 +154,9 @@ def _(genes, part):
     return gr.p_value(gr.category_distance(drawn, tags.select("category")), "distance", real.scalar(), PERMUTATIONS)
 
 
-@query("density_p_value", "b_edges b_drug_gene part")
+@query("density_p_value", "b_edges b_drug_gene part", f"""
+WITH {_M}, {_draws('density', 'SELECT count(*) FROM m')}, g AS (SELECT DISTINCT grp, node FROM dr UNION ALL SELECT -1, node FROM m),
+ d AS (SELECT g.grp, count(e.src) AS v FROM g JOIN g h ON g.grp = h.grp LEFT JOIN b_edges e ON e.src = g.node AND e.dst = h.node AND e.src < e.dst GROUP BY g.grp) SELECT {_REACHED} FROM d, (SELECT v AS o FROM d WHERE grp = -1) WHERE grp >= 0""")
 def _(edges, genes, part):
     universe, own = _universe(part), _members(genes)
     drawn = gr.draws(universe, universe.count(), own.count(), PERMUTATIONS, "density")
@@ -150,7 +164,9 @@ def _(edges, genes, part):
     return gr.p_value(gr.induced(edges, drawn), "n_edges", real.scalar(), PERMUTATIONS)
 
 
-@query("overlap_p_value", "b_edges b_drug_gene part")
+@query("overlap_p_value", "b_edges b_drug_gene part", f"""
+WITH {_M}, r AS (SELECT DISTINCT locus AS node FROM b_drug_gene WHERE drug = 'RIF'), {_draws('overlap', 'SELECT count(*) FROM r')}, w AS (SELECT DISTINCT dst AS node FROM b_edges WHERE src IN (SELECT node FROM m) AND dst NOT IN (SELECT node FROM m)),
+ d AS (SELECT grp, count(*) AS v FROM (SELECT DISTINCT grp, node FROM dr) JOIN w USING (node) GROUP BY grp) SELECT {_REACHED} FROM d, (SELECT count(*) AS o FROM r JOIN w USING (node))""")
 def _(edges, genes, part):
     universe, own = _universe(part), genes.where("drug = 'RIF'").select(F.col("locus").alias("node")).distinct()
     near = gr.neighbours(edges, _members(genes))

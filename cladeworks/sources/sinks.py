@@ -31,6 +31,13 @@ def write_fasta(rows: DataFrame, path: str) -> None:
     rows.select(F.concat(F.lit(">"), F.col("name").cast("string"), F.lit("\n"), "seq").alias("value")).write.mode("overwrite").text(path)
 
 
+def write_alignment(lines: DataFrame, path: str, row: str = "sample_id") -> None:
+    """``(row, block, line)`` as FASTA in part files that follow each other: the lines of a record are its stretches, in order."""
+    head = F.when(F.col("block") == 0, F.concat(F.lit(">"), F.col(row).cast("string"), F.lit("\n"))).otherwise("")
+    ordered = lines.repartitionByRange(row, "block").sortWithinPartitions(row, "block")
+    ordered.select(F.concat(head, "line").alias("value")).write.mode("overwrite").text(path)
+
+
 def write_edge_table(edges: DataFrame, path: str) -> None:
     """``(child, parent, dist, syn, change, nonsyn)`` with tabs, lists joined by ``;``: the names of the columns, the root alone, then the edges by child.
 
