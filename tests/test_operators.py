@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from cladeworks.functions import sequence as sq
 from cladeworks.operators import compare, consequence, evaluate, features, intervals, islands, quality, reads, tree
 from cladeworks.plans.components import connected_components
+from cladeworks.sources import sinks
 
 
 def plan(df):
@@ -220,3 +221,40 @@ def test_pairs_on_variants(spark):
     assert {(r["sample_id"], r["pos"]) for r in reads.flagged_variants(stats).collect()} == {("s", 15), ("s", 55)}
     genes = reads.pairs_by_gene(stats, spark.createDataFrame([(15, "a"), (55, "a"), (100, "b")], "pos long, gene string"))
     assert [(r["gene"], r["n_variants"], r["cov"], round(r["bad_pairs"], 6), r["long_pairs"]) for r in genes.collect()] == [("a", 2, 7, round(1 / 7, 6), 0.5)]
+
+
+def test_wide_rows_come_in_stretches(spark, tmp_path):
+    rng = random.Random(11)
+    places = {rng.randrange(10_000): rng.choice("ACGT") for _ in range(70)}
+    cells = [(r, p, "X") for r in ("a", "b") for p in places if rng.random() < 0.2]
+    frame = spark.createDataFrame(cells, "row string, place long, value string")
+    lines = consequence.wide_rows(frame, spark.createDataFrame(list(places.items()), "place long, value string"), spark.createDataFrame([("a",), ("b",), ("c",), ("c",)], "row string"), "row", "place", 16)
+    got = {(r["row"], r["block"]): r["line"] for r in lines.collect()}
+    whole = {r: "".join("X" if (r, p, "X") in cells else places[p] for p in sorted(places)) for r in "abc"}
+    assert got == {(r, i): t[16 * i : 16 * i + 16] for r, t in whole.items() for i in range(-(-len(places) // 16))}
+    sinks.write_alignment(lines, f"{tmp_path}/a", "row")
+    parts = "".join(p.read_text() for p in sorted((tmp_path / "a").glob("part-*")))
+    assert parts == "".join(f">{r}\n" + "".join(t[i : i + 16] + "\n" for i in range(0, len(t), 16)) for r, t in whole.items())
+    assert consequence.wide_rows(frame.limit(0), frame.select("place", "value").limit(0), frame, "row", "place").isEmpty()
+
+
+def test_list_splits_equal_plain_counts(spark):
+    rng = random.Random(12)
+    weights = {f"s{i:03d}": rng.randint(1, 50) for i in range(53)}
+    got = {r["k"]: tuple(r)[1:] for r in features.list_splits(spark.createDataFrame(list(weights.items()), "k string, w long"), "k", "w", 7, 8, 5).collect()}
+    names, total = sorted(weights), sum(weights.values())
+    tile = [t for t in range(7) for _ in range(53 // 7 + (t < 53 % 7))]
+    assert got == {k: (tile[i] + 1, i // 8, sum(weights[x] for x in names[:i]) * 5 // total) for i, k in enumerate(names)}
+    few = features.list_splits(spark.createDataFrame([("a", 1), ("b", 2)], "k string, w long"), "k", "w", 7, 8, 5)
+    assert sorted((r["k"], r["tile"]) for r in few.collect()) == [("a", 1), ("b", 2)]
+
+
+def test_gene_repair_on_both_strands(spark):
+    """Plus: CATGAAATAAG, the gene one or two bases too long or short; minus: the same read backwards."""
+    plus = "CATGAAATAAGC"
+    ref = plus + plus[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    n = len(ref) + 1
+    genes = [("long", 2, 11, 1), ("short", 2, 9, 1), ("whole", 2, 10, 1), ("none", 2, 8, 1), ("back_long", n - 11, n - 2, -1), ("back_short", n - 9, n - 2, -1)]
+    frame = spark.createDataFrame(genes, "name string, start_pos long, end_pos long, strand int")
+    got = {r["name"]: (r["fixed_start"], r["fixed_end"]) for r in consequence.repaired_genes(frame, consequence.reference_chunks(spark.createDataFrame([(ref,)], "seq string"))).collect()}
+    assert got == {"long": (2, 10), "short": (2, 10), "none": (2, 10), "back_long": (n - 10, n - 2), "back_short": (n - 10, n - 2)}
