@@ -78,6 +78,7 @@ def with_bases(df: DataFrame, pos: Column, size: Column, chunks: Chunks, name: s
     """Column ``name``: ``size`` reference bases from ``pos`` (from 1); rows beyond the reference go, or keep at ``least`` so many."""
     rows = df.withColumn("_at", pos.cast("long")).withColumn("_chunk", F.floor((F.col("_at") - 1) / chunks.width).cast("long")).where("_at >= 1")
     found = F.substring("_bases", (F.col("_at") - F.col("_chunk") * chunks.width).cast("int"), size.cast("int"))
+    rows = materialise(rows)  # read twice: for the chunks to look up, and to look up in them
     joined = rows.join(chunks.asked(rows), "_chunk").withColumn(name, found)
     return joined.where(F.length(name) >= (size if least is None else least)).drop("_at", "_chunk", "_bases")
 
