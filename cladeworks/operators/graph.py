@@ -53,3 +53,36 @@ def category_distance(members: DataFrame, universe: DataFrame) -> DataFrame:
 def p_value(null: DataFrame, value: str, observed: Column, permutations: int) -> DataFrame:
     """One row: the share of permutations that reach the observed value."""
     return null.agg(F.round(F.count(F.when(F.col(value) >= observed, 1)) / F.lit(permutations), 6).alias("p_value"))
+
+
+def selected_genes(genes: DataFrame, tag: str | None = None, pseudogenes: bool = True, hypothetical: bool = True, known: bool = True) -> DataFrame:
+    """Rows of a gene table without names that hold ``tag``; pseudogenes, hypothetical genes and those with a known label on request left out."""
+    keep = F.lit(True) if tag is None else ~F.contains(F.col("name"), F.lit(tag))
+    for wanted, out in ((pseudogenes, F.col("is_pseudogene")), (hypothetical, F.col("is_hypothetical")), (known, F.col("label") != "miss")):
+        keep = keep if wanted else keep & ~out
+    return genes.where(keep)
+
+
+def with_features(rows: DataFrame, features: DataFrame, key: str) -> DataFrame:
+    """Rows with ``feature`` (the name) of the feature whose name is the key, or else whose locus is; rows without one go."""
+    own = features.where("ftype <> 'upstream'")
+    by = lambda c, n: own.where(F.col(c).isNotNull()).groupBy(F.col(c).alias(key)).agg(F.min("name").alias(n))
+    found = rows.join(by("name", "_a"), key, "left").join(by("locus", "_b"), key, "left").withColumn("feature", F.coalesce("_a", "_b"))
+    return found.where("feature is not null").drop("_a", "_b")
+
+
+def fdr_cuts(curve: DataFrame, level: float = 0.1, cap: float = 0.05) -> DataFrame:
+    """``(drug, cut)``: the largest p at which expected / observed is below ``level``, at most ``cap``; ``curve (drug, p, observed, expected)``."""
+    return curve.where(F.col("expected") / F.col("observed") < level).groupBy("drug").agg(F.least(F.max("p"), F.lit(cap)).alias("cut"))
+
+
+def cut_sites(sites: DataFrame, cuts: DataFrame, markers: DataFrame | None = None) -> DataFrame:
+    """Sites ``(drug, pos, p)`` up to the cut of their drug, without those among ``markers (pos)``."""
+    kept = sites.join(cuts, "drug").where("p <= cut").drop("cut")
+    return kept if markers is None else kept.join(markers.select("pos").distinct(), "pos", "left_anti").select(sites.columns)
+
+
+def zero_sites(sites: DataFrame, markers: DataFrame | None = None) -> DataFrame:
+    """Sites with p = 0, without those among ``markers (pos)``."""
+    kept = sites.where("p = 0")
+    return kept if markers is None else kept.join(markers.select("pos").distinct(), "pos", "left_anti").select(sites.columns)

@@ -64,6 +64,11 @@ def expand_aliases(entries: DataFrame, aliases: dict[str, list[str]]) -> DataFra
     return entries.select("feature", F.explode(F.element_at(table, F.col("code"))).alias("drug"))
 
 
+def unknown_codes(entries: DataFrame, aliases: dict[str, list[str]]) -> DataFrame:
+    """``(code, n)``: the codes that have no name, with their number of entries."""
+    return entries.where(~F.col("code").isin(list(aliases))).groupBy("code").agg(F.count(F.lit(1)).alias("n"))
+
+
 def best_of_clusters(links: DataFrame, pheno: DataFrame) -> DataFrame:
     """``(cluster, sample_id)``: of each cluster of duplicates the sample with a label for the rarest drug.
 

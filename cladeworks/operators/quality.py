@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cladeworks.operators.intervals import points_in_intervals
 from cladeworks.plans.lineage import discard, materialise
 
 
@@ -100,6 +101,16 @@ def window_flags(depth: DataFrame, params: QualityParams) -> DataFrame:
     )
 
 
+def flags_by_place(depth: DataFrame, genes: DataFrame, params: QualityParams, inside: int = 400, outside: int = 50, genes_only: bool = False) -> DataFrame:
+    """``window_flags`` with ``inside`` as the width at positions in ``genes (start_pos, end_pos)`` and ``outside`` elsewhere, where the flags are 0 with ``genes_only``."""
+    within = materialise(points_in_intervals(depth.select("pos").distinct(), genes, how="left_semi"))
+    wide = window_flags(depth, replace(params, window=inside)).join(within, "pos", "left_semi")
+    narrow = window_flags(depth, replace(params, window=outside)).join(within, "pos", "left_anti")
+    if genes_only:
+        narrow = narrow.withColumns({c: F.lit(0) for c in ("low", "high", "wild")})
+    return wide.unionByName(narrow)
+
+
 def site_coverage(depth: DataFrame, sites: DataFrame, least: int) -> DataFrame:
     """``(sample_id, pos, covered)`` of the samples that have a depth at a site; the others don't cover it and have no row."""
     return depth.join(sites.select("pos").distinct(), "pos", "left_semi").select("sample_id", "pos", (F.col("depth") >= least).cast("int").alias("covered"))

@@ -77,6 +77,16 @@ def _(depth):
     return out.join(stats, "sample_id").where("low = 0 and wild = 0 and mean <= most").select("sample_id", "pos", F.round("mean", 6).alias("mean"))
 
 
+@query("flags_by_place", "b_depth b_feat", """
+WITH s AS (SELECT sample_id, avg(depth) mu, stddev_pop(depth) sigma FROM b_depth GROUP BY sample_id), g AS (SELECT DISTINCT pos FROM (SELECT DISTINCT pos FROM b_depth) JOIN b_feat ON ftype = 'Gene' AND pos BETWEEN start_pos AND end_pos),
+w AS (SELECT sample_id, pos, avg(depth) OVER a AS ma, stddev_pop(depth) OVER a AS da, avg(depth) OVER b AS mb, stddev_pop(depth) OVER b AS db FROM b_depth
+ WINDOW a AS (PARTITION BY sample_id ORDER BY pos RANGE BETWEEN 199 PRECEDING AND 200 FOLLOWING), b AS (PARTITION BY sample_id ORDER BY pos RANGE BETWEEN 24 PRECEDING AND 25 FOLLOWING)),
+x AS (SELECT sample_id, pos, CASE WHEN pos IN (SELECT pos FROM g) THEN ma ELSE mb END AS m, CASE WHEN pos IN (SELECT pos FROM g) THEN da ELSE db END AS d FROM w)
+SELECT sample_id, pos, CAST(m < 10 AS INT) AS low, CAST(m > mu + 3 * sigma AS INT) AS high, CAST(d > 3 * sigma AS INT) AS wild FROM x JOIN s USING (sample_id)""")
+def _(depth, feat):
+    return q.flags_by_place(depth, feat.where("ftype = 'Gene'").select("start_pos", "end_pos"), P).select("sample_id", "pos", "low", "high", "wild")
+
+
 @query("site_flags", "b_depth b_calls", """
 WITH s AS (SELECT sample_id, avg(depth) mu, stddev_pop(depth) sigma FROM b_depth GROUP BY sample_id),
 w AS (SELECT sample_id, pos, depth, avg(depth) OVER f AS m, stddev_pop(depth) OVER f AS d FROM b_depth WINDOW f AS (PARTITION BY sample_id ORDER BY pos RANGE BETWEEN 24 PRECEDING AND 25 FOLLOWING)),

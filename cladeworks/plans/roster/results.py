@@ -12,17 +12,29 @@ from cladeworks.plans.registry import query
 # --- association results -------------------------------------------------
 
 
-@query("fdr_cut", "part", """
-WITH s AS (SELECT p_brand AS drug, p_partkey AS pos, (p_size - 1) / 1000.0 AS p FROM part), n AS (SELECT *, count(*) OVER (PARTITION BY drug) AS n, count(*) OVER (PARTITION BY drug ORDER BY p) AS obs FROM s),
-c AS (SELECT drug, max(p) AS cut FROM n WHERE n * p / obs < 0.06 AND p <= 0.05 GROUP BY drug) SELECT drug, pos, round(CAST(p AS DOUBLE), 6) AS p FROM s JOIN c USING (drug) WHERE p <= cut""")
+_SITES = "s AS (SELECT p_brand AS drug, p_partkey AS pos, (p_size - 1) / 400.0 AS p FROM part), mk AS (SELECT p_partkey AS pos FROM part WHERE p_type = 'ECONOMY')"
+
+
+def _sites(part):
+    sites = part.select(F.col("p_brand").alias("drug"), F.col("p_partkey").alias("pos"), ((F.col("p_size") - 1) / F.lit(400)).alias("p"))
+    return sites, part.where("p_type = 'ECONOMY'").select(F.col("p_partkey").alias("pos"))
+
+
+@query("fdr_cut", "part", f"""
+WITH {_SITES}, n AS (SELECT *, count(*) OVER (PARTITION BY drug) AS n, count(*) OVER (PARTITION BY drug ORDER BY p) AS obs FROM s), c AS (SELECT drug, least(max(p), 0.05) AS cut FROM n WHERE n * p / obs < 0.1 GROUP BY drug)
+SELECT drug, pos, round(CAST(p AS DOUBLE), 6) AS p FROM s JOIN c USING (drug) WHERE p <= cut AND pos NOT IN (SELECT pos FROM mk)""")
 def _(part):
-    s = part.select(F.col("p_brand").alias("drug"), F.col("p_partkey").alias("pos"), ((F.col("p_size") - 1) / F.lit(1000)).alias("p"))
+    sites, markers = _sites(part)
     # The curve has one row per distinct p of a drug, however many sites there are.
-    curve = s.groupBy("drug", "p").agg(F.count(F.lit(1)).alias("k"))
+    curve = sites.groupBy("drug", "p").agg(F.count(F.lit(1)).alias("k"))
     up = Window.partitionBy("drug").orderBy("p")
-    curve = curve.select("drug", "p", F.sum("k").over(up).alias("obs"), F.sum("k").over(Window.partitionBy("drug")).alias("n"))
-    cut = curve.where((F.col("n") * F.col("p") / F.col("obs") < 0.06) & (F.col("p") <= 0.05)).groupBy("drug").agg(F.max("p").alias("cut"))
-    return s.join(cut, "drug").where("p <= cut").select("drug", "pos", F.round("p", 6).alias("p"))
+    curve = curve.select("drug", "p", F.sum("k").over(up).alias("observed"), (F.sum("k").over(Window.partitionBy("drug")) * F.col("p")).alias("expected"))
+    return gr.cut_sites(sites, gr.fdr_cuts(curve), markers).withColumn("p", F.round("p", 6))
+
+
+@query("zero_p_sites", "part", f"WITH {_SITES} SELECT drug, pos FROM s WHERE p = 0 AND pos NOT IN (SELECT pos FROM mk)")
+def _(part):
+    return gr.zero_sites(*_sites(part)).select("drug", "pos")
 
 
 @query("row_zip", "customer supplier", """

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cladeworks.operators.consequence import decompose
+from cladeworks.operators.intervals import points_in_intervals
 
 def _stem(suffix: str) -> Column:
     """The file's name up to ``suffix``."""
@@ -160,6 +162,36 @@ def graph_vcf(spark: SparkSession, path: str) -> DataFrame:
     return snp.union(gone).union(more)
 
 
+def plain_vcf(spark: SparkSession, path: str, exclude: DataFrame | None = None) -> DataFrame:
+    """``(sample_id, pos, alt, vtype)`` of the alleles of plain files; positions inside ``exclude (start_pos, end_pos)`` go, longer alleles are taken apart."""
+    rows = _vcf(spark, path).select("sample_id", "pos", F.upper("ref").alias("ref"), F.explode("alts").alias("alt")).where("alt not in ('.', '*') and ref <> '*'").withColumn("alt", F.upper("alt"))
+    if exclude is not None:
+        rows = points_in_intervals(rows, exclude, how="left_anti")
+    events = decompose(rows.select(F.struct("sample_id", "pos").alias("key"), "ref", "alt"))
+    return events.select("key.sample_id", (F.col("key.pos") + F.col("off")).alias("pos"), F.when(F.col("vtype") == "del", "-").otherwise(F.col("alt")).alias("alt"), "vtype").distinct()
+
+
+def dictionary_entries(spark: SparkSession, path: str) -> DataFrame:
+    """``(dict, feature, code)`` of files ``<dict>.txt``: the fields of a mutation, then the code of its drug."""
+    parts = lambda i: F.regexp_extract("line", r"^(.*)\t([^\t]*)$", i)
+    return _lines(spark, path).select(F.col("source").alias("dict"), parts(1).alias("feature"), F.trim(parts(2)).alias("code")).where("feature <> ''")
+
+
+def interaction_edges(spark: SparkSession, path: str) -> DataFrame:
+    """``(src, dst, score)`` of lines ``<organism>.<locus> <organism>.<locus> <score>``."""
+    f = F.split("line", r"\s+")
+    locus = lambda i: F.split_part(F.get(f, i), F.lit("."), F.lit(2))
+    return _lines(spark, path).select(locus(0).alias("src"), locus(1).alias("dst"), F.get(f, 2).try_cast("int").alias("score")).where("src <> '' and dst <> ''")
+
+
+def gene_tables(spark: SparkSession, path: str) -> DataFrame:
+    """``(source, name, locus, is_pseudogene, is_hypothetical, description, label)`` of a drug's table of genes; the head line begins with a name but no flag."""
+    f = F.split("line", "\t", -1)
+    last = lambda i: F.element_at(f, F.lit(-i))
+    rows = _lines(spark, path).where(F.size(f) >= 7).where(F.lower(F.get(f, 2)).isin("true", "false"))
+    return rows.select(F.col("source"), F.get(f, 0).alias("name"), F.get(f, 1).alias("locus"), (F.lower(F.get(f, 2)) == "true").alias("is_pseudogene"), ((F.lower(F.get(f, 4)) == "true") | F.contains(last(2), F.lit("hypothetical"))).alias("is_hypothetical"), last(2).alias("description"), last(1).alias("label"))
+
+
 def depth(spark: SparkSession, path: str) -> DataFrame:
     """``(sample_id, pos, depth)`` of files ``<sample>.depth`` (contig, pos, depth)."""
     f = F.split("line", "\t")

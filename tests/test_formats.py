@@ -5,7 +5,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from cladeworks.operators import tree
+from cladeworks.operators import graph, phenotype, tree
 from cladeworks.operators.evaluate import metrics
 from cladeworks.operators.quality import QualityParams
 from cladeworks.sources import sinks, text
@@ -154,3 +154,37 @@ def test_changes_and_vectors_of_several_drugs(spark):
     assert get(susceptible=True) == {"b": ["S2R", "R3S"], "c": ["S3S"], "d": []}
     assert get(resistant=True) == get()
     assert rows(tree.state_vectors(states, codes)) == [("a", "001"), ("b", "010"), ("c", "100")]
+
+
+def test_plain_vcf_leaves_intervals_out(spark, put):
+    path = put("s1.vcf", "##x", "c\t5\t.\ta\tC\t9\tPASS\tx\tGT\t1", "c\t10\t.\tACG\tA\t9\tPASS\tx\tGT\t1", "c\t20\t.\tA\tAT,*\t9\tPASS\tx\tGT\t1", "c\t30\t.\tA\tG\t9\tPASS\tx\tGT\t1")
+    out = spark.createDataFrame([(25, 30)], "start_pos int, end_pos int")
+    assert rows(text.plain_vcf(spark, path, out)) == [("s1", 5, "C", "snp"), ("s1", 11, "-", "del"), ("s1", 12, "-", "del"), ("s1", 21, "T", "ins")]
+
+
+def test_dictionary_files_with_aliases_and_unknown_codes(spark, put):
+    entries = text.dictionary_entries(spark, put("Walker.txt", "# c", "Gene\tkatG\t315\tS\tT\tINH", "Gene\tgyrA\t90\tA\tV\tFQ", "Gene\tx\t1\tA\tV\tZZZ"))
+    aliases = {"INH": ["Isoniazid"], "FQ": ["Ofloxacin", "Moxifloxacin"]}
+    assert rows(phenotype.expand_aliases(entries, aliases)) == [("Gene\tgyrA\t90\tA\tV", "Moxifloxacin"), ("Gene\tgyrA\t90\tA\tV", "Ofloxacin"), ("Gene\tkatG\t315\tS\tT", "Isoniazid")]
+    assert rows(phenotype.unknown_codes(entries, aliases)) == [("ZZZ", 1)]
+
+
+def test_gene_graph_and_tables(spark, put):
+    edges = text.interaction_edges(spark, put("links.txt", "protein1 protein2 combined_score", "83332.Rv1 83332.Rv2 900", "83332.Rv2 83332.Rv1 900"))
+    assert rows(edges) == [("Rv1", "Rv2", 900), ("Rv2", "Rv1", 900)]
+    genes = text.gene_tables(spark, put("inh.annotations", "name\tlocus\tpseudo\tx\thyp\ty\tdescription\tlabel", "a\tRv1\tFalse\t0\tFalse\t0\tkinase\tmiss", "PGRS2\tRv2\tFalse\t0\tFalse\t0\tp\tmiss", "c\tRv3\tTrue\t0\tFalse\t0\tp\tINH", "d\tRv4\tFalse\t0\tFalse\t0\thypothetical p\tmiss"))
+    names = lambda **k: [r["name"] for r in graph.selected_genes(genes, **k).orderBy("name").collect()]
+    assert names() == ["PGRS2", "a", "c", "d"] and names(tag="PGRS") == ["a", "c", "d"] and names(pseudogenes=False) == ["PGRS2", "a", "d"] and names(hypothetical=False, known=False) == ["PGRS2", "a"]
+    features = spark.createDataFrame([("Gene", "a", "Rv1"), ("Gene", "Rv2", "Rv9"), ("Gene", "z", "Rv2"), ("upstream", "u", "Rv3")], "ftype string, name string, locus string")
+    found = graph.with_features(spark.createDataFrame([("a",), ("Rv1",), ("Rv2",), ("Rv3",)], "key string"), features, "key")
+    assert rows(found) == [("Rv1", "a"), ("Rv2", "Rv2"), ("a", "a")]
+
+
+def test_fdr_cut_is_capped_and_leaves_markers_out(spark):
+    curve = spark.createDataFrame([("x", 0.01, 100, 5.0), ("x", 0.2, 200, 19.0), ("x", 0.3, 210, 60.0), ("y", 0.01, 1, 5.0), ("z", 0.02, 50, 1.0)], "drug string, p double, observed long, expected double")
+    cuts = graph.fdr_cuts(curve)
+    assert rows(cuts) == [("x", 0.05), ("z", 0.02)]
+    sites = spark.createDataFrame([("x", 1, 0.0), ("x", 2, 0.05), ("x", 3, 0.06), ("y", 4, 0.0), ("z", 5, 0.02), ("z", 6, 0.01)], "drug string, pos int, p double")
+    markers = spark.createDataFrame([(6,), (1,)], "pos int")
+    assert rows(graph.cut_sites(sites, cuts, markers)) == [("x", 2, 0.05), ("z", 5, 0.02)]
+    assert rows(graph.zero_sites(sites)) == [("x", 1, 0.0), ("y", 4, 0.0)] and rows(graph.zero_sites(sites, markers)) == [("y", 4, 0.0)]
