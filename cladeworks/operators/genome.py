@@ -11,7 +11,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cladeworks.plans.lineage import materialise
+from cladeworks.plans.lineage import discard, materialise
 
 
 class Chunks(NamedTuple):
@@ -42,8 +42,10 @@ def laid_out(pieces: DataFrame, order: str) -> DataFrame:
 
     Ranges of the order add up inside themselves and are shifted by the sizes of the ranges before, so no task sees all pieces.
     """
-    dealt = materialise(pieces.select(F.col(order).alias("_order"), "seq", F.length("seq").cast("long").alias("_n")).repartitionByRange("_order").withColumn("_range", F.spark_partition_id()))
+    written = materialise(pieces.select(F.col(order).alias("_order"), "seq", F.length("seq").cast("long").alias("_n")))  # ranges are found by a pass of their own
+    dealt = materialise(written.repartitionByRange("_order").withColumn("_range", F.spark_partition_id()))
     inside = F.sum("_n").over(Window.partitionBy("_range").orderBy("_order", "seq").rowsBetween(Window.unboundedPreceding, -1))
+    discard(written)
     sizes = dealt.groupBy("_range").agg(F.sum("_n").alias("_size"))  # one row per range
     before = F.sum("_size").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
     zero = F.lit(0).cast("long")
