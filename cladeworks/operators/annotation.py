@@ -171,3 +171,10 @@ def distance_features(rows: DataFrame, table: DataFrame) -> DataFrame:
     sites = priced.where("distance is not null").select("sample_id", "ftype", "gene", F.lit("site"), "gpos", "distance")
     gone = priced.where("vtype = 'del' and size > 1").select("sample_id", "ftype", "gene", F.lit("del"), "gpos", F.col("size").cast("double"))
     return broken.union(total).union(sites).union(gone)
+
+
+def broken_genes(rows: DataFrame) -> DataFrame:
+    """``(sample_id, gene)`` of annotated rows: genes without a protein, with a stop put in or taken away, or with an insertion or deletion upstream."""
+    inside = (F.col("ftype") == "Gene") & ((F.col("vtype") == "FS") | ((F.col("vtype") == "snp") & ((F.col("alt") == "*") | (F.col("ref") == "*"))))
+    before = (F.col("ftype") == "upstream") & F.col("vtype").isin("ins", "del")
+    return rows.where(inside | before).select("sample_id", "gene").distinct()

@@ -10,10 +10,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def contingency(features: DataFrame, pheno: DataFrame) -> DataFrame:
-    """``(drug, feature, n_r, n_s)``: samples with the feature by label."""
+def contingency(features: DataFrame, pheno: DataFrame, listed: DataFrame | None = None) -> DataFrame:
+    """``(drug, feature, n_r, n_s)``: samples with the feature by label; with ``listed (drug, feature)`` these and no others, zeros included."""
     rows = features.join(pheno.where("pheno is not null"), "sample_id")
-    return rows.groupBy("drug", "feature").agg(F.sum("pheno").cast("long").alias("n_r"), F.sum(1 - F.col("pheno")).cast("long").alias("n_s"))
+    counts = rows.groupBy("drug", "feature").agg(F.sum("pheno").cast("long").alias("n_r"), F.sum(1 - F.col("pheno")).cast("long").alias("n_s"))
+    return counts if listed is None else listed.select("drug", "feature").distinct().join(counts, ["drug", "feature"], "left").fillna(0, ["n_r", "n_s"])
 
 
 def frequency_band(features: DataFrame, low: int, n_samples: int | None = None) -> DataFrame:

@@ -86,3 +86,14 @@ def zero_sites(sites: DataFrame, markers: DataFrame | None = None) -> DataFrame:
     """Sites with p = 0, without those among ``markers (pos)``."""
     kept = sites.where("p = 0")
     return kept if markers is None else kept.join(markers.select("pos").distinct(), "pos", "left_anti").select(sites.columns)
+
+
+def known_labels(variants: DataFrame, sites: DataFrame, genes: DataFrame) -> DataFrame:
+    """``variants (pos, gene, indel)`` with ``label``: what is known of their (gene, pos), of their gene for insertions and deletions, or ``miss``.
+
+    Of several labels the first in order counts.
+    """
+    by_site = sites.groupBy("gene", "pos").agg(F.min("label").alias("_s"))
+    by_gene = genes.groupBy("gene").agg(F.min("label").alias("_g"))
+    found = variants.join(by_site, ["gene", "pos"], "left").join(by_gene, "gene", "left")
+    return found.select("pos", "gene", "indel", F.coalesce(F.when(F.col("indel"), F.col("_g")).otherwise(F.col("_s")), F.lit("miss")).alias("label"))

@@ -85,3 +85,16 @@ def folds(rows: DataFrame, by: list[str], key: str, seed: str, k: int) -> DataFr
     """Column ``fold`` in 0..k-1: the place in a seeded order of the group, modulo k."""
     order = Window.partitionBy(*by).orderBy(F.md5(F.concat_ws("|", F.lit(seed), F.col(key).cast("string"))), key)
     return rows.withColumn("fold", (F.row_number().over(order) - 1) % k)
+
+
+def fold_phenotypes(folded: DataFrame, k: int) -> DataFrame:
+    """``(drug, sample_id, fold, value)``: the labels that each of ``k`` folds trains on as text, ``NA`` for those it leaves out and unknown ones."""
+    rows = folded.select("drug", "sample_id", "pheno", F.col("fold").alias("own"), F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("fold"))
+    return rows.select("drug", "sample_id", "fold", F.coalesce(F.when(F.col("fold") != F.col("own"), F.col("pheno").cast("string")), F.lit("NA")).alias("value"))
+
+
+def organism_of(ids: DataFrame, runs: DataFrame, samples: DataFrame, prefix: str = "SAM") -> DataFrame:
+    """``(id, organism)``: ids that begin with ``prefix`` looked up among ``samples``, the others among ``runs``, both ``(id, organism)``; null if unknown."""
+    table = lambda t, c: t.groupBy("id").agg(F.min("organism").alias(c))
+    own = ids.select("id").distinct().join(table(samples, "_s"), "id", "left").join(table(runs, "_r"), "id", "left")
+    return own.select("id", F.when(F.startswith("id", F.lit(prefix)), F.col("_s")).otherwise(F.col("_r")).alias("organism"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cladeworks.operators.intervals import points_in_intervals
+from cladeworks.operators.intervals import points_in_intervals, spans_overlap
 from cladeworks.operators.quality import z_cut
 from cladeworks.plans.lineage import materialise
 
@@ -15,6 +15,11 @@ def well_mapped(reads: DataFrame, z: float = 2.0) -> DataFrame:
     return z_cut(reads, ["sample_id"], ["mapq"], z)
 
 
+def overlapping(reads: DataFrame, intervals: DataFrame) -> DataFrame:
+    """Reads that overlap any of ``intervals (x_start, x_end)``, each once."""
+    return spans_overlap(reads, intervals, "start_pos", "end_pos", "x_start", "x_end", how="left_semi")
+
+
 def mates(reads: DataFrame) -> DataFrame:
     """``(sample_id, qname, insert)``: one row per proper pair with its outer length."""
     proper = reads.where("is_proper")

@@ -310,6 +310,23 @@ def column_entropy(bases: DataFrame) -> DataFrame:
     return c.join(total, "pos").groupBy("pos").agg(F.round(-F.sum(p * F.log(p)), 6).alias("entropy"))
 
 
+def entropy_by_kind(bases: DataFrame, edges: DataFrame) -> DataFrame:
+    """``(kind, n_pos, entropy)``: the mean column entropy of the measured sequences (leaves) and of the reconstructed ones (inner nodes)."""
+    kinds = edges.select(F.col("child").alias("node")).join(leaves(edges).withColumn("kind", F.lit("measured")), "node", "left").select("node", F.coalesce("kind", F.lit("reconstructed")).alias("kind"))
+    rows = bases.join(kinds, "node")
+    c = rows.groupBy("kind", "pos", "base").agg(F.count(F.lit(1)).alias("n"))
+    total = rows.groupBy("kind", "pos").agg(F.count(F.lit(1)).alias("t"))
+    p = F.col("n") / F.col("t")
+    each = c.join(total, ["kind", "pos"]).groupBy("kind", "pos").agg((-F.sum(p * F.log(p))).alias("e"))
+    return each.groupBy("kind").agg(F.count(F.lit(1)).alias("n_pos"), F.round(F.avg("e"), 6).alias("entropy"))
+
+
+def discordance(first: DataFrame, second: DataFrame) -> DataFrame:
+    """``(first, second, n)``: nodes ``(node, state)`` of two reconstructions by their two states; a node that one lacks has a null there."""
+    both = first.select("node", F.col("state").alias("first")).join(second.select("node", F.col("state").alias("second")), "node", "full")
+    return both.groupBy("first", "second").agg(F.count(F.lit(1)).alias("n"))
+
+
 def state_conflicts(edges: DataFrame, states: DataFrame) -> DataFrame:
     """``(parent, conflict)``: parents whose children all have the other state (1 over 0,0 or 0 over 1,1)."""
     c = edges.where("parent is not null").join(states.select(F.col("node").alias("child"), (F.col("state") == "R").cast("int").alias("s")), "child")

@@ -86,15 +86,22 @@ def _(calls, pheno, feat):
     return per_sample.join(pheno, "sample_id").groupBy("drug", "pheno", "callset").agg(F.sum("n").alias("n"))
 
 
+@query("indel_lengths_inside", "b_calls b_feat", """
+WITH c AS (SELECT DISTINCT sample_id, vtype, pos FROM b_calls WHERE pos IN (SELECT pos FROM b_calls JOIN b_feat ON ftype = 'rRNA' AND pos BETWEEN start_pos AND end_pos)),
+r AS (SELECT vtype, count(*) AS length FROM (SELECT *, pos - row_number() OVER (PARTITION BY sample_id, vtype ORDER BY pos) AS g FROM c) GROUP BY sample_id, vtype, g)
+SELECT vtype, length, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY vtype), 6) AS share FROM r GROUP BY vtype, length""")
+def _(calls, feat):
+    from cladeworks.operators.intervals import points_in_intervals
+
+    inside = points_in_intervals(calls.select("sample_id", "vtype", "pos"), feat.where("ftype = 'rRNA'").select("start_pos", "end_pos"), how="left_semi")
+    return cmp.run_lengths(inside)
+
+
 @query("indel_lengths", "b_calls", """
 WITH r AS (SELECT vtype, count(*) AS length FROM (SELECT sample_id, vtype, pos, pos - row_number() OVER (PARTITION BY sample_id, vtype ORDER BY pos) AS g FROM (SELECT DISTINCT sample_id, vtype, pos FROM b_calls)) GROUP BY sample_id, vtype, g)
 SELECT vtype, length, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY vtype), 6) AS share FROM r GROUP BY vtype, length""")
 def _(calls):
-    from cladeworks.operators.islands import merge_adjacent
-
-    counts = merge_adjacent(calls, ["sample_id", "vtype"]).groupBy("vtype", "length").agg(F.count(F.lit(1)).alias("n"))
-    total = counts.groupBy("vtype").agg(F.sum("n").alias("total"))
-    return counts.join(total, "vtype").select("vtype", "length", "n", cmp.share_in(F.col("n"), F.col("total")).alias("share"))
+    return cmp.run_lengths(calls)
 
 
 @query("callset_intersect", "b_calls", "SELECT sample_id, pos, alt, vtype FROM b_calls WHERE callset = 'F' INTERSECT SELECT sample_id, pos, alt, vtype FROM b_calls WHERE callset = 'O'")

@@ -166,6 +166,11 @@ def _(calls, feat, ref):
     return an.vocabulary(an.annotate(calls, _located(calls, feat), ref))
 
 
+@query("broken_only", "b_calls b_feat b_ref", f"WITH {_ROWS_SQL} SELECT DISTINCT sample_id, gene FROM ann WHERE ftype = 'Gene' AND (vtype = 'FS' OR vtype = 'snp' AND (ref = '*' OR alt = '*')) OR ftype = 'upstream' AND vtype IN ('ins', 'del')")
+def _(calls, feat, ref):
+    return an.broken_genes(an.annotate(calls, _located(calls, feat), ref))
+
+
 _DIST = "sm AS (SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}', {score})" for a, b, score in sm.entries()) + ") t(a, b, score)), dt AS (SELECT x.a AS ref, y.a AS alt, sqrt(sum((x.score - y.score) ** 2)) AS distance FROM sm x JOIN sm y USING (b) GROUP BY x.a, y.a)"
 
 

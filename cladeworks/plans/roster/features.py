@@ -21,6 +21,18 @@ def _(words, labels):
 _BAND = "(SELECT feature FROM b_words GROUP BY feature HAVING count(*) > 20 AND count(*) < (SELECT count(DISTINCT sample_id) FROM b_words) - 20)"
 
 
+_LISTED = "WITH e AS (SELECT 'toxic' AS drug, p_name AS feature FROM part UNION SELECT 'toxic', feature FROM b_words WHERE length(feature) = 5 UNION SELECT 'quality', feature FROM b_words WHERE length(feature) = 4)"
+
+
+@query("contingency_listed", "b_words b_labels part", f"""
+{_LISTED}, c AS (SELECT drug, feature, CAST(sum(pheno) AS BIGINT) AS n_r, CAST(sum(1 - pheno) AS BIGINT) AS n_s FROM b_words JOIN b_labels USING (sample_id) GROUP BY drug, feature)
+SELECT drug, feature, coalesce(n_r, 0) AS n_r, coalesce(n_s, 0) AS n_s FROM e LEFT JOIN c USING (drug, feature)""")
+def _(words, labels, part):
+    own = lambda drug, n: words.where(F.length("feature") == n).select(F.lit(drug).alias("drug"), "feature")
+    listed = part.select(F.lit("toxic").alias("drug"), F.col("p_name").alias("feature")).union(own("toxic", 5)).union(own("quality", 4))
+    return fe.contingency(words, labels, listed)
+
+
 @query("frequency_band", "b_words", f"SELECT sample_id, feature FROM b_words WHERE feature IN {_BAND}")
 def _(words):
     return fe.frequency_band(words, 20).select("sample_id", "feature")
@@ -76,11 +88,6 @@ def _(calls, feat):
     return fe.extended(_local(calls, feat))
 
 
-@query("broken_only", "b_calls b_feat", f"WITH {_LOCAL} SELECT DISTINCT sample_id, gene FROM c WHERE vtype <> 'snp'")
-def _(calls, feat):
-    return _local(calls, feat).where("vtype <> 'snp'").select("sample_id", "gene").distinct()
-
-
 @query("changed_vocabulary", "b_calls b_feat", f"WITH {_LOCAL} SELECT DISTINCT gene, pos FROM c WHERE vtype = 'snp'")
 def _(calls, feat):
     return _local(calls, feat).where("vtype = 'snp'").select("gene", "pos").distinct()
@@ -141,11 +148,23 @@ def _presence(rows, calls):
     return co.wide_rows(rows.select("feature", "sample_id").distinct().withColumn("value", F.lit("1")), samples, rows, "feature", "sample_id")
 
 
-@query("genotype_matrix", "b_calls b_feat", f"WITH {_TAGS}, k AS (SELECT * FROM b WHERE feature IN (SELECT feature FROM b GROUP BY feature HAVING count(*) > 3)), {_WIDE} SELECT feature, block, line FROM wide")
+@query("genotype_matrix", "b_calls b_feat", f"WITH {_TAGS}, k AS (SELECT * FROM b WHERE feature IN (SELECT feature FROM b GROUP BY feature HAVING count(*) > 1 AND count(*) < (SELECT count(DISTINCT sample_id) FROM b) - 1)), {_WIDE} SELECT feature, block, line FROM wide")
 def _(calls, feat):
-    rows = materialise(_tag_features(calls, feat))
-    often = rows.groupBy("feature").agg(F.count(F.lit(1)).alias("n")).where("n > 3")
-    return _presence(rows.join(often, "feature", "left_semi"), calls)
+    return _presence(fe.frequency_band(materialise(_tag_features(calls, feat)), 1), calls)
+
+
+@query("fold_phenotypes", "b_labels", """
+WITH f AS (SELECT drug, sample_id, pheno, (row_number() OVER (PARTITION BY drug ORDER BY md5(concat('bimbam|', CAST(sample_id AS VARCHAR))), sample_id) - 1) % 5 AS own FROM b_labels)
+SELECT drug, sample_id, CAST(fold AS INT) AS fold, CASE WHEN fold = own OR pheno IS NULL THEN 'NA' ELSE CAST(pheno AS VARCHAR) END AS value FROM f CROSS JOIN range(5) t(fold)""")
+def _(labels):
+    return ph.fold_phenotypes(ph.folds(labels, ["drug"], "sample_id", "bimbam", 5), 5)
+
+
+@query("stratified_split", "b_labels", """
+SELECT drug, sample_id, pheno, CASE WHEN (row_number() OVER (PARTITION BY drug, pheno ORDER BY md5(concat('strata|', CAST(sample_id AS VARCHAR))), sample_id) - 1) % 4 = 0 THEN 'test' ELSE 'train' END AS part FROM b_labels""")
+def _(labels):
+    rows = ph.folds(labels, ["drug", "pheno"], "sample_id", "strata", 4)
+    return rows.select("drug", "sample_id", "pheno", F.when(F.col("fold") == 0, "test").otherwise("train").alias("part"))
 
 
 @query("presence_table", "b_calls", f"WITH k AS (SELECT DISTINCT sample_id, vtype || '_' || pos AS feature FROM b_calls WHERE vtype <> 'snp'), {_WIDE} SELECT feature, block, line FROM wide")

@@ -115,6 +115,16 @@ def _(customer, nation):
     return named.where(~F.contains(F.col("n_name"), F.lit("AN"))).select("c_custkey", "n_name")
 
 
+@query("organism_lookup", "orders customer supplier", """
+WITH i AS (SELECT DISTINCT CASE WHEN o_orderkey % 2 = 0 THEN concat('SAM', CAST(o_custkey AS VARCHAR)) ELSE concat('ERR', CAST(o_custkey % 150 AS VARCHAR)) END AS id FROM orders)
+SELECT id, CASE WHEN id LIKE 'SAM%' THEN (SELECT min(c_mktsegment) FROM customer WHERE concat('SAM', CAST(c_custkey AS VARCHAR)) = id) ELSE (SELECT min(concat('org', CAST(s_nationkey AS VARCHAR))) FROM supplier WHERE concat('ERR', CAST(s_suppkey AS VARCHAR)) = id) END AS organism FROM i""")
+def _(orders, customer, supplier):
+    named = lambda p, c: F.concat(F.lit(p), c.cast("string")).alias("id")
+    ids = orders.select(F.when(F.col("o_orderkey") % 2 == 0, named("SAM", F.col("o_custkey"))).otherwise(named("ERR", F.col("o_custkey") % 150)).alias("id"))
+    runs = supplier.select(named("ERR", F.col("s_suppkey")), F.concat(F.lit("org"), F.col("s_nationkey").cast("string")).alias("organism"))
+    return ph.organism_of(ids, runs, customer.select(named("SAM", F.col("c_custkey")), F.col("c_mktsegment").alias("organism")))
+
+
 @query("cluster_best", "b_words b_labels", """
 WITH s AS (SELECT sample_id, string_agg(feature, chr(10) ORDER BY feature) AS m FROM b_words GROUP BY sample_id), c AS (SELECT sample_id, min(sample_id) OVER (PARTITION BY m) AS cluster, count(*) OVER (PARTITION BY m) AS n FROM s),
 r AS (SELECT drug, count(*) AS n FROM b_labels GROUP BY drug), k AS (SELECT sample_id, min(n) AS rarest, count(*) AS labels FROM b_labels JOIN r USING (drug) GROUP BY sample_id),

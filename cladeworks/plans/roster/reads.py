@@ -30,6 +30,11 @@ def _(orders, ref):
     return gn.reads_to_events(reads, chunks)
 
 
+@query("reads_in_intervals", "b_reads b_feat", "SELECT qname, mate, start_pos, end_pos FROM b_reads r WHERE EXISTS (SELECT 1 FROM b_feat f WHERE ftype = 'rRNA' AND r.start_pos <= f.end_pos AND f.start_pos <= r.end_pos)")
+def _(reads, feat):
+    return rd.overlapping(reads.select("qname", "mate", "start_pos", "end_pos"), feat.where("ftype = 'rRNA'").select(F.col("start_pos").alias("x_start"), F.col("end_pos").alias("x_end")))
+
+
 _VARIANT_PAIRS = """v AS (SELECT DISTINCT sample_id, pos, alt, vtype FROM b_calls), h AS (SELECT v.*, qname, is_proper FROM v JOIN b_reads r ON r.sample_id = v.sample_id AND v.pos BETWEEN r.start_pos AND r.end_pos),
  i AS (SELECT a.sample_id, a.qname, greatest(a.end_pos, b.end_pos) - least(a.start_pos, b.start_pos) + 1 AS insert FROM b_reads a JOIN b_reads b ON a.sample_id = b.sample_id AND a.qname = b.qname AND a.mate = 0 AND b.mate = 1 WHERE a.is_proper AND b.is_proper),
  w AS (SELECT DISTINCT h.sample_id, pos, alt, vtype, h.qname, insert FROM h JOIN i ON i.sample_id = h.sample_id AND i.qname = h.qname WHERE is_proper), u AS (SELECT sample_id, avg(insert) AS mean, stddev_pop(insert) AS std FROM w GROUP BY sample_id),

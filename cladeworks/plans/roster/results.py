@@ -47,12 +47,13 @@ def _(customer, supplier):
 
 
 @query("known_lookup", "b_calls b_feat b_drug_gene", """
-WITH l AS (SELECT pos, arg_max(name, start_pos) AS gene FROM (SELECT DISTINCT pos FROM b_calls) JOIN b_feat ON pos BETWEEN start_pos AND end_pos GROUP BY pos), k AS (SELECT gene, min(drug) AS drug FROM b_drug_gene GROUP BY gene)
-SELECT pos, l.gene, coalesce(drug, 'miss') AS label FROM l LEFT JOIN k USING (gene)""")
+WITH l AS (SELECT pos, arg_max(name, start_pos) AS gene FROM (SELECT DISTINCT pos FROM b_calls) JOIN b_feat ON pos BETWEEN start_pos AND end_pos GROUP BY pos),
+k AS (SELECT concat(gene, ':', CAST(p AS VARCHAR)) AS key, min(drug) AS drug FROM (SELECT *, unnest(range(locus * 10 + 1, locus * 10 + 9)) AS p FROM b_drug_gene) GROUP BY ALL), g AS (SELECT gene AS key, min(drug) AS drug FROM b_drug_gene WHERE drug <> 'EMB' GROUP BY gene)
+SELECT v.pos, l.gene, v.indel, coalesce(CASE WHEN v.indel THEN g.drug ELSE k.drug END, 'miss') AS label FROM (SELECT DISTINCT pos, vtype <> 'snp' AS indel FROM b_calls) v JOIN l ON l.pos = v.pos LEFT JOIN k ON k.key = concat(l.gene, ':', CAST(v.pos AS VARCHAR)) LEFT JOIN g ON g.key = l.gene""")
 def _(calls, feat, genes):
     at = iv.last_feature(calls, feat).select("pos", F.col("name").alias("gene"))
-    known = genes.groupBy("gene").agg(F.min("drug").alias("drug"))
-    return at.join(known, "gene", "left").select("pos", "gene", F.coalesce("drug", F.lit("miss")).alias("label"))
+    sites = genes.select("gene", F.explode(F.sequence(F.col("locus") * 10 + 1, F.col("locus") * 10 + 8)).alias("pos"), F.col("drug").alias("label"))
+    return gr.known_labels(calls.select("pos", (F.col("vtype") != "snp").alias("indel")).distinct().join(at, "pos"), sites, genes.where("drug <> 'EMB'").select("gene", F.col("drug").alias("label")))
 
 
 @query("gene_annotation", "b_feat b_drug_gene", """

@@ -264,6 +264,19 @@ def _(bases):
     return tr.column_entropy(bases)
 
 
+@query("entropy_by_kind", "b_bases b_tree", f"""
+WITH {_TIPS}, k AS (SELECT child AS node, CASE WHEN child IN (SELECT node FROM tips) THEN 'measured' ELSE 'reconstructed' END AS kind FROM b_tree), n AS (SELECT kind, pos, base, count(*) AS n, sum(count(*)) OVER (PARTITION BY kind, pos) AS t FROM b_bases JOIN k USING (node) GROUP BY kind, pos, base),
+e AS (SELECT kind, pos, -sum(n / t * ln(n / t)) AS e FROM n GROUP BY kind, pos) SELECT kind, count(*) AS n_pos, round(avg(e), 6) AS entropy FROM e GROUP BY kind""")
+def _(bases, edges):
+    return tr.entropy_by_kind(bases, edges)
+
+
+@query("reconstruction_discordance", "b_state b_drug_state", """
+SELECT a.state AS first, b.state AS second, count(*) AS n FROM b_state a FULL JOIN (SELECT * FROM b_drug_state WHERE drug = 'PZA') b ON a.node = b.node GROUP BY a.state, b.state""")
+def _(states, others):
+    return tr.discordance(states, others.where("drug = 'PZA'"))
+
+
 @query("distance_to_root", "b_bases b_tree", "SELECT b.node, count(*) FILTER (b.base <> r.base) AS n_diff FROM b_bases b JOIN b_bases r USING (pos) WHERE r.node IN (SELECT child FROM b_tree WHERE parent IS NULL) GROUP BY b.node")
 def _(bases, edges):
     root = bases.join(edges.where("parent is null").select(F.col("child").alias("node")), "node", "left_semi").select("pos", F.col("base").alias("root"))

@@ -31,6 +31,11 @@ def write_fasta(rows: DataFrame, path: str) -> None:
     rows.select(F.concat(F.lit(">"), F.col("name").cast("string"), F.lit("\n"), "seq").alias("value")).write.mode("overwrite").text(path)
 
 
+def write_depth(depth: DataFrame, path: str) -> None:
+    """The depths of each sample alone, one a line in the order of their positions, in a folder per sample."""
+    depth.repartition("sample_id").sortWithinPartitions("sample_id", "pos").select("sample_id", F.col("depth").cast("string").alias("value")).write.mode("overwrite").partitionBy("sample_id").text(path)
+
+
 def write_alignment(lines: DataFrame, path: str, row: str = "sample_id") -> None:
     """``(row, block, line)`` as FASTA in part files that follow each other: the lines of a record are its stretches, in order."""
     head = F.when(F.col("block") == 0, F.concat(F.lit(">"), F.col(row).cast("string"), F.lit("\n"))).otherwise("")

@@ -72,9 +72,13 @@ def gff(spark: SparkSession, path: str, upstream: int = 100, whole_codons: bool
     return genes.unionByName(rnas).unionByName(before.select(columns))
 
 
-def variants(spark: SparkSession, path: str, keys: DataFrame | None = None) -> DataFrame:
-    """``(sample_id, pos, alt, vtype)`` of per-sample files ``<sample>.variants``; ``keys`` keeps listed (pos, alt, vtype) only."""
+def variants(spark: SparkSession, path: str, keys: DataFrame | None = None, drop_last: bool = False) -> DataFrame:
+    """``(sample_id, pos, alt, vtype)`` of per-sample files ``<sample>.variants``; ``keys`` keeps listed (pos, alt, vtype) only.
+
+    With ``drop_last`` the last field of a line is left out, the type too where it is the last.
+    """
     f = F.split("line", "\t")
+    f = F.slice(f, 1, F.size(f) - 1) if drop_last else f
     rows = _lines(spark, path, r"\.variants").select(F.col("source").alias("sample_id"), F.get(f, 0).try_cast("int").alias("pos"), F.get(f, 1).alias("alt"), F.get(f, 2).alias("vtype")).where("pos is not null")
     return rows if keys is None else rows.join(keys, ["pos", "alt", "vtype"], "left_semi").select("sample_id", "pos", "alt", "vtype")
 
@@ -198,6 +202,15 @@ def depth(spark: SparkSession, path: str) -> DataFrame:
     return _lines(spark, path, r"\.depth").select(F.col("source").alias("sample_id"), F.get(f, 1).try_cast("int").alias("pos"), F.get(f, 2).try_cast("int").alias("depth"))
 
 
+def shrunk_depth(spark: SparkSession, path: str, names: DataFrame | None = None) -> DataFrame:
+    """``depth`` as ``(sample_id, pos, depth)`` under other names, from ``names (sample_id, name)``: samples without one keep theirs."""
+    rows = depth(spark, path)
+    if names is None:
+        return rows
+    other = names.groupBy("sample_id").agg(F.min("name").alias("name"))
+    return rows.join(other, "sample_id", "left").select(F.coalesce("name", "sample_id").alias("sample_id"), "pos", "depth")
+
+
 def coverage_intervals(spark: SparkSession, path: str) -> DataFrame:
     """``(sample_id, start_pos, end_pos)`` of files ``<sample>.coverage``: rows of two whole numbers; header lines have other shapes."""
     f = F.split("line", "\t")

@@ -188,3 +188,19 @@ def test_fdr_cut_is_capped_and_leaves_markers_out(spark):
     markers = spark.createDataFrame([(6,), (1,)], "pos int")
     assert rows(graph.cut_sites(sites, cuts, markers)) == [("x", 2, 0.05), ("z", 5, 0.02)]
     assert rows(graph.zero_sites(sites)) == [("x", 1, 0.0), ("y", 4, 0.0)] and rows(graph.zero_sites(sites, markers)) == [("y", 4, 0.0)]
+
+
+def test_last_field_left_out_and_shrunk_depth(spark, put, tmp_path):
+    path = put("s1.variants", "5\tA\tsnp\tx", "7\t-\tdel\ty")
+    assert rows(text.variants(spark, path, drop_last=True)) == [("s1", 5, "A", "snp"), ("s1", 7, "-", "del")]
+    put("run1.depth", "c\t1\t10", "c\t2\t0")
+    depth = text.shrunk_depth(spark, put("run2.depth", "c\t1\t7").replace("run2", "*"), spark.createDataFrame([("run1", "S9")], "sample_id string, name string"))
+    assert rows(depth) == [("S9", 1, 10), ("S9", 2, 0), ("run2", 1, 7)]
+    sinks.write_depth(depth, f"{tmp_path}/d")
+    assert "".join(f.read_text() for f in sorted(Path(f"{tmp_path}/d/sample_id=S9").glob("part-*"))) == "10\n0\n"
+
+
+def test_organisms_by_the_kind_of_id(spark):
+    frame = lambda rows: spark.createDataFrame(rows, "id string, organism string")
+    ids = spark.createDataFrame([("SAM1",), ("ERR1",), ("SAM2",), ("ERR1",)], "id string")
+    assert rows(phenotype.organism_of(ids, frame([("ERR1", "b"), ("ERR1", "a"), ("SAM2", "x")]), frame([("SAM1", "c")]))) == [("ERR1", "a"), ("SAM1", "c"), ("SAM2", None)]
