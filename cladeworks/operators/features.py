@@ -99,15 +99,26 @@ def nearest_neighbour(queries: DataFrame, base: DataFrame) -> DataFrame:
     return d.groupBy("sample_id").agg(F.min(F.struct("distance", "neighbour")).alias("m")).select("sample_id", "m.neighbour", "m.distance")
 
 
-def dictionary_coverage(entries: DataFrame, observed: DataFrame) -> DataFrame:
-    """``(drug, feature, gene, hit, n)``: each entry as seen at its point, in its gene, or missing, with its sample count."""
+def dictionary_coverage(entries: DataFrame, observed: DataFrame, broken: DataFrame | None = None) -> DataFrame:
+    """``(drug, feature, gene, hit, n)``: each entry as seen at its point, in a gene that some sample has ``broken (sample_id, gene)``, in a changed gene, or missing; n samples have the entry itself."""
     point = observed.groupBy("feature").agg(F.countDistinct("sample_id").alias("n"))
     gene = observed.select("gene").distinct().withColumn("in_gene", F.lit(1))
-    rows = entries.join(point, "feature", "left").join(gene, "gene", "left")
-    hit = F.when(F.col("n").isNotNull(), "point").when(F.col("in_gene") == 1, "changed").otherwise("missing")
+    lost = (broken if broken is not None else observed.limit(0)).select("gene").distinct().withColumn("lost", F.lit(1))
+    rows = entries.join(point, "feature", "left").join(gene, "gene", "left").join(lost, "gene", "left")
+    hit = F.when(F.col("n").isNotNull(), "point").when(F.col("lost") == 1, "broken").when(F.col("in_gene") == 1, "changed").otherwise("missing")
     return rows.select("drug", "feature", "gene", hit.alias("hit"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def dictionary_totals(entries: DataFrame, observed: DataFrame) -> DataFrame:
+    """``(drug, n_entries, n_present, n_left)``: entries of a drug, those that some sample has, and observed features of its genes that it does not list."""
+    seen = observed.select("feature", "gene").where("feature is not null").distinct()
+    listed = entries.select("drug", "feature", "gene").distinct()
+    present = listed.join(seen.select("feature").distinct(), "feature", "left_semi").groupBy("drug").agg(F.count(F.lit(1)).alias("n_present"))
+    left = listed.select("drug", "gene").distinct().join(seen, "gene").join(listed.select("drug", "feature"), ["drug", "feature"], "left_anti").groupBy("drug").agg(F.countDistinct("feature").alias("n_left"))
+    n = listed.groupBy("drug").agg(F.count(F.lit(1)).alias("n_entries"))
+    return n.join(present, "drug", "left").join(left, "drug", "left").select("drug", "n_entries", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_present", "n_left")])
+
+
 def membership_groups(rows: DataFrame) -> DataFrame:
     """``(feature, leader, n)``: features that exactly the same samples have share a leader (the smallest of them)."""
     sets = rows.select("sample_id", "feature").distinct().groupBy("feature").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.col("sample_id"))), ","), 256).alias("_set"))

@@ -121,14 +121,31 @@ def _(calls, feat):
     return fe.nearest_neighbour(rows, rows)
 
 
+_ENTRIES = "o AS (SELECT sample_id, gene, gene || ':' || pos AS feature FROM c WHERE vtype = 'snp'), e AS (SELECT drug, gene || ':' || p AS feature, gene FROM (SELECT *, unnest([locus * 10 + 3, locus * 10 + 4]) AS p FROM b_drug_gene))"
+
+
+def _entries(calls, feat, genes):
+    """Dictionary entries at two positions of each gene, what is observed, and genes with an insertion or deletion."""
+    rows = materialise(_local(calls, feat))
+    named = lambda c: F.concat_ws(":", "gene", c.cast("string")).alias("feature")
+    at = genes.select("drug", "gene", F.explode(F.array(F.col("locus") * 10 + 3, F.col("locus") * 10 + 4)).alias("p"))
+    return at.select("drug", named(F.col("p")), "gene"), rows.where("vtype = 'snp'").select("sample_id", named(F.col("pos")), "gene"), rows.where("vtype <> 'snp'").select("sample_id", "gene")
+
+
 @query("dictionary_coverage", "b_calls b_feat b_drug_gene", f"""
-WITH {_LOCAL}, o AS (SELECT sample_id, gene, gene || ':snp' AS feature FROM c WHERE vtype = 'snp'), e AS (SELECT drug, gene || ':snp' AS feature, gene FROM b_drug_gene), p AS (SELECT feature, count(DISTINCT sample_id) n FROM o GROUP BY feature)
-SELECT drug, feature, gene, CASE WHEN n IS NOT NULL THEN 'point' WHEN gene IN (SELECT gene FROM c) THEN 'changed' ELSE 'missing' END AS hit, coalesce(n, 0) AS n FROM e LEFT JOIN p USING (feature)""")
+WITH {_LOCAL}, {_ENTRIES}, p AS (SELECT feature, count(DISTINCT sample_id) n FROM o GROUP BY feature)
+SELECT drug, feature, gene, CASE WHEN n IS NOT NULL THEN 'point' WHEN gene IN (SELECT gene FROM c WHERE vtype <> 'snp') THEN 'broken' WHEN gene IN (SELECT gene FROM o) THEN 'changed' ELSE 'missing' END AS hit, coalesce(n, 0) AS n FROM e LEFT JOIN p USING (feature)""")
+def _(calls, feat, genes):
+    return fe.dictionary_coverage(*_entries(calls, feat, genes))
+
+
+@query("dictionary_totals", "b_calls b_feat b_drug_gene", f"""
+WITH {_LOCAL}, {_ENTRIES}, s AS (SELECT DISTINCT feature, gene FROM o)
+SELECT drug, count(DISTINCT feature) AS n_entries, count(DISTINCT feature) FILTER (feature IN (SELECT feature FROM s)) AS n_present,
+ (SELECT count(DISTINCT s.feature) FROM s WHERE s.gene IN (SELECT gene FROM e x WHERE x.drug = e.drug) AND s.feature NOT IN (SELECT feature FROM e x WHERE x.drug = e.drug)) AS n_left FROM e GROUP BY drug""")
 def _(calls, feat, genes):
-    rows = _local(calls, feat)
-    entries = genes.select("drug", F.concat("gene", F.lit(":snp")).alias("feature"), "gene")
-    observed = rows.select("sample_id", "gene", F.when(F.col("vtype") == "snp", F.concat("gene", F.lit(":snp"))).alias("feature"))
-    return fe.dictionary_coverage(entries, observed)
+    entries, observed, _ = _entries(calls, feat, genes)
+    return fe.dictionary_totals(entries, observed)
 
 
 @query("membership_groups", "b_words", """

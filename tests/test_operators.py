@@ -258,3 +258,13 @@ def test_gene_repair_on_both_strands(spark):
     frame = spark.createDataFrame(genes, "name string, start_pos long, end_pos long, strand int")
     got = {r["name"]: (r["fixed_start"], r["fixed_end"]) for r in consequence.repaired_genes(frame, consequence.reference_chunks(spark.createDataFrame([(ref,)], "seq string"))).collect()}
     assert got == {"long": (2, 10), "short": (2, 10), "none": (2, 10), "back_long": (n - 10, n - 2), "back_short": (n - 10, n - 2)}
+
+
+def test_dictionary_coverage_and_totals(spark):
+    entries = spark.createDataFrame([("x", "a:1", "a"), ("x", "a:2", "a"), ("x", "b:1", "b"), ("x", "c:1", "c"), ("x", "d:1", "d"), ("y", "d:9", "d")], "drug string, feature string, gene string")
+    observed = spark.createDataFrame([(1, "a:1", "a"), (2, "a:1", "a"), (2, "a:7", "a"), (1, "c:5", "c"), (3, None, "q")], "sample_id int, feature string, gene string")
+    broken = spark.createDataFrame([(1, "b"), (1, "a")], "sample_id int, gene string")
+    got = {(r["drug"], r["feature"]): (r["hit"], r["n"]) for r in features.dictionary_coverage(entries, observed, broken).collect()}
+    assert got == {("x", "a:1"): ("point", 2), ("x", "a:2"): ("broken", 0), ("x", "b:1"): ("broken", 0), ("x", "c:1"): ("changed", 0), ("x", "d:1"): ("missing", 0), ("y", "d:9"): ("missing", 0)}
+    assert {r["hit"] for r in features.dictionary_coverage(entries, observed).collect()} == {"point", "changed", "missing"}
+    assert sorted(map(tuple, features.dictionary_totals(entries, observed).collect())) == [("x", 5, 1, 2), ("y", 1, 0, 0)]
