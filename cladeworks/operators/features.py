@@ -30,6 +30,17 @@ def pairs(features: DataFrame) -> DataFrame:
     return a.join(b, "sample_id").where("a < b")
 
 
+def joint_features(features: DataFrame, least: int) -> DataFrame:
+    """``(sample_id, feature)``: the features of each sample, and as ``a&b`` the pairs that more than ``least`` samples have.
+
+    Only features that so many samples have are paired.
+    """
+    often = features.join(features.groupBy("feature").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > least), "feature", "left_semi")
+    both = pairs(often)
+    kept = both.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > least).select("a", "b")
+    return features.select("sample_id", "feature").union(both.join(kept, ["a", "b"], "left_semi").select("sample_id", F.concat_ws("&", "a", "b")))
+
+
 def screen_pairs(features: DataFrame, pheno: DataFrame, low: int, exclusive: int, similar: float) -> DataFrame:
     """Feature pairs worth adding, with counts: enough joint samples, enough exclusive ones, not too alike, and informative together.
 
@@ -39,7 +50,9 @@ def screen_pairs(features: DataFrame, pheno: DataFrame, low: int, exclusive: int
     single = own.groupBy("feature").agg(F.count(F.lit(1)).alias("n"), F.sum("pheno").alias("r"))
     total = pheno.agg(F.count(F.lit(1)).alias("n"))
     labels = own.select("sample_id", "pheno").distinct()
-    joint = pairs(own.select("sample_id", "feature")).join(labels, "sample_id").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n_ab"), F.sum("pheno").alias("r_ab"))
+    # Both features of a pair that stays have more than low + exclusive samples.
+    often = own.select("sample_id", "feature").join(single.where(F.col("n") > low + exclusive), "feature", "left_semi").select("sample_id", "feature")
+    joint = pairs(often).join(labels, "sample_id").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n_ab"), F.sum("pheno").alias("r_ab"))
     joint = joint.join(single.select(F.col("feature").alias("a"), F.col("n").alias("n_a"), F.col("r").alias("r_a")), "a").join(single.select(F.col("feature").alias("b"), F.col("n").alias("n_b"), F.col("r").alias("r_b")), "b")
     keep = (F.col("n_ab") > low) & (F.col("n_ab") < total.scalar() - low) & (F.col("n_a") - F.col("n_ab") > exclusive) & (F.col("n_b") - F.col("n_ab") > exclusive)
     keep = keep & (F.col("n_ab") < similar * (F.col("n_a") + F.col("n_b") - F.col("n_ab"))) & (F.col("r_ab") * F.col("n_a") * F.col("n_b") != F.col("r_a") * F.col("r_b") * F.col("n_ab"))

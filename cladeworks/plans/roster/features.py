@@ -67,10 +67,7 @@ def _(calls, feat, pheno):
 WITH {_TAGS}, k AS (SELECT x.feature a, y.feature c FROM b x JOIN b y ON x.sample_id = y.sample_id AND x.feature < y.feature GROUP BY ALL HAVING count(*) > 75)
 SELECT sample_id, feature FROM b UNION ALL SELECT x.sample_id, x.feature || '&' || y.feature FROM b x JOIN b y ON x.sample_id = y.sample_id JOIN k ON k.a = x.feature AND k.c = y.feature""")
 def _(calls, feat):
-    rows = _tag_features(calls, feat)
-    both = fe.pairs(rows)
-    kept = both.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where("n > 75").select("a", "b")
-    return rows.union(both.join(kept, ["a", "b"], "left_semi").select("sample_id", F.concat_ws("&", "a", "b")))
+    return fe.joint_features(materialise(_tag_features(calls, feat)), 75)
 
 
 _LOCAL = "l AS (SELECT pos, arg_max(name, start_pos) AS gene FROM (SELECT DISTINCT pos FROM b_calls) JOIN b_feat ON pos BETWEEN start_pos AND end_pos GROUP BY pos), c AS (SELECT DISTINCT sample_id, gene, pos, vtype FROM b_calls JOIN l USING (pos))"
