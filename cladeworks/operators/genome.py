@@ -82,7 +82,8 @@ def with_bases(df: DataFrame, pos: Column, size: Column, chunks: Chunks, name: s
     found = F.substring("_bases", (F.col("_at") - F.col("_chunk") * chunks.width).cast("int"), size.cast("int"))
     rows = materialise(rows)  # read twice: for the chunks to look up, and to look up in them
     joined = rows.join(chunks.asked(rows), "_chunk").withColumn(name, found)
-    return joined.where(F.length(name) >= (size if least is None else least)).drop("_at", "_chunk", "_bases")
+    # Written, so that whatever is made of the bases cuts them out of their chunk once.
+    return materialise(joined.drop("_at", "_chunk", "_bases")).where(F.length(name) >= (size if least is None else least))
 
 
 _STEPS = """aggregate(arrays_zip(n, op), named_struct('r', start_pos, 'q', 1, 'out', cast(array() as array<struct<r:bigint,q:int,n:int,op:string>>)),
