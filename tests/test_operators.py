@@ -268,3 +268,14 @@ def test_dictionary_coverage_and_totals(spark):
     assert got == {("x", "a:1"): ("point", 2), ("x", "a:2"): ("broken", 0), ("x", "b:1"): ("broken", 0), ("x", "c:1"): ("changed", 0), ("x", "d:1"): ("missing", 0), ("y", "d:9"): ("missing", 0)}
     assert {r["hit"] for r in features.dictionary_coverage(entries, observed).collect()} == {"point", "changed", "missing"}
     assert sorted(map(tuple, features.dictionary_totals(entries, observed).collect())) == [("x", 5, 1, 2), ("y", 1, 0, 0)]
+
+
+def test_site_coverage_has_every_sample_and_site(spark):
+    rng = random.Random(6)
+    rows = {(s * 7, p): rng.randrange(20) for s in range(150) for p in range(12) if rng.random() < 0.3} | {(0, 99): 5}
+    depth = spark.createDataFrame([(*k, d) for k, d in rows.items()], "sample_id long, pos long, depth long")
+    sites = spark.createDataFrame([(p,) for p in [*range(10), 3, 50]], "pos long")
+    got = quality.site_coverage(depth, sites, 10).collect()
+    want = sorted((s, p, int(rows.get((s, p), 0) >= 10)) for s in {s for s, _ in rows} for p in [*range(10), 50])
+    assert sorted((r["sample_id"], r["pos"], r["covered"]) for r in got) == want
+    assert quality.site_coverage(depth.where("false"), sites, 10).count() == 0
