@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from cladeworks.llm import neardup
 from cladeworks.llm.common import fresh, slices
+from cladeworks.llm.linededup import REF
 from cladeworks.plans.components import connected_components
 from cladeworks.plans.lineage import materialise
 
@@ -61,12 +62,14 @@ def shingle_hashes(text: str | None, words_per_shingle: int) -> list[int]:
 
 def fingerprint(text: str | None, words_per_shingle: int) -> int:
     """SimHash of the word shingles of a text; 0 if it has no words."""
-    hashes = shingle_hashes(text, words_per_shingle)
-    if not hashes:
-        return 0
+    return _votes(np.array(shingle_hashes(text, words_per_shingle), np.uint64))
+
+
+def _votes(hashes: np.ndarray) -> int:
+    """The bits that over half of the hashes have; 0 if there are none."""
     ones = np.zeros(BITS, np.int64)
     for at in range(0, len(hashes), 1 << 16):
-        part = np.array(hashes[at : at + (1 << 16)], dtype="<u8").view(np.uint8).reshape(-1, 8)
+        part = hashes[at : at + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8)
         ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
@@ -121,27 +124,54 @@ def simhash_groups(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", te
     columns are ignored.
     """
     fps = materialise(fingerprints(docs, shingle, id_col, text_col))
-    distinct = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    classes = _classes(materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("least"))))
+    return fps.join(classes, "fp").select("doc_id", "fp", F.col("first").alias("component_id"))
+
+
+def _classes(distinct: DataFrame) -> DataFrame:
+    """``(fp, least, first)`` for ``distinct (fp, least)``, one row per fingerprint: first is the smallest ``least`` of those that are reachable."""
     nodes = connected_components(links(distinct.select("fp")))
     named = nodes.join(distinct, nodes["node"] == distinct["fp"]).select("fp", "root", "least")
     least = named.groupBy("root").agg(F.min("least").alias("component"))
     moved = named.join(least, "root").select("fp", "component")
-    classes = distinct.join(moved, "fp", "left").select("fp", F.coalesce("component", "least").alias("component_id"))
-    return fps.join(classes, "fp").select("doc_id", "fp", "component_id")
+    return distinct.join(moved, "fp", "left").select("fp", "least", F.coalesce("component", "least").alias("first"))
+
+
+def _group_pairs(firsts: DataFrame) -> DataFrame:
+    """``(b_*, a_*)``: each set with the earliest one of its fingerprint and the earliest one of its SimHash group, where these are others.
+
+    ``firsts`` is ``(*REF, n, even, fp)``, one row per distinct set.
+    """
+    row = (*REF, "n", "even")
+    classes = _classes(materialise(firsts.groupBy("fp").agg(F.min(F.struct(*row)).alias("least"))))
+    earlier = classes.select("fp", F.explode(F.array_distinct(F.array("least", "first"))).alias("a"))
+    pairs = firsts.join(earlier, "fp").select(*[F.col(c).alias(f"b_{c}") for c in row], *[F.col(f"a.{c}").alias(f"a_{c}") for c in row])
+    return pairs.where(F.struct(*[f"a_{c}" for c in REF]) < F.struct(*[f"b_{c}" for c in REF]))
 
 
 def keep_one_per_group(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that resemble no row with a smaller id; columns unchanged.
 
     Rows resemble each other if the sets of their shingles have a Jaccard
-    similarity of 0.8 or more (``neardup``, on the shingles that fingerprints
-    are made of; fingerprints reach only far nearer texts). Rows that share an
+    similarity of 0.8 or more. Each row is first compared with the earliest
+    ones of its fingerprint and of its SimHash group; what that doesn't
+    explain, as fingerprints within the radius reach only nearer texts, is
+    compared exactly with all earlier rows (``neardup``). Rows that share an
     id but not the text are judged apart; of rows with equal id and text one
     stays. Rows with a null id cannot be named by a decision and stay.
     """
     key = [fresh(docs, "_doc_id"), fresh(docs, "_tag")]
     keyed = docs.where(F.col(id_col).isNotNull()).withColumns({key[0]: F.col(id_col).cast("long"), key[1]: F.xxhash64(F.col(text_col).cast("string"))})
+    keyed = _once(keyed, key)
     rows = keyed.select(F.col(key[0]).alias("doc_id"), F.col(key[1]).alias("tag"), F.col(text_col).cast("string").alias("text"))
-    gone = neardup.resembling_earlier(rows, lambda text: np.array(shingle_hashes(text, shingle), np.uint64))
-    kept = keyed.join(gone.toDF(*key), key, "left_anti").dropDuplicates(key).select(docs.columns)
+    gone = neardup.resembling_earlier(rows, lambda text: np.array(shingle_hashes(text, shingle), np.uint64), lambda hashes: _signed(_votes(hashes)), _group_pairs)
+    kept = keyed.join(gone.toDF(*key), key, "left_anti").select(docs.columns)
     return kept.unionByName(docs.where(F.col(id_col).isNull()))
+
+
+def _once(keyed: DataFrame, key: list[str]) -> DataFrame:
+    """One row of those with an equal key; only repeated ones are shuffled, so that other texts stay where they are."""
+    again = materialise(keyed.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*key))
+    if again.isEmpty():
+        return keyed
+    return keyed.join(again, key, "left_anti").unionByName(keyed.join(again, key, "left_semi").dropDuplicates(key).select(keyed.columns))

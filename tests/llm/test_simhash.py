@@ -136,3 +136,19 @@ def test_clashing_ids_with_different_texts_are_judged_apart(spark):
     rows = [(1, "a b c d e f", "f", 1), (1, "q r s t u v", "f", 1), (2, "q r s t u v", "f", 1), (3, "k l m n o p", "f", 1)]
     kept = simhash.keep_one_per_group(spark.createDataFrame(rows, SCHEMA)).collect()
     assert sorted((r["doc_id"], r["text"][0]) for r in kept) == [(1, "a"), (1, "q"), (3, "k")]
+
+
+def test_simhash_groups_are_compared_before_the_exact_join(spark, monkeypatch):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    base, phrase = [word() for _ in range(3000)], [word() for _ in range(7)]
+    texts = [" ".join([*base[:at], word(), *base[at + 1 :]]) for at in rng.sample(range(3000), 12)]
+    texts += [" ".join([*phrase * 60, *[word() for _ in range(12)]]) for _ in range(4)]  # like fingerprints, unlike sets
+    fps = [simhash.fingerprint(t, 5) for t in texts]
+    roots = brute_components(fps)
+    sets = [shingle_set(t) for t in texts]
+    want = {i for i, r in enumerate(roots) for e in {r, fps.index(fps[i])} if e < i and jaccard(sets[i], sets[e]) >= 0.8}
+    assert len(want) > 5 and any(roots[i] != i for i in range(12, 16))
+    monkeypatch.setattr(simhash.neardup.linededup, "alike_earlier", lambda sets, words_of, known: known)
+    frame = spark.createDataFrame([(i, t, "f", 1) for i, t in enumerate(texts)], SCHEMA)
+    assert {r["doc_id"] for r in simhash.keep_one_per_group(frame).collect()} == set(range(len(texts))) - want
