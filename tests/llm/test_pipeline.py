@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 
+import pyarrow as pa
 import sentencepiece
 
 import corpus_pipeline
@@ -67,3 +68,11 @@ def test_stages_keep_the_columns_of_documents(spark, tmp_path):
 def test_no_letters_means_no_language():
     assert not langid._LETTER.search("123 _ ...") and langid._LETTER.search("1 é")
     assert re.fullmatch("[0-9a-f]{16}", f"{simhash.fingerprint('a b c', 3):016x}")
+
+
+def test_long_texts_reach_python_in_small_batches(spark):
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    docs = spark.range(60).coalesce(1).selectExpr("id as doc_id", "repeat('word ', 100000) as text")
+    corpus_pipeline.encode(spark, docs, "")
+    sizes = lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"]) for b in batches)
+    assert 1 << 20 < max(r["n"] for r in docs.mapInArrow(sizes, "n long").collect()) < 6 << 20
