@@ -3,12 +3,15 @@
 import hashlib
 import random
 import re
+import time
 
 import pyarrow as pa
 import sentencepiece
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from cladeworks.llm import langid, pieces, simhash
+from cladeworks.plans.lineage import materialise
 from tests.llm import test_decontaminate, test_linededup, test_simhash
 
 SYLLABLES = {"aa": ["ka", "ro", "mi", "the"], "bb": ["ün", "ich", "sch", "der"]}
@@ -76,3 +79,13 @@ def test_long_texts_reach_python_in_small_batches(spark):
     corpus_pipeline.encode(spark, docs, "")
     sizes = lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"]) for b in batches)
     assert 1 << 20 < max(r["n"] for r in docs.mapInArrow(sizes, "n long").collect()) < 6 << 20
+
+
+def test_written_steps_leave_no_shuffle_files(spark):
+    files = lambda: {f.getName() for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()) if f.getName().startswith("shuffle_")}
+    before = files()
+    kept = materialise(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+    until = time.time() + 20
+    while files() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not files() - before and kept.count() == 7
