@@ -1,9 +1,11 @@
 """The whole pipeline on a small corpus against its stages written plainly."""
 
+import gc
 import hashlib
 import random
 import re
 import time
+import weakref
 
 import pyarrow as pa
 import sentencepiece
@@ -89,3 +91,18 @@ def test_written_steps_leave_no_shuffle_files(spark):
     while files() - before and time.time() < until:
         time.sleep(0.2)
     assert not files() - before and kept.count() == 7
+
+
+def test_written_steps_leave_nothing_of_theirs_in_the_driver(spark):
+    beans = spark._jvm.scala.jdk.javaapi.CollectionConverters.asScala(spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans())
+    collections = lambda: sum(beans.apply(i).getCollectionCount() for i in range(beans.size()))
+    frames = [spark.range(3)]
+    held, before = weakref.ref(frames[0]), collections()
+    frames.append(frames)  # a cycle, which only a collection lets go
+    gc.disable()
+    try:
+        del frames
+        materialise(spark.range(5))
+        assert held() is None and collections() > before
+    finally:
+        gc.enable()
