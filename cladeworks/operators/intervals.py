@@ -65,19 +65,21 @@ def nearest(points: DataFrame, features: DataFrame) -> DataFrame:
     """``(pos, left_name, right_name)``: for each distinct position the last feature that ends before it and the first that starts after it.
 
     Features and positions are put in one order and the nearest values carried
-    along it. The axis is cut into ranges of positions; what crosses a range
-    comes from one summary row per range, so no task holds the whole axis.
+    along it, forwards for the one and backwards for the other: a frame that
+    ends without bound would be gone through anew for every row. The axis is cut
+    into ranges of positions; what crosses a range comes from one summary row
+    per range, so no task holds the whole axis.
     """
     left, right = "struct<end_pos:bigint,start_pos:bigint,name:string>", "struct<start_pos:bigint,end_pos:bigint,name:string>"
     ends = features.select(F.col("end_pos").alias("p"), F.struct("end_pos", "start_pos", "name").cast(left).alias("l"), F.lit(None).cast(right).alias("r"), F.lit(False).alias("asks"))
     starts = features.select(F.col("start_pos").alias("p"), F.lit(None).cast(left).alias("l"), F.struct("start_pos", "end_pos", "name").cast(right).alias("r"), F.lit(False).alias("asks"))
     asks = points.select(F.col("pos").alias("p")).distinct().select("p", F.lit(None).cast(left).alias("l"), F.lit(None).cast(right).alias("r"), F.lit(True).alias("asks"))
     rows = ends.union(starts).union(asks).withColumn("z", _bin(F.col("p"), ZONE))
-    inside = Window.partitionBy("z").orderBy("p")
-    carried = rows.withColumn("near_l", F.max("l").over(inside.rangeBetween(Window.unboundedPreceding, -1))).withColumn("near_r", F.min("r").over(inside.rangeBetween(1, Window.unboundedFollowing)))
+    strictly = lambda order: Window.partitionBy("z").orderBy(order).rangeBetween(Window.unboundedPreceding, -1)
+    carried = rows.withColumn("near_l", F.max("l").over(strictly(F.asc("p")))).withColumn("near_r", F.min("r").over(strictly(F.desc("p"))))
     zones = rows.groupBy("z").agg(F.max("l").alias("l"), F.min("r").alias("r"))
-    order = Window.orderBy("z")  # one row per ZONE positions of the axis
-    zones = zones.select("z", F.max("l").over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("zone_l"), F.min("r").over(order.rowsBetween(1, Window.unboundedFollowing)).alias("zone_r"))
+    beyond = lambda order: Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)  # noqa: E731  (one row per ZONE positions of the axis)
+    zones = zones.select("z", F.max("l").over(beyond(F.asc("z"))).alias("zone_l"), F.min("r").over(beyond(F.desc("z"))).alias("zone_r"))
     out = carried.where("asks").join(zones, "z")
     return out.select(F.col("p").alias("pos"), F.coalesce("near_l.name", "zone_l.name").alias("left_name"), F.coalesce("near_r.name", "zone_r.name").alias("right_name"))
 
