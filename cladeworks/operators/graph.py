@@ -91,9 +91,10 @@ def zero_sites(sites: DataFrame, markers: DataFrame | None = None) -> DataFrame:
 def known_labels(variants: DataFrame, sites: DataFrame, genes: DataFrame) -> DataFrame:
     """``variants (pos, gene, indel)`` with ``label``: what is known of their (gene, pos), of their gene for insertions and deletions, or ``miss``.
 
-    Of several labels the first in order counts.
+    Of several labels the first in order counts. Both tables of labels are merged, never sent to every task: sites are several for each gene,
+    which Spark's guess of their size leaves out.
     """
-    by_site = sites.groupBy("gene", "pos").agg(F.min("label").alias("_s"))
-    by_gene = genes.groupBy("gene").agg(F.min("label").alias("_g"))
+    by_site = sites.groupBy("gene", "pos").agg(F.min("label").alias("_s")).hint("merge")
+    by_gene = genes.groupBy("gene").agg(F.min("label").alias("_g")).hint("merge")
     found = variants.join(by_site, ["gene", "pos"], "left").join(by_gene, "gene", "left")
     return found.select("pos", "gene", "indel", F.coalesce(F.when(F.col("indel"), F.col("_g")).otherwise(F.col("_s")), F.lit("miss")).alias("label"))

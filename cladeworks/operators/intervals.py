@@ -3,6 +3,8 @@
 A ``between`` join would plan as a nested loop. Here an interval is listed
 once for each bin of the axis that it touches, and the join is on the bin with
 the exact condition on top, so both sides shuffle by bin and any size works.
+Spark guesses the size of intervals by that of their file, which listing them by
+bin and growing their names exceeds many times; so these joins say that they merge.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ def points_in_intervals(points: DataFrame, intervals: DataFrame, pos: str = "pos
     """All (point, interval) matches with start <= pos <= end; ``how`` may also be left, left_semi or left_anti."""
     keys = on or []
     p = points.withColumn("_bin", _bin(F.col(pos), width)).alias("_p")
-    i = in_bins(intervals.where(F.col(start) <= F.col(end)), start, end, width).alias("_i")
+    i = in_bins(intervals.where(F.col(start) <= F.col(end)), start, end, width).alias("_i").hint("merge")
     same = F.col("_p._bin") == F.col("_i._bin")
     for k in keys:
         same = same & (F.col(f"_p.{k}") == F.col(f"_i.{k}"))
@@ -49,7 +51,7 @@ def last_feature(points: DataFrame, features: DataFrame, rank: Column | None = N
 def spans_overlap(a: DataFrame, b: DataFrame, a_start: str, a_end: str, b_start: str, b_end: str, on: list[str] | None = None, how: str = "inner", width: int = BIN) -> DataFrame:
     """All pairs of overlapping spans; a pair is emitted in the one bin where the later of the two starts lies."""
     keys = on or []
-    left, right = in_bins(a, a_start, a_end, width).alias("_a"), in_bins(b.where(F.col(b_start) <= F.col(b_end)), b_start, b_end, width).alias("_b")
+    left, right = in_bins(a, a_start, a_end, width).alias("_a"), in_bins(b.where(F.col(b_start) <= F.col(b_end)), b_start, b_end, width).alias("_b").hint("merge")
     same = (F.col("_a._bin") == F.col("_b._bin")) & (F.col(f"_a.{a_start}") <= F.col(f"_b.{b_end}")) & (F.col(f"_b.{b_start}") <= F.col(f"_a.{a_end}"))
     for k in keys:
         same = same & (F.col(f"_a.{k}") == F.col(f"_b.{k}"))

@@ -27,7 +27,7 @@ _C1 = _G + """, s AS (SELECT *, CASE WHEN strand = 1 THEN (pos - start_pos) // 3
 
 def _located(calls, feat):
     at = iv.last_feature(calls, feat).select("pos", F.col("name").alias("gene"), "start_pos")
-    own = feat.select(F.col("name").alias("gene"), "start_pos", "end_pos", "strand", "ftype", "is_pseudogene")
+    own = feat.select(F.col("name").alias("gene"), "start_pos", "end_pos", "strand", "ftype", "is_pseudogene").hint("merge")
     return calls.join(at, "pos").join(own, ["gene", "start_pos"]).select("sample_id", "gene", "start_pos", "end_pos", "strand", "ftype", "is_pseudogene", "pos", "alt", "vtype")
 
 

@@ -2,7 +2,7 @@
 
 import random
 
-from cladeworks.operators import intervals
+from cladeworks.operators import graph, intervals
 
 
 def test_nearest_features_without_a_frame_that_ends_unbounded(spark):
@@ -15,3 +15,17 @@ def test_nearest_features_without_a_frame_that_ends_unbounded(spark):
     assert sorted(map(tuple, near.collect())) == sorted((p, left(p), right(p)) for p in set(points))
     # Spark goes through such a frame anew for every row, so a range of the axis would cost the square of its rows.
     assert "unboundedfollowing" not in near._jdf.queryExecution().toString().lower()
+
+
+def test_known_labels_are_not_sent_to_every_task(spark):
+    rng = random.Random(32)
+    sites = [(f"g{rng.randrange(6)}", rng.randrange(9), rng.choice("xyz")) for _ in range(25)]
+    genes = [(f"g{i}", d) for i in range(4) for d in rng.sample("xyz", 2)]
+    variants = [(p, f"g{g}", i) for p in range(9) for g in range(7) for i in (True, False)]
+    feat = spark.createDataFrame([(f"g{i}", 3 * i, 3 * i + 5) for i in range(6)], "name string, start_pos long, end_pos long")
+    frames = spark.createDataFrame(variants, "pos long, gene string, indel boolean"), spark.createDataFrame(sites, "gene string, pos long, label string"), spark.createDataFrame(genes, "gene string, label string")
+    found = graph.known_labels(*frames)
+    want = {(p, g, i): min([d for n, d in genes if n == g] if i else [d for n, q, d in sites if (n, q) == (g, p)], default="miss") for p, g, i in variants}
+    assert {(r["pos"], r["gene"], r["indel"]): r["label"] for r in found.collect()} == want
+    for df in (found, intervals.points_in_intervals(frames[0], feat), intervals.last_feature(frames[0], feat)):  # tables this small would go by broadcast otherwise
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
