@@ -77,19 +77,34 @@ def decompose(pairs: DataFrame) -> DataFrame:
     return pairs.join(events, (pairs["ref"] == events["_ref"]) & (pairs["alt"] == events["_alt"])).select("key", "off", events["ref"], events["alt"], "vtype")
 
 
-def wide_rows(cells: DataFrame, places: DataFrame, rows: DataFrame, row: str, place: str, width: int = 256) -> DataFrame:
+def wide_rows(cells: DataFrame, places: DataFrame, rows: DataFrame, row: str, place: str, width: int = 256, group: int = 1024) -> DataFrame:
     """``(row, block, line)``: the lines of a wide table in stretches of ``width`` places, for a sink that writes them one behind the other.
 
-    ``places (place, value)`` are all places with what stands there by default, ``cells (row, place, value)`` what differs, ``rows (row)`` the rows.
-    Places are numbered in their order; no list is longer than a stretch.
+    ``places (place, value)`` are all places with what stands there by default, one character each, ``cells (row, place, value)`` what differs,
+    ``rows (row)`` the rows. Places are numbered in their order; no list is longer than a stretch, or than a stretch of ``group`` rows.
+
+    The table has as many lines as rows times stretches, so no line is shuffled: rows stand in groups, what is shuffled is one line of defaults for
+    each stretch and group with the cells that differ there, and lines are made from it inside the tasks. A row without such a cell takes the defaults
+    as they are.
     """
     codes = materialise(encode(places.select(F.col(place).alias("feature"))).select(F.col("feature").alias(place), F.floor(F.col("code") / width).alias("block"), (F.col("code") % width).cast("int").alias("at")))
-    usual = places.join(codes, place).groupBy("block").agg(F.array_sort(F.collect_list(F.struct("at", "value"))).alias("_usual"))
-    own = cells.join(codes, place).groupBy(row, "block").agg(F.map_from_entries(F.collect_list(F.struct("at", "value"))).alias("_own"))
-    last = codes.agg(F.max("block")).scalar()
-    grid = rows.select(row).distinct().withColumn("_last", last).where("_last is not null").select(row, F.explode(F.sequence(F.lit(0).cast("long"), F.col("_last"))).alias("block"))
-    line = F.array_join(F.transform("_usual", lambda s: F.coalesce(F.element_at("_own", s["at"]), s["value"])), "")
-    return grid.join(own, [row, "block"], "left").join(usual, "block").select(row, "block", line.alias("line"))
+    listed = F.sort_array(F.collect_list(F.struct("at", "value")))
+    usual = places.join(codes, place).groupBy("block").agg(F.array_join(F.transform(listed, lambda s: s["value"]), "").alias("_usual"))
+    numbered = materialise(encode(rows.select(F.col(row).alias("feature"))).select(F.col("feature").alias(row), F.floor(F.col("code") / group).alias("_group")))
+    members = numbered.groupBy("_group").agg(F.collect_list(row).alias("_members"))
+    named = cells.where(F.col("value").isNotNull()).join(codes, place).join(numbered, row)
+    own = named.groupBy("block", "_group").agg(F.sort_array(F.collect_list(F.struct(F.col(row).alias("r"), "at", "value"))).alias("_own"))
+    grid = usual.withColumn("_last", numbered.agg(F.max("_group")).scalar()).where("_last is not null").select("block", "_usual", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_last"))).alias("_group"))
+    # Cells stand in the order of rows, so the first ones of the rows part them; those of a row are put in one by one.
+    starts = F.expr("filter(sequence(0, size(_own) - 1), i -> i = 0 or _own[i].r <> _own[i - 1].r)")
+    both = materialise(grid.join(own, ["block", "_group"], "left").withColumn("_starts", F.when(F.col("_own").isNotNull(), starts)))  # read twice
+    made = """transform(_starts, (a, i) -> named_struct('r', _own[a].r, 'line',
+     aggregate(slice(_own, a + 1, coalesce(get(_starts, i + 1), size(_own)) - a), _usual, (l, c) -> overlay(l placing c.value from c.at + 1 for 1))))"""
+    changed = both.where("_own is not null").select("block", F.explode(F.expr(made)).alias("_c")).select(F.col("_c.r").alias(row), "block", F.col("_c.line").alias("line"))
+    firsts = F.transform(F.coalesce("_starts", F.array().cast("array<int>")), lambda a: F.get(F.col("_own"), a)["r"])
+    rest = both.withColumn("_r", firsts).select("_group", "block", "_usual", "_r").join(members, "_group").select("block", "_usual", F.array_except("_members", "_r").alias("_rest"))
+    same = rest.select(F.explode("_rest").alias(row), "block", F.col("_usual").alias("line"))
+    return changed.union(same)
 
 
 def site_rows(cells: DataFrame, by: list[str], place: str = "pos", width: int = 256) -> DataFrame:

@@ -1,8 +1,9 @@
 """Operators whose cost or memory once grew out of proportion: their rows against plain versions, and what their plans hold."""
 
 import random
+import re
 
-from cladeworks.operators import graph, intervals
+from cladeworks.operators import consequence, graph, intervals
 
 
 def test_nearest_features_without_a_frame_that_ends_unbounded(spark):
@@ -29,3 +30,15 @@ def test_known_labels_are_not_sent_to_every_task(spark):
     assert {(r["pos"], r["gene"], r["indel"]): r["label"] for r in found.collect()} == want
     for df in (found, intervals.points_in_intervals(frames[0], feat), intervals.last_feature(frames[0], feat)):  # tables this small would go by broadcast otherwise
         assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_lines_of_a_wide_table_are_not_shuffled(spark):
+    rng = random.Random(33)
+    places = {p: rng.choice("ACGT") for p in rng.sample(range(1000), 45)}
+    cells = {(r, p): rng.choice("XYZ") for r in range(11) for p in places if rng.random() < (0.9 if r == 3 else 0.1)}
+    frame = spark.createDataFrame([(*k, v) for k, v in cells.items()] + [(5, min(places), None)] * ((5, min(places)) not in cells), "row long, place long, value string")
+    lines = consequence.wide_rows(frame, spark.createDataFrame(list(places.items()), "place long, value string"), spark.createDataFrame([(r,) for r in [*range(13), 4]], "row long"), "row", "place", 8, 4)
+    want = {r: "".join(cells.get((r, p), places[p]) for p in sorted(places)) for r in range(13)}
+    assert sorted(map(tuple, lines.collect())) == sorted((r, i, t[8 * i : 8 * i + 8]) for r, t in want.items() for i in range(6))
+    # A table of rows and stretches has as many rows as the result has lines; none is dealt by both.
+    assert not re.search(r"hashpartitioning\(row#\w+, block#", lines._jdf.queryExecution().executedPlan().toString())
