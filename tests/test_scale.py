@@ -3,7 +3,9 @@
 import random
 import re
 
-from cladeworks.operators import consequence, graph, intervals
+import pyarrow as pa
+
+from cladeworks.operators import common, consequence, features, graph, intervals
 
 
 def test_nearest_features_without_a_frame_that_ends_unbounded(spark):
@@ -42,3 +44,55 @@ def test_lines_of_a_wide_table_are_not_shuffled(spark):
     assert sorted(map(tuple, lines.collect())) == sorted((r, i, t[8 * i : 8 * i + 8]) for r, t in want.items() for i in range(6))
     # A table of rows and stretches has as many rows as the result has lines; none is dealt by both.
     assert not re.search(r"hashpartitioning\(row#\w+, block#", lines._jdf.queryExecution().executedPlan().toString())
+
+
+def test_pairs_are_counted_a_stretch_at_a_time(monkeypatch):
+    """Counters and pairs of a task stay within their bounds, whatever the blocks hold."""
+    rng = random.Random(34)
+    sets = [sorted(rng.sample(range(40), rng.randrange(1, 20))) for _ in range(17)]
+    side = lambda s: common.Side([pa.table({"item": pa.array([f"i{i:02d}" for i in s]), "owners": pa.array([sets[i] for i in s], pa.list_(pa.int64())), "code": pa.array(s)}).to_batches()[0]])
+    monkeypatch.setattr(common, "CELLS", 30)
+    monkeypatch.setattr(common, "PAIRS", 25)
+    two = common.Pairs(side([4, 0, 1, 2, 3]), side(range(5, 17)), False)
+    seen = {}
+    for first, last in two.stretches():
+        assert (last - first) * 12 <= 30
+        assert all(len(cell) <= 25 for cell, _ in two.common(first, last))
+        n, odd = two.count(first, last, odd=True)
+        seen |= {(a, b + 5): (int(n[a - first, b]), int(odd[a - first, b])) for a in range(first, last) for b in range(12)}
+    both = {(a, b): set(sets[a]) & set(sets[b]) for a in range(5) for b in range(5, 17)}
+    assert seen == {k: (len(v), sum(x % 2 for x in v)) for k, v in both.items()}
+
+
+def test_pairs_of_features_in_blocks_equal_plain_counts(spark, monkeypatch):
+    monkeypatch.setattr(common, "ENTRIES", (20, 20))  # several blocks
+    rng = random.Random(35)
+    has = {s: {f"f{i:02d}" for i in range(14) if rng.random() < 0.4} for s in range(30)}
+    has[30] = {"f00"}
+    label = {s: rng.randrange(2) for s in has if s % 9}
+    rows = spark.createDataFrame([(s, f) for s, fs in has.items() for f in fs], "sample_id long, feature string")
+    names = sorted(set().union(*has.values()))
+    pairs = {(a, b): [s for s, fs in has.items() if {a, b} <= fs] for a in names for b in names if a < b}
+
+    joint = features.joint_features(rows, 5)
+    want = [(s, f) for s, fs in has.items() for f in fs] + [(s, f"{a}&{b}") for (a, b), ss in pairs.items() if len(ss) > 5 for s in ss]
+    assert sorted(map(tuple, joint.collect())) == sorted(want)
+    # A join of the features with themselves has a row for every two features of a sample.
+    assert not re.search(r"Join.*sample_id#\d+L?\], \[sample_id", joint._jdf.queryExecution().executedPlan().toString())
+
+    one = {f: [s for s in label if f in has[s]] for f in names}
+    both = {k: [s for s in ss if s in label] for k, ss in pairs.items()}
+    ones = lambda ss: sum(label[s] for s in ss)
+    good = lambda a, b, n: 3 < n < len(label) - 3 and min(len(one[a]), len(one[b])) - n > 2 and n < 0.9 * (len(one[a]) + len(one[b]) - n)
+    kept = {(a, b, len(ss), ones(ss)) for (a, b), ss in both.items() if good(a, b, len(ss)) and ones(ss) * len(one[a]) * len(one[b]) != ones(one[a]) * ones(one[b]) * len(ss)}
+    assert {tuple(r) for r in features.screen_pairs(rows, spark.createDataFrame(list(label.items()), "sample_id long, pheno int"), 3, 2, 0.9).collect()} == kept and kept
+
+    near = {(r["sample_id"], r["neighbour"], r["distance"]) for r in features.nearest_neighbour(rows, rows.where("sample_id < 20")).collect()}
+    others = {s: [(len(fs ^ has[t]), t) for t in range(20) if t != s and fs & has[t]] for s, fs in has.items()}
+    assert near == {(s, min(o)[1], min(o)[0]) for s, o in others.items() if o}
+
+
+def test_pairs_of_nothing(spark):
+    rows = spark.createDataFrame([(1, "a")], "sample_id long, feature string").where("false")
+    assert features.joint_features(rows, 1).isEmpty() and features.nearest_neighbour(rows, rows).isEmpty()
+    assert features.screen_pairs(rows, rows.selectExpr("sample_id", "1 as pheno"), 3, 2, 0.9).isEmpty()
