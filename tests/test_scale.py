@@ -5,7 +5,7 @@ import re
 
 import pyarrow as pa
 
-from cladeworks.operators import common, consequence, features, graph, intervals
+from cladeworks.operators import common, consequence, features, graph, intervals, quality
 
 
 def test_nearest_features_without_a_frame_that_ends_unbounded(spark):
@@ -96,3 +96,24 @@ def test_pairs_of_nothing(spark):
     rows = spark.createDataFrame([(1, "a")], "sample_id long, feature string").where("false")
     assert features.joint_features(rows, 1).isEmpty() and features.nearest_neighbour(rows, rows).isEmpty()
     assert features.screen_pairs(rows, rows.selectExpr("sample_id", "1 as pheno"), 3, 2, 0.9).isEmpty()
+
+
+def test_edges_of_many_groups_are_not_dealt_by_group(spark):
+    rng = random.Random(36)
+    edges = {(a, b) for a in range(25) for b in range(25) if a != b and rng.random() < 0.2}
+    groups = [(g, n) for g in range(-1, 300) for n in rng.choices(range(30), k=rng.randrange(1, 12))]
+    found = graph.induced(spark.createDataFrame(sorted(edges), "src long, dst long"), spark.createDataFrame(groups, "grp int, node long"))
+    inside = {g: {n for h, n in groups if h == g} for g in range(-1, 300)}
+    assert {r["grp"]: r["n_edges"] for r in found.collect()} == {g: sum(a < b and {a, b} <= ns for a, b in edges) for g, ns in inside.items()}
+    assert not re.search(r"hashpartitioning\((grp#\w+, dst|dst#\w+, grp)", found._jdf.queryExecution().executedPlan().toString())
+
+
+def test_sites_meet_groups_of_many_samples(spark):
+    rng = random.Random(37)
+    rows = {(s, p): rng.randrange(20) for s in range(4200) for p in rng.sample(range(6), 2)}
+    depth = spark.createDataFrame([(*k, d) for k, d in rows.items()], "sample_id long, pos long, depth long")
+    cells = quality.site_coverage(depth, spark.createDataFrame([(p,) for p in (0, 3, 9)], "pos long"), 10)
+    got = cells.collect()
+    assert len(got) == 3 * 4200 and {(r["sample_id"], r["pos"]) for r in got if r["covered"]} == {k for k, d in rows.items() if d >= 10 and k[1] in (0, 3)}
+    # With 64 samples to a row there would be 66 rows for each site to join, not 2.
+    assert "shiftright(code" in (plan := cells._jdf.queryExecution().toString()) and ", 12)" in plan
