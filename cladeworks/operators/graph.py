@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cladeworks.operators.features import encode
+from cladeworks.plans.lineage import materialise
+
 
 def neighbours(edges: DataFrame, members: DataFrame) -> DataFrame:
     """Distinct nodes with an edge from ``members (node)`` that are not members."""
@@ -12,13 +19,34 @@ def neighbours(edges: DataFrame, members: DataFrame) -> DataFrame:
     return reached.join(members, "node", "left_anti")
 
 
+def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``(code, n)``: how many rows have each bit of the four words of ``word``."""
+    for batch in batches:
+        word = batch.column("word").to_numpy()
+        masks = np.stack([batch.column(f"m{k}").to_numpy() for k in range(4)], 1).astype("<i8")
+        for one in np.unique(word):
+            mine = masks[word == one]
+            n = sum(np.unpackbits(mine[at : at + 4096].view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.int64) for at in range(0, len(mine), 4096))
+            code = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(code + one * 256), pa.array(n[code])], ["code", "n"])
+
+
 def induced(edges: DataFrame, groups: DataFrame) -> DataFrame:
-    """``(grp, n_edges)``: undirected edges with both ends in the group; ``groups (grp, node)`` may repeat nodes."""
-    own = groups.distinct()
-    half = edges.where("src < dst").join(own.withColumnRenamed("node", "src"), "src")
-    both = half.join(own.withColumnRenamed("node", "dst"), ["grp", "dst"])
-    counts = both.groupBy("grp").agg(F.count(F.lit(1)).alias("n_edges"))
-    return own.select("grp").distinct().join(counts, "grp", "left").fillna(0, ["n_edges"])
+    """``(grp, n_edges)``: undirected edges with both ends in the group; ``groups (grp, node)`` may repeat nodes.
+
+    A node has a bit for each group that it is in, 256 to a row; an edge is in the groups whose bits both of its ends have, so it has a row for
+    256 groups and not for each.
+    """
+    own = materialise(groups.distinct())
+    codes = materialise(encode(own.select(F.col("grp").alias("feature"))).select(F.col("feature").alias("grp"), "code"))
+    bit = F.expr("shiftleft(1L, cast(code % 64 as int))")
+    words = [F.bit_or(F.when(F.floor(F.col("code") / 64) % 4 == k, bit).otherwise(F.lit(0).cast("long"))).alias(f"m{k}") for k in range(4)]
+    masks = materialise(own.join(codes, "grp").groupBy("node", F.floor(F.col("code") / 256).alias("word")).agg(*words))  # read for both ends
+    half = edges.where("src < dst").join(masks.withColumnRenamed("node", "src"), "src")
+    ends = masks.select(F.col("node").alias("dst"), "word", *[F.col(f"m{k}").alias(f"_m{k}") for k in range(4)])
+    both = half.join(ends, ["dst", "word"]).select("word", *[F.col(f"m{k}").bitwiseAND(F.col(f"_m{k}")).alias(f"m{k}") for k in range(4)]).where("(m0 | m1 | m2 | m3) <> 0")
+    counts = both.mapInArrow(_bits, "code long, n long").groupBy("code").agg(F.sum("n").alias("n_edges"))
+    return codes.join(counts, "code", "left").select("grp", "n_edges").fillna(0, ["n_edges"])
 
 
 def draws(universe: DataFrame, n: int, size: int, permutations: int, seed: str) -> DataFrame:

@@ -7,6 +7,7 @@ from cladeworks.operators import features as fe
 from cladeworks.operators import graph as gr
 from cladeworks.operators import intervals as iv
 from cladeworks.operators import reads as rd
+from cladeworks.plans.lineage import materialise
 from cladeworks.plans.registry import query
 
 # --- association results -------------------------------------------------
@@ -173,8 +174,9 @@ WITH {_M}, {_draws('density', 'SELECT count(*) FROM m')}, g AS (SELECT DISTINCT
 def _(edges, genes, part):
     universe, own = _universe(part), _members(genes)
     drawn = gr.draws(universe, universe.count(), own.count(), PERMUTATIONS, "density")
-    real = gr.induced(edges, own.select(F.lit(0).alias("grp"), "node")).select("n_edges")
-    return gr.p_value(gr.induced(edges, drawn), "n_edges", real.scalar(), PERMUTATIONS)
+    both = materialise(gr.induced(edges, drawn.union(own.select(F.lit(-1).alias("grp"), "node"))))  # the real group beside the drawn ones: edges are read once
+    real = both.where("grp = -1").select("n_edges")
+    return gr.p_value(both.where("grp >= 0"), "n_edges", real.scalar(), PERMUTATIONS)
 
 
 @query("overlap_p_value", "b_edges b_drug_gene part", f"""
