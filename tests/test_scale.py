@@ -2,10 +2,14 @@
 
 import random
 import re
+import tracemalloc
+import uuid
 
+import numpy as np
 import pyarrow as pa
 
-from cladeworks.operators import common, consequence, features, graph, intervals, quality
+from cladeworks.operators import common, consequence, features, graph, intervals, manyfits, quality
+from cladeworks.plans.roster import features as roster
 
 
 def test_nearest_features_without_a_frame_that_ends_unbounded(spark):
@@ -117,3 +121,30 @@ def test_sites_meet_groups_of_many_samples(spark):
     assert len(got) == 3 * 4200 and {(r["sample_id"], r["pos"]) for r in got if r["covered"]} == {k for k, d in rows.items() if d >= 10 and k[1] in (0, 3)}
     # With 64 samples to a row there would be 66 rows for each site to join, not 2.
     assert "shiftright(code" in (plan := cells._jdf.queryExecution().toString()) and ", 12)" in plan
+
+
+def test_features_of_models_are_worked_out_once(spark, tmp_path):
+    """What features are cut out of whole texts for is read several times, the texts are not."""
+
+    def seen(batches):
+        for batch in batches:
+            with open(f"{tmp_path}/{uuid.uuid4().hex}", "w") as f:
+                f.write(str(batch.num_rows))
+            yield batch
+
+    rows = spark.createDataFrame([(s, f"f{f}") for s in range(40) for f in range(6) if (s + f) % 3], "sample_id long, feature string")
+    labels = spark.createDataFrame([(s, "d", s % 2) for s in range(40)], "sample_id long, drug string, pheno int")
+    data = roster._ml(rows.repartition(1).mapInArrow(seen, "sample_id long, feature string"), labels, 2, 4)
+    assert data.count() == 40 and sum(int(p.read_text()) for p in tmp_path.iterdir()) == 160
+
+
+def test_driver_holds_few_matrices_of_many_fits(monkeypatch):
+    shape, target = (20_001, 10), np.linspace(-1, 1, 10)
+    monkeypatch.setattr(manyfits, "_over_samples", lambda rows, shape, first, matrix, curvature: matrix.copy() if curvature else np.multiply(d := matrix - target, 0.25, out=d))
+    tracemalloc.start()
+    fitted = manyfits._fit(None, 20_000, 10, 0, 0.02, 500, 1e-9)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    want = np.sign(target) * np.maximum(np.abs(target) - 0.08, 0)  # a slope of a quarter
+    assert np.abs(fitted[:-1] - want).max() < 1e-6 and np.abs(fitted[-1] - target).max() < 1e-6
+    assert peak < 4.5 * 8 * shape[0] * shape[1]
